@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import chat, licenses, mixing, packing, secrets
 from .common import table
 
 
@@ -18,5 +18,38 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {}
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(F.filter("secrets", _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    base = F.filter("secrets", lambda s: s["rank"] < len(secrets.BASE))
+    return found.select("doc_id", *n, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("secrets")).alias("spans"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op6_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(chat.windows(rows))
+    digests = (F.sha2("spoken", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"))
+    return back.select("conv_id", F.col("n_turns").cast("long"), *digests, F.col("formatted_chars").cast("long"))
+
+
+def op7_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = F.transform("base", lambda b: b["label"])
+    both = F.concat(labels, F.transform("spans", lambda s: s["label"]))
+    places = F.transform("base", lambda b: b["start"])
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: F.least(s["cover"], F.lit(1.0)))), F.lit(0.0))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(best)
+    named = [F.array_join(F.array_sort(F.array_distinct(x)), ",").alias(n) for x, n in ((labels, "base_labels"), (both, "labels"))]
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), *named, score.alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {"op5_trigram_secrets": secrets.oracle()}
