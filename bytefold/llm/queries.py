@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, secrets
+from . import chat, embeddings, licenses, mixing, packing, secrets, topk
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_collision_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(table(spark, sf_dir, "embeddings"))
+
+
+def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
 def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
@@ -51,5 +59,21 @@ def op7_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), *named, score.alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {"op5_trigram_secrets": secrets.oracle()}
+QUERIES = {f.__name__: f for f in (op1_collision_near_dups, op4_bit_sliced_topk, op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_collision_near_dups": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND list_aggregate(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.98 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+top AS (SELECT x, min(y) AS c FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, c = vec_id AS kept FROM v JOIN top ON top.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "op4_bit_sliced_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_aggregate(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op5_trigram_secrets": secrets.oracle(),
+}
