@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, mixing, packing, secrets, topk
+from . import chat, embeddings, jaccard, licenses, mixing, packing, secrets, topk
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op7_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), *named, score.alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_near_dups, op4_bit_sliced_topk, op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op10_mix_sources)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_near_dups, op4_bit_sliced_topk, op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op9_jaccard_join, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {
     "op1_collision_near_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
