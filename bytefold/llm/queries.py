@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, licenses, mixing, packing, secrets, topk, toxicity
+from . import chat, embeddings, jaccard, licenses, mixing, packing, repeats, secrets, topk, toxicity
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op1_collision_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near(table(spark, sf_dir, "embeddings"))
 
 
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -69,7 +74,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_near_dups, op3_weak_toxicity, op4_bit_sliced_topk, op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op9_jaccard_join, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_collision_near_dups, op2_recompression_dedup, op3_weak_toxicity, op4_bit_sliced_topk, op5_trigram_secrets, op6_budgeted_chat, op7_diagonal_licenses, op8_best_fit_packing, op9_jaccard_join, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {
     "op1_collision_near_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
