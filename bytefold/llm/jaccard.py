@@ -26,6 +26,7 @@ from . import textcore as tc
 from .common import components, cut
 
 U64 = np.uint64
+PRUNINGS = 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -111,6 +112,14 @@ def _sets(k: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets]))], ["token", "sig"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = [len(np.intersect1d(np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64), assume_unique=True)) for a, b in zip(batch.column(2), batch.column(3))]
@@ -140,17 +149,24 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     need = size - low + 1 - (size - F.size("held"))
     chosen = held.join(nodes, "sig").withColumn("need", need.cast("int")).filter("need > 0")
     chosen = cut(chosen.select("sig", "doc_id", "n", F.slice("held", 1, F.least(F.col("need"), F.size("held"))).alias("held")))
-    lists = chosen.select("sig", "doc_id", "n", F.explode("held").alias("t")).select("sig", "doc_id", "n", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))
 
     texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "sig long, tokens binary").dropDuplicates(["sig"])
     sets = cut(sets.join(chosen.select("sig"), "sig", "left_semi"))
-
-    def possible(na: str, nb: str, i: str, j: str):
-        """Sizes and positions (from 0, in hash order) leave room for enough overlap."""
-        na, nb, i, j = F.col(na), F.col(nb), F.col(i), F.col(j)
-        most = F.least(i, j) + 1 + F.least(na - 1 - i, nb - 1 - j)
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+    # the same test on whole sets: a set with more tokens of its own than a link can spare links with none
+    for _ in range(PRUNINGS):
+        alone = sets.mapInArrow(_tokens, "token long, sig long").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig")).filter("n = 1")
+        own = alone.groupBy("sig").agg(F.count(F.lit(1)).alias("own"))
+        left = chosen.drop("own").join(own, "sig", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        chosen = cut(left.filter(F.col("own") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+        sets = cut(sets.join(chosen.select("sig"), "sig", "left_semi"))
+    lists = chosen.select("sig", "doc_id", "n", "own", F.explode("held").alias("t")).select("sig", "doc_id", "n", "own", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))
+
+    def possible(a: str, b: str):
+        """Sizes, tokens of their own, and positions (from 0, in hash order) leave room for enough overlap."""
+        (na, oa, i), (nb, ob, j) = ([F.col(x + c) for c in ("n", "own", "pos")] for x in (a, b))
+        most = F.least(na - oa, nb - ob, F.least(i, j) + 1 + F.least(na - 1 - i, nb - 1 - j))
+        return (100 + percent) * most >= percent * (na + nb)
 
     def measured(pairs: DataFrame) -> DataFrame:
         """a, b, shared of distinct pairs of sigs."""
@@ -165,21 +181,25 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         full = found.join(a, "a").join(b, "b").withColumn("near", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
         return full.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
 
-    hubs = lists.groupBy("token").agg(F.min_by(F.struct("sig", "n", "pos"), "sig").alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    # the set with the fewest tokens of its own stands nearest to the others
+    hubs = lists.groupBy("token").agg(F.min_by(F.struct("sig", "n", "own", "pos"), F.struct(F.col("own") / F.col("n"), "sig")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     met = lists.join(hubs, "token").filter(F.col("sig") != F.col("hub.sig"))
-    star = met.filter(possible("n", "hub.n", "pos", "hub.pos")).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
+    star = met.filter(possible("", "hub.")).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
     first = cut(links(measured(star)))
     classes = cut(components(_edges(first)))
     # lists whose sets are of one class by now are answered
     classed = lists.join(hubs.select("token", F.col("hub.sig").alias("h")), "token").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id"))
     mixed = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("token")
-    near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), "near")
+    near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), "near", F.col("shared").alias("met"))
     open_lists = cut(classed.join(mixed, "token").join(near, ["h", "sig"], "left").withColumn("far", F.when(F.col("sig") == F.col("h"), F.lit(0.0)).otherwise(1 - F.col("near"))))
     # the hub itself is answered; an unmeasured distance to it says nothing
     rest = open_lists.filter("sig <> h")
     apart = F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9
+    # two sets share what both share with the hub, and beyond it only tokens that neither has alone
+    beyond = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.met") - F.col(f"{x}.own") for x in "ab"])
+    enough = (100 + percent) * (F.least("a.met", "b.met") + beyond) >= percent * (F.col("a.n") + F.col("b.n"))
     unlike = F.col("a.class") != F.col("b.class")
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & unlike & possible("a.n", "b.n", "a.pos", "b.pos") & F.coalesce(apart, F.lit(True)))
+    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & unlike & possible("a.", "b.") & F.coalesce(apart & enough, F.lit(True)))
     second = links(measured(pairs.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()))
     edges = _edges(first).unionByName(_edges(second))
     repeated = rows.filter("n_shingles > 0 and doc_id is not null").join(nodes.select("sig", F.col("doc_id").alias("top")), "sig").filter("doc_id <> top").select(F.col("doc_id").alias("src"), F.col("top").alias("dst"))
