@@ -10,7 +10,7 @@ equal lengths is ever sorted as a whole.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, cut
@@ -86,17 +86,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+
+
+def rank_of(seed: int = 7) -> Column:
+    """The seeded rank of a row; equal for rows with equal ids and texts."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of each row of `docs` (doc_id, source, text).
 
     Size is the number of words of the text, 0 for null. A null source is a source of its own and comes last. A row
     is taken `copies` times, `most` at most. Equal rows are interchangeable; runs agree. An empty table gives none.
     """
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")))
-    return choose(sized, weights, most)
+    sized = docs.select("doc_id", "source", size_of("text").alias("size"), rank_of(seed).alias("h"))
+    return choose(cut(sized), weights, most)
 
 
 def choose(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """mix() of rows that are counted already: doc_id, source, size, h. They are read more than once."""
     counted = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = cut(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
