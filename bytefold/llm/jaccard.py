@@ -187,20 +187,23 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     star = met.filter(possible("", "hub.")).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
     first = cut(links(measured(star)))
     classes = cut(components(_edges(first)))
-    # lists whose sets are of one class by now are answered
-    classed = lists.join(hubs.select("token", F.col("hub.sig").alias("h")), "token").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id"))
-    mixed = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("token")
-    near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), "near", F.col("shared").alias("met"))
-    open_lists = cut(classed.join(mixed, "token").join(near, ["h", "sig"], "left").withColumn("far", F.when(F.col("sig") == F.col("h"), F.lit(0.0)).otherwise(1 - F.col("near"))))
-    # the hub itself is answered; an unmeasured distance to it says nothing
-    rest = open_lists.filter("sig <> h")
+    # a hub whose lists hold sets of its class alone is answered; of the others, each set that is not of the hub's class
+    # meets the sets of the same hub, once per hub and not once per token
+    under = lists.join(hubs.select("token", F.col("hub.sig").alias("h")), "token").select("h", "sig", "doc_id", "n", "own").distinct()
+    classed = under.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component", "doc_id")
+    done = classed.filter("sig = h").select("h", F.col("class").alias("done"))
+    near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), (1 - F.col("near")).alias("far"), F.col("shared").alias("met"))
+    met = classed.filter("sig <> h").join(done, "h").join(near, ["h", "sig"], "left")
+    still = cut(met.join(met.filter("class <> done").select("h").distinct(), "h", "left_semi"))
     apart = F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9
     # two sets share what both share with the hub, and beyond it only tokens that neither has alone
     beyond = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.met") - F.col(f"{x}.own") for x in "ab"])
-    enough = (100 + percent) * (F.least("a.met", "b.met") + beyond) >= percent * (F.col("a.n") + F.col("b.n"))
-    unlike = F.col("a.class") != F.col("b.class")
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & unlike & possible("a.", "b.") & F.coalesce(apart & enough, F.lit(True)))
-    second = links(measured(pairs.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()))
+    total = percent * (F.col("a.n") + F.col("b.n"))
+    enough = (100 + percent) * (F.least("a.met", "b.met") + beyond) >= total
+    fits = (100 + percent) * F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own")) >= total
+    unlike = (F.col("a.sig") != F.col("b.sig")) & (F.col("a.class") != F.col("b.class"))
+    pairs = still.filter("class <> done").alias("a").join(still.alias("b"), (F.col("a.h") == F.col("b.h")) & unlike & fits & F.coalesce(apart & enough, F.lit(True)))
+    second = links(measured(pairs.select(F.least("a.sig", "b.sig").alias("a"), F.greatest("a.sig", "b.sig").alias("b")).distinct()))
     edges = _edges(first).unionByName(_edges(second))
     repeated = rows.filter("n_shingles > 0 and doc_id is not null").join(nodes.select("sig", F.col("doc_id").alias("top")), "sig").filter("doc_id <> top").select(F.col("doc_id").alias("src"), F.col("top").alias("dst"))
     final = components(edges.unionByName(repeated))
