@@ -481,3 +481,122 @@ def leb128_roundtrip(spark, sf_dir):
     coded = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.expr("0").cast("bigint") + F.call_function("shiftright", key, i * 7).bitwiseAND(F.lit(127)) + F.when(i < groups - 1, 128).otherwise(0))
     back = F.aggregate(F.col("coded"), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("s")), lambda a, b: F.struct((a["v"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), a["s"])).alias("v"), (a["s"] + 7).alias("s")), lambda a: a["v"])
     return table(spark, sf_dir, "orders").select("o_orderkey", coded.alias("coded")).select("o_orderkey", back.alias("o_custkey"))
+
+
+# ---- binary kernels: parts are assembled to files, and the files are read
+
+def _class_of_part(key: int, name: str, size: int) -> bytes:
+    from .kernels.builder import ClassBuilder
+    from .kernels.insn import assemble
+
+    b = ClassBuilder(f"pkg/P{key}")
+    b.field("size", "I", 0x19, b.number("int", size))
+    b.field("name", "Ljava/lang/String;", 0x19, b.string(name))
+    b.method("grow", "(I)I", assemble(("iload_0",), ("bipush", size), ("iadd",), ("ireturn",)), lines=((0, size),))
+    jump = assemble(("iload_0",), ("ifge", 7), ("iload_0",), ("ineg",), ("istore_0",), ("nop",), ("iload_0",), ("ireturn",))
+    b.method("abs", "(I)I", jump, handlers=((0, 4, 8, "java/lang/Exception" if size % 2 else None),))
+    return b.build()
+
+
+def _units(spark, sf_dir, sql_kind: str = "class") -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            key, name, size = (c.to_pylist() for c in batch.columns)
+            data = [_class_of_part(*x) for x in zip(key, name, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"P{k}.class" for k in key]), pa.array(["class"] * len(key)), pa.array(data, pa.binary())], ["unit_id", "origin", "kind", "data"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").mapInArrow(run, "unit_id long, origin string, kind string, data binary")
+
+
+@query("""SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey AS name, 52::INTEGER AS major, 'java/lang/Object' AS super, 'size:I=' || p_size || ',name:Ljava/lang/String;=' || p_name AS fields, 'grow(I)I,abs(I)I' AS methods FROM part""")
+def class_roundtrip(spark, sf_dir):
+    from .plans import tables
+
+    parsed = tables.parse_classes(_units(spark, sf_dir))
+    f = F.array_join(F.transform("fields", lambda x: F.concat(x["name"], F.lit(":"), x["descriptor"], F.lit("="), x["const_text"])), ",")
+    m = F.array_join(F.transform("methods", lambda x: F.concat(x["name"], x["descriptor"])), ",")
+    return parsed.select("unit_id", "name", "major", "super", f.alias("fields"), m.alias("methods"))
+
+
+@query("""SELECT p_partkey AS unit_id, m::INTEGER AS method_idx, off::INTEGER AS off, mnemonic, CASE WHEN mnemonic = 'bipush' THEN p_size::VARCHAR WHEN mnemonic = 'nop' THEN NULL END AS value, targets FROM part,
+ (VALUES (0, 0, 'iload_0', ''), (0, 1, 'bipush', ''), (0, 3, 'iadd', ''), (0, 4, 'ireturn', ''), (1, 0, 'iload_0', ''), (1, 1, 'ifge', '8'), (1, 4, 'iload_0', ''), (1, 5, 'ineg', ''), (1, 6, 'istore_0', ''), (1, 7, 'nop', ''), (1, 8, 'iload_0', ''), (1, 9, 'ireturn', '')) v(m, off, mnemonic, targets)""")
+def insn_roundtrip(spark, sf_dir):
+    from .plans import tables
+
+    rows = tables.insns(tables.parse_classes(_units(spark, sf_dir)))
+    return rows.select("unit_id", "method_idx", "off", "mnemonic", "value", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+@query("SELECT p_partkey AS unit_id, 1::INTEGER AS method_idx, 0::INTEGER AS start_pc, 4::INTEGER AS end_pc, 8::INTEGER AS handler_pc, coalesce(CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' END, 'any') AS catch_type, p_size::INTEGER AS line FROM part")
+def handlers_and_lines(spark, sf_dir):
+    from .plans import tables
+
+    parsed = tables.parse_classes(_units(spark, sf_dir))
+    lines = tables.line_numbers(parsed).select("unit_id", "line")
+    return tables.handlers(parsed).join(lines, "unit_id").select("unit_id", "method_idx", "start_pc", "end_pc", "handler_pc", F.coalesce("catch_type", F.lit("any")).alias("catch_type"), "line")
+
+
+@query("SELECT p_partkey AS unit_id, 'P' || p_partkey || '.jar!a/' || p_partkey || '.class' AS origin, 'class' AS kind, length(p_name)::BIGINT AS size, p_name AS body FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey, 'P' || p_partkey || '.jar', 'error', NULL, NULL FROM part WHERE p_partkey % 7 = 0")
+def zip_roundtrip(spark, sf_dir):
+    """Every part is an archive with a directory, a text and a class entry; each seventh is cut short."""
+    import pyarrow as pa
+
+    from .plans import tables
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            data = []
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED if key % 2 else zipfile.ZIP_STORED) as z:
+                    z.writestr("a/", "")
+                    z.writestr("a/notes.txt", "none")
+                    z.writestr(f"a/{key}.class", name)
+                data.append(raw.getvalue()[:-30] if key % 7 == 0 else raw.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"P{k}.jar" for k in batch.column(0).to_pylist()]), pa.array(data, pa.binary())], ["unit_id", "origin", "data"])
+
+    archives = table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(run, "unit_id long, origin string, data binary").withColumn("kind", F.lit("archive"))
+    found = tables.explode_archives(archives)
+    return found.select("unit_id", "origin", F.coalesce("kind", F.lit("error")).alias("kind"), F.octet_length("data").cast("long").alias("size"), F.col("data").cast("string").alias("body"))
+
+
+@query("""SELECT p_partkey AS unit_id, '    0: iload_0' || chr(10) || '    1: bipush ' || p_size || chr(10) || '    3: iadd' || chr(10) || '    4: ireturn' || chr(10) || 'line ' || p_size || ': 0' AS listing FROM part""")
+def disasm_text(spark, sf_dir):
+    from .plans import tables
+
+    return tables.listings(tables.parse_classes(_units(spark, sf_dir))).filter("name = 'grow'").select("unit_id", "listing")
+
+
+_SOURCE_SQL = r"""'package pkg;' || chr(10) || chr(10) || 'public class P' || p_partkey || ' {' || chr(10) || chr(9) || 'public static final int size = ' || p_size || ';' || chr(10) || chr(9) || 'public static final String name = "' || p_name || '";' || chr(10) || chr(10)
+|| chr(9) || 'public static int grow(int arg0) {' || chr(10) || chr(9) || chr(9) || 'return arg0 + ' || p_size || ';' || chr(10) || chr(9) || '}' || chr(10)"""
+
+
+@query(f"SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey || '.java' AS file_name, {_SOURCE_SQL} AS head FROM part")
+def decompile_source(spark, sf_dir):
+    from .plans import tables
+
+    sources = tables.sources(_units(spark, sf_dir))
+    return sources.select("unit_id", "file_name", F.regexp_extract("text", r"(?s)^(.*?arg0 \+ \d+;\n\t\}\n)", 1).alias("head"))
+
+
+@query("""SELECT p_partkey AS unit_id, '.class public LP' || p_partkey || ';' || chr(10) || '.super Ljava/lang/Object;' || chr(10) || '.field public static size:I' || chr(10) || '.method public static run()V' || chr(10) || '    0000: const/16 v1, ' || p_size || chr(10) || '    0002: sput v1, LP' || p_partkey || ';->size:I' || chr(10) || '    0004: return-void' || chr(10) || '.end method' AS listing FROM part""")
+def dex_listing(spark, sf_dir):
+    import pyarrow as pa
+
+    from .plans import tables
+
+    def run(batches):
+        from .kernels import dexbuilder
+
+        for batch in batches:
+            key, size = (c.to_pylist() for c in batch.columns)
+            data = [dexbuilder.build(f"LP{k};", {"run": [0x0113, s, 0x0167, 0, 0x000E]}, ("size",)) for k, s in zip(key, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["unit_id", "data"])
+
+    units = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "unit_id long, data binary").withColumn("kind", F.lit("dex"))
+    return tables.parse_dex(units).select("unit_id", "listing")

@@ -30,3 +30,22 @@ def kind_of_bytes(data: Column) -> Column:
 
 def kind_of(path: Column, data: Column) -> Column:
     return F.coalesce(kind_of_path(path), kind_of_bytes(data))
+
+
+def read_units(spark, paths: list[str], recursive: bool = True):
+    """unit_id, origin, name, kind, data of files: `.class` files of directories, and files named outright.
+
+    Rows come by path; an input without any unit is an error of the caller's, so it raises.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
+    named = rows.select(F.col("path").alias("origin"), F.substring_index("path", "/", -1).alias("name"), kind_of(F.col("path"), F.col("content")).alias("kind"), F.col("content").alias("data"))
+    units = named.withColumn("unit_id", F.xxhash64("origin"))
+    if units.filter("kind <> 'resource'").isEmpty():
+        raise ValueError("no input files")
+    return units.select("unit_id", "origin", "name", "kind", "data")
+
+
+def blob_units(spark, blobs: dict[str, bytes]):
+    """The same for named blobs: extensions first, magic numbers where they tell nothing."""
+    rows = spark.createDataFrame(list(blobs.items()), "name string, data binary")
+    return rows.select(F.xxhash64("name").alias("unit_id"), F.col("name").alias("origin"), "name", kind_of(F.col("name"), F.col("data")).alias("kind"), "data")
