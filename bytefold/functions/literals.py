@@ -47,7 +47,7 @@ def _escaped(text: Column, escape_unicode: bool) -> Column:
         raw = F.lower(F.hex(F.encode(c, "UTF-16BE")))
         return F.concat(F.lit("\\u"), F.substring(raw, 1, 4), F.when(F.length(raw) > 4, F.concat(F.lit("\\u"), F.substring(raw, 5, 4))).otherwise(F.lit("")))
 
-    each = F.array_join(F.transform(F.split(out, "(?!^)"), lambda c: F.when(c.rlike(odd), code_units(c)).otherwise(c)), "")
+    each = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(odd), code_units(c)).otherwise(c)), "")
     return F.when(out.rlike(odd), each).otherwise(out)
 
 
