@@ -19,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textcore as tc
+from .common import fresh
 
 U64 = np.uint64
 FAR = np.int64(1 << 60)
@@ -72,11 +74,12 @@ def anchored(buf: np.ndarray, off: np.ndarray, window: int, rounds: int) -> tupl
     inside = np.flatnonzero(row[:n] == row[window - 1 :])
     place = np.arange(len(words), dtype=np.int64)
     state = (words, row, place, place + 1, place, place + 1)
+    letters = np.concatenate([[0], np.cumsum(to - at)])  # what stands between words may differ
     found, best, anchor = np.zeros(n, bool), np.zeros(n, U64), whole.copy()
     for turn in range(1, rounds + 1):
         state = recompress(*state, turn)
         name, _, start, end, low, high = state
-        size = np.minimum(to[end - 1] - at[start], 255).astype(U64)
+        size = np.minimum(letters[end] - letters[start], 255).astype(U64)
         rank = (size << U64(56)) | (tc.mix(name) >> U64(8))
         first, last = np.searchsorted(low, place[:n]), np.searchsorted(high, place[:n] + window, side="right")
         for step in range(int((last - first).max(initial=0))):
@@ -107,113 +110,126 @@ def _unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[fresh] for c in columns)
 
 
-def _send_anchors(window: int, rounds: int):
+def _first_rows(batch: pa.RecordBatch, at: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows whose document (column `at`) is the first with its text (the next column), once each, and their documents."""
+    doc, first = batch.column(at), batch.column(at + 1)
+    keep = np.flatnonzero(pc.fill_null(pc.equal(doc, first), False).to_numpy(zero_copy_only=False))
+    ids = doc.take(pa.array(keep)).to_numpy()
+    once = np.sort(np.unique(ids, return_index=True)[1])
+    return batch.take(pa.array(keep[once])), ids[once]
+
+
+def _send_anchors(window: int, rounds: int, text: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tc.parts(batches, 1):
-            ids = batch.column(0).to_numpy()
-            row, _, _, anchor = _gather(batch.column(1), window, rounds)
-            anchor, text = _unique(anchor, ids[row])
+        for batch in tc.parts(batches, text):
+            batch, ids = _first_rows(batch, at)
+            row, _, _, anchor = _gather(batch.column(text), window, rounds)
+            anchor, doc = _unique(anchor, ids[row])
             fresh = np.ones(len(anchor), bool)
             fresh[1:] = anchor[1:] != anchor[:-1]
             group = np.cumsum(fresh) - 1
             shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else fresh
-            # one row per anchor goes to its key; texts that share it in this batch need no answer
-            key = np.concatenate([anchor[fresh].view(np.int64), text[shared]])
+            # one row per anchor goes to its key; documents that share it in this slice need no answer
+            key = np.concatenate([anchor[fresh].view(np.int64), doc[shared]])
             symbol = pa.array(np.concatenate([anchor[fresh], anchor[shared]]).view(np.int64), mask=np.arange(len(key)) < fresh.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key), symbol, pa.array(np.concatenate([text[fresh], text[shared]]))], ["key", "symbol", "text_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), symbol, pa.array(np.concatenate([doc[fresh], doc[shared]]))], ["key", "symbol", "doc"])
 
     return run
 
 
-def _send_windows(window: int, rounds: int):
+def _send_windows(window: int, rounds: int, text: int, own: int):
+    """Rows key, doc, at of windows with a shared anchor, at their own hash; or doc, doc, at of a stretch of windows that
+    this slice has settled already. `at` holds the first start, and above 32 bits how many windows are settled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tc.parts(batches, 2):
-            doc, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            keep = np.flatnonzero(doc == first)
-            keep = keep[np.unique(doc[keep], return_index=True)[1]]
-            part = batch.take(pa.array(keep))
-            doc = doc[keep]
-            row, start, whole, anchor = _gather(part.column(2), window, rounds)
-            lists = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
+        for batch in tc.parts(batches, text):
+            part, doc = _first_rows(batch, own)
+            row, start, whole, anchor = _gather(part.column(text), window, rounds)
+            lists = part.column(own + 2)
             size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
             known = lists.flatten().to_numpy().view(U64)
-            known_row = np.repeat(np.arange(len(size)), size)
             # (row, anchor) in the list of shared ones of the row
-            mixed = np.sort(tc.mix(known + tc.mix(known_row.astype(U64))))
+            mixed = np.sort(tc.mix(known + tc.mix(np.repeat(np.arange(len(size)), size).astype(U64))))
             asked = tc.mix(anchor + tc.mix(row.astype(U64)))
             at = np.minimum(np.searchsorted(mixed, asked), max(len(mixed) - 1, 0))
             some = np.flatnonzero(mixed[at] == asked) if len(mixed) else np.zeros(0, np.int64)
-            key, owner, start = whole[some], doc[row[some]], start[some]
+            key, owner, start = whole[some], doc[row[some]], start[some].astype(np.int64)
             order = np.lexsort((start, owner, key))
             key, owner, start = key[order], owner[order], start[order]
             fresh = np.ones(len(key), bool)
             fresh[1:] = key[1:] != key[:-1]
             least = owner[fresh][np.cumsum(fresh) - 1] if len(key) else owner
-            mine = owner == least  # all others of this batch have a smaller document here already
-            yield pa.RecordBatch.from_arrays([pa.array(key[mine].view(np.int64)), pa.array(np.zeros(mine.sum(), np.int32)), pa.array(owner[mine]), pa.array(start[mine].astype(np.int32))], ["key", "size", "doc", "start"])
+            mine = owner == least  # all others of this slice have a smaller document here already
+            yield pa.RecordBatch.from_arrays([pa.array(key[mine].view(np.int64)), pa.array(owner[mine]), pa.array(start[mine])], ["key", "doc", "at"])
             owner, start = owner[~mine], start[~mine]
             order = np.lexsort((start, owner))
             owner, start = owner[order], start[order]
             head = np.ones(len(owner), bool)
             head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
             at = np.flatnonzero(head)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.array(np.diff(np.append(at, len(owner))).astype(np.int32)), pa.array(owner[head]), pa.array(start[head].astype(np.int32))], ["key", "size", "doc", "start"])
+            count = np.diff(np.append(at, len(owner)))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.array(owner[head]), pa.array(start[head] + (count << 32))], ["key", "doc", "at"])
 
     return run
 
 
-def _strip(window: int, names: list[str], drop: int):
+def _strip(window: int, at: int, own: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in tc.parts(batches, at):
             n, gone, kept = [], [], []
-            own = batch.schema.get_field_index("__doc")
             for text, doc, first, spans in zip(batch.column(at), batch.column(own), batch.column(own + 1), batch.column(own + 2)):
                 words = (text.as_py() or "").encode().split()
                 doc, first = doc.as_py(), first.as_py()
                 n.append(len(words))
-                if doc is not None and doc != first and len(words) >= window:
+                if doc is not None and first is not None and doc > first and len(words) >= window:
                     gone.append(len(words))
                     kept.append("")
                     continue
-                spans = spans.values if spans.is_valid and doc is not None else None
+                spans = spans.values if spans.is_valid and doc == first else None
                 if spans is not None and len(spans):
                     change = np.zeros(len(words) + 1, np.int64)
-                    begin, size = (spans.field(c).to_numpy() for c in range(2))
+                    packed = spans.to_numpy()
+                    begin, size = packed & 0xFFFFFFFF, np.maximum(packed >> 32, 1)
                     np.add.at(change, begin, 1)
                     np.add.at(change, begin + size - 1 + window, -1)
                     stay = np.cumsum(change[:-1]) == 0
                     words = [w for w, s in zip(words, stay.tolist()) if s]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            columns = [batch.column(c) for c in range(drop)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
+            columns = [batch.column(c) for c in range(own)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names)
 
     return run
 
 
 def dedup(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
-    """All columns of `docs` (doc_id, text and any others), with n_words, n_removed and `kept`, the words left, joined by spaces.
+    """All columns of `docs` (doc_id, text and any others), with n_words, n_removed and `kept`, the words left, joined by
+    spaces; these take the place of columns of their names.
 
     A word goes if it lies in a window of `window` words of its document that a document with a smaller doc_id also
-    has; the input's windows count. Null and empty texts have no words. Rows that repeat a doc_id do not remove each
-    other's words. A row without doc_id keeps all words and removes none elsewhere. An empty table gives none.
+    has; the input's windows count. Null and empty texts have no words. Equal rows have equal
+    results. Of rows that give a doc_id several texts, the one with the smallest text hash is the document; the others
+    remove nothing elsewhere, and lose words only as copies of a smaller document. A row without doc_id keeps all words
+    and removes none elsewhere. An empty table gives none.
     """
-    names = docs.columns
-    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__text_id", F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
-    texts = rows.select("__text_id", "text", "__doc")
-    firsts = texts.groupBy("__text_id").agg(F.min("__doc").alias("__first"))
-    sent = texts.filter("__doc is not null").select("__text_id", "text").mapInArrow(_send_anchors(window, rounds), "key long, symbol long, text_id long")
-    line = Window.partitionBy("key", F.col("symbol").isNotNull())
-    seen = sent.withColumn("lo", F.min("text_id").over(line)).withColumn("hi", F.max("text_id").over(line))
-    shared = seen.filter("symbol is not null or lo <> hi").select("text_id", F.coalesce("symbol", "key").alias("symbol"))
-    lists = shared.groupBy("text_id").agg(F.collect_set("symbol").alias("__symbols")).withColumnRenamed("text_id", "__text_id")
-    asked = rows.join(lists.join(firsts, "__text_id"), "__text_id").select("__doc", "__first", "text", "__symbols")
-    windows = asked.mapInArrow(_send_windows(window, rounds), "key long, size int, doc long, start int")
-    line = Window.partitionBy("key", F.col("size") > 0)
-    gone = windows.withColumn("least", F.min("doc").over(line)).filter("size > 0 or doc > least")
-    spans = gone.groupBy("doc").agg(F.collect_list(F.struct("start", F.greatest("size", F.lit(1)).alias("size"))).alias("__spans"))
-    settled = firsts.join(spans, F.col("__first") == F.col("doc"), "left").select("__text_id", "__first", "__spans")
-    joined = rows.join(settled, "__text_id").select(*names, "__doc", "__first", "__spans")
+    docs = docs.drop("n_words", "n_removed", "kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    at, own = docs.columns.index("text"), len(names)
+    doc, text_id, first, symbols, spans = fresh(docs, "__doc", "__text_id", "__first", "__symbols", "__spans")
+    # every step below joins the same rows by text, whole, so that Spark deals out the texts once
+    rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text_id, F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
+    own_text = rows.filter(F.col(doc).isNotNull()).groupBy(doc).agg(F.min(text_id).alias(text_id))
+    firsts = own_text.groupBy(text_id).agg(F.min(doc).alias(first))
+    sent = rows.join(firsts, text_id).select(*names, doc, first).mapInArrow(_send_anchors(window, rounds, at, own), "key long, symbol long, doc long")
+    line = Window.partitionBy("key", "known")
+    seen = sent.withColumn("known", F.col("symbol").isNotNull()).select("*", F.min("doc").over(line).alias("lo"), F.max("doc").over(line).alias("hi"))
+    shared = seen.filter("known or lo <> hi").select("doc", F.coalesce("symbol", "key").alias("symbol"))
+    lists = shared.groupBy(F.col("doc").alias(first)).agg(F.collect_set("symbol").alias(symbols))
+    asked = rows.join(firsts.join(lists, first), text_id).select(*names, doc, first, symbols)
+    windows = asked.mapInArrow(_send_windows(window, rounds, at, own), "key long, doc long, at long")
+    line = Window.partitionBy("key", "settled")
+    gone = windows.withColumn("settled", F.col("at") >= 1 << 32).withColumn("least", F.min("doc").over(line)).filter("settled or doc > least")
+    spanned = gone.groupBy(F.col("doc").alias(first)).agg(F.collect_list("at").alias(spans))
+    joined = rows.join(firsts.join(spanned, first, "left"), text_id, "left").select(*names, doc, first, spans)
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return joined.mapInArrow(_strip(window, names, len(names)), schema)
+    return joined.mapInArrow(_strip(window, at, own, schema.names), schema)
