@@ -47,7 +47,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum comes as near below `budget` as this finds; exact counts hold."""
+    """How many of each length to take so that their sum comes as near below `budget` as this finds; exact where the whole
+    fits into the table, and never more of a length than there are."""
     counts = counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -67,6 +68,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             rest -= more * int(lengths[i])
     if not 0 < rest:
         return take
+    # give some of each length back, as much as the table holds, so that what is taken can also be exchanged
+    room, left = TABLE - rest, len(lengths)
+    for i in np.argsort(lengths, kind="stable").tolist():
+        if lengths[i] and room > 0:
+            back = min(int(take[i]), room // (int(lengths[i]) * left))
+            take[i] -= back
+            rest += back * int(lengths[i])
+            room -= back * int(lengths[i])
+        left -= 1
     goal = min(rest, TABLE)
     reach, steps, window = 1, [], (1 << (goal + 1)) - 1
     for i in np.argsort(-lengths, kind="stable").tolist():
