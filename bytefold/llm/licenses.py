@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 DRIFT = 4
@@ -87,22 +89,26 @@ def votes(docs: DataFrame, templates: dict[str, str], phrases: dict[str, str]) -
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """All columns of `docs` (any with a `text`), and n_words, base (sorted array of struct<start, label>: the phrases'
-    places) and spans (array of struct<label, first, last, cover>: merged template spans, word positions).
+    places) and spans (array of struct<label, first, last, cover>: merged template spans, word positions). These take
+    the place of columns of their names.
 
     Null text is empty. Repeated rows each stay. Texts without words have no place and no span.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    seen = votes(keyed.select(F.col("__row").alias("row_key"), F.coalesce("text", F.lit("")).alias("text")), templates, phrases)
-    base = seen.filter("kind = 'p'").groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct(F.col("pos").cast("long").alias("start"), "label"))).alias("__base"))
+    docs = docs.drop("n_words", "base", "spans")
+    row, places, stretches = fresh(docs, "__row", "__places", "__stretches")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(row, F.xxhash64(text))
+    seen = votes(keyed.select(F.col(row).alias("row_key"), text.alias("text")), templates, phrases)
+    base = seen.filter("kind = 'p'").groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct(F.col("pos").cast("long").alias("start"), "label"))).alias(places))
     diagonals = seen.filter("kind = 't'").groupBy("row_key", "label", "size", "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at"))
     line = Window.partitionBy("row_key", "label").orderBy("diagonal")
-    fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= DRIFT, 0).otherwise(1)
-    merged = diagonals.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
+    begins = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= DRIFT, 0).otherwise(1)
+    merged = diagonals.withColumn("begins", begins).withColumn("run", F.sum("begins").over(line))
     merged = merged.groupBy("row_key", "label", "size", "run").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.flatten(F.collect_list("at")).alias("at"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + K - 1)))))
     good = merged.withColumn("cover", covered / F.col("size")).filter(F.col("cover") >= COVER)
-    spans = good.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("label", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "cover"))).alias("__spans"))
-    found = base.join(spans, "row_key", "full").withColumnRenamed("row_key", "__row")
-    counted = keyed.withColumn("n_words", F.size(words(F.coalesce("text", F.lit("")))).cast("long")).join(found, "__row", "left")
-    empty_base, empty_spans = F.array().cast("array<struct<start:bigint,label:string>>"), F.array().cast("array<struct<label:string,first:bigint,last:bigint,cover:double>>")
-    return counted.select(*docs.columns, "n_words", F.coalesce("__base", empty_base).alias("base"), F.coalesce("__spans", empty_spans).alias("spans"))
+    spans = good.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("label", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "cover"))).alias(stretches))
+    found = base.join(spans, "row_key", "full").withColumnRenamed("row_key", row)
+    counted = keyed.withColumn("n_words", F.size(words(text)).cast("long")).join(found, row, "left")
+    no_places, no_stretches = F.array().cast("array<struct<start:bigint,label:string>>"), F.array().cast("array<struct<label:string,first:bigint,last:bigint,cover:double>>")
+    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce(places, no_places).alias("base"), F.coalesce(stretches, no_stretches).alias("spans"))

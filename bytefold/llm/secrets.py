@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BLOCK_BITS = 10
 MOST_STRINGS = 64
 
@@ -167,22 +169,26 @@ def _spans(rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """All columns of `docs` (any with a `text`), and `secrets`: array<struct<start, rank, end, kind>> ordered by start, then rule.
+    """All columns of `docs` (any with a `text`), and `secrets`: array<struct<start, rank, end, kind>> ordered by start, then
+    rule; it takes the place of a column of that name.
 
     A null or empty text has none. Rows may repeat; each row stays, whatever its columns hold. An empty table gives none.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.drop("secrets")
+    row, whole, kinds = fresh(docs, "__row", "__whole", "__kinds")
+    text = F.coalesce("text", F.lit(""))
     # one key for each distinct text: equal texts have equal candidates
-    found = candidates(keyed.select(F.col("__row").alias("row_key"), "text"), rules).select(F.col("row_key").alias("__row"), F.col("kinds").alias("__kinds"))
-    joined = keyed.join(found, "__row", "left")
+    keyed = docs.withColumn(row, F.xxhash64(text)).withColumn(whole, F.col("text")).withColumn("text", text)
+    found = candidates(keyed.select(F.col(row).alias("row_key"), "text"), rules).select(F.col("row_key").alias(row), F.col("kinds").alias(kinds))
+    joined = keyed.join(found, row, "left")
     parts = []
     for rank, rule in enumerate(rules):
         spans = _spans(rule, rank)
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
+            spans = F.when(F.array_contains(kinds, rule.kind), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
         parts.append(spans)
     out = joined.withColumn("secrets", F.sort_array(F.concat(*parts)))
-    return out.withColumn("text", F.col("__text")).select(*docs.columns, "secrets")
+    return out.withColumn("text", F.col(whole)).select(*[F.col(f"`{c}`") for c in docs.columns], "secrets")
 
 
 def as_text(spans: Column) -> Column:

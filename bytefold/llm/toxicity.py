@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textcore as tc
 from .common import cut
@@ -209,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` (any with a `text`), and `score`, 0 to 1, of every whole text; null reads as empty."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
+    """All columns of `docs` (any with a `text`), and `score`, 0 to 1, of every whole text, in place of a column of that
+    name; null reads as empty."""
+    docs = docs.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     at = docs.columns.index("text")
 
