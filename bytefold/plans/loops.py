@@ -22,12 +22,13 @@ def closure(edges: DataFrame, roots: DataFrame, keys: list[str], most_rounds: in
 
     Each round joins only the newest rows, so work is in proportion to the edges reached.
     """
-    seen = cut(roots.distinct())
-    fresh = seen
+    edges = cut(edges.withColumnRenamed("src", "node").distinct())
+    fresh = cut(roots.distinct())
+    seen = fresh
     for _ in range(most_rounds):
-        ahead = fresh.join(edges.withColumnRenamed("src", "node"), [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        ahead = fresh.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
         fresh = cut(ahead.join(seen, [*keys, "node"], "left_anti"))
         if fresh.isEmpty():
             return seen
-        seen = cut(seen.unionByName(fresh))
+        seen = seen.unionByName(fresh)
     raise RuntimeError("closure did not settle")
