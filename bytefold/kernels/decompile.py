@@ -62,7 +62,7 @@ def blocks_of(code: list[Insn], handlers: list[dict]) -> dict[int, Block]:
     """Blocks by their first offset. A switch goes to its default first; an edge that comes twice stands once."""
     offs = {i.off for i in code}
     starts = {code[0].off} if code else set()
-    starts |= {h["handler_pc"] for h in handlers}
+    starts |= {h[k] for h in handlers for k in ("handler_pc", "start_pc", "end_pc")}
     for i in code:
         starts |= set(i.targets)
         if i.targets or i.op.sem in ENDS:
@@ -247,7 +247,10 @@ class Evaluator:
         elif sem == "switch":
             b.end = ("switch", pop().text, list(zip(i.keys, i.targets[1:])), i.targets[0])
         elif sem == "return":
-            b.end = ("stop", f"return {pop().text};" if name != "return" else "return;")
+            text = "" if name == "return" else pop().text
+            if self.method.descriptor.endswith(")Z"):
+                text = {"0": "false", "1": "true"}.get(text, text)
+            b.end = ("stop", f"return {text};" if text else "return;")
         elif sem == "throw":
             b.end = ("stop", f"throw {pop().text};")
         elif sem in ("get_static", "get_field"):
@@ -297,7 +300,8 @@ class Evaluator:
         top = group(2 if sem.startswith("dup2") else 1)
         below = group(int(sem[-1])) if "_x" in sem else []
         for k, v in enumerate(top):
-            if v.effect and not v.text.startswith("new ") or v.effect and "(" in v.text:
+            unmade = re.fullmatch(r"new [\w.$]+", v.text)  # an object before its constructor ran
+            if not unmade and (v.effect or v.text.startswith("new ")):
                 name = self.temp(v.type)
                 b.body.append(f"{name} = {v.text};")
                 top[k] = Value(name, type=v.type, wide=v.wide)
@@ -341,7 +345,8 @@ class Evaluator:
                         b.body.append(f"{made.text};")
                     return
                 word = "super" if owner == self.cls.super_name and owner != self.cls.name else "this"
-                b.body.append(f"{word}({given});")
+                if given or word == "this":
+                    b.body.append(f"{word}({given});")
                 return
             on_text = "super" if kind == "special" and on.text == "this" and owner != self.cls.name else on.at(15)
             text = f"{on_text}.{name}({given})"
@@ -368,6 +373,14 @@ class Structurer:
         self.wanted: set[int] = set()
         self.out: list[tuple[int, str]] = []
         self.starts: dict[int, int] = {}
+        # handlers of one range belong together; a handler that stands in its own range opens no region
+        self.regions: dict[int, list[tuple[int, dict[int, list[str]]]]] = {}
+        grouped: dict[tuple[int, int], dict[int, list[str]]] = {}
+        for h in self.handlers:
+            if h["start_pc"] != h["handler_pc"] and h["handler_pc"] in self.blocks:
+                grouped.setdefault((h["start_pc"], h["end_pc"]), {}).setdefault(h["handler_pc"], []).append(short(h["catch_type"] or "Throwable"))
+        for (start, end), catches in sorted(grouped.items(), key=lambda x: (x[0][0], -x[0][1])):
+            self.regions.setdefault(start, []).append((end, catches))
 
     def body(self, header: int) -> set[int]:
         """The blocks of the natural loops of a header."""
@@ -433,17 +446,40 @@ class Structurer:
                 self.wanted.add(at)
                 self.out.append((depth, f"goto L{at};"))
                 return
+            if self.regions.get(at):
+                at = self.guarded(at, self.regions[at].pop(0)[1], follow, loop, depth)
+                continue
             if at in self.loops and not (loop and loop[0] == at):
                 at = self.loop(at, follow, depth)
                 continue
             at = self.block(at, follow, loop, depth)
 
+    def guarded(self, at: int, catches: dict[int, list[str]], follow: int | None, loop: tuple | None, depth: int) -> int | None:
+        """A try statement up to where its body and its handlers meet."""
+        fresh = {h: kinds for h, kinds in catches.items() if h not in self.done}
+        if not fresh:
+            return self.block(at, follow, loop, depth) if at not in self.loops else at
+        join = self.meeting([at, *fresh], frozenset())
+        join = follow if join is None else join
+        self.out.append((depth, "try {"))
+        self.emit(at, join, loop, depth + 1)
+        for h, kinds in fresh.items():
+            self.out.append((depth, f"}} catch ({' | '.join(dict.fromkeys(kinds))} caught) {{"))
+            self.emit(h, join, loop, depth + 1)
+        self.out.append((depth, "}"))
+        return join
+
     def loop(self, header: int, follow: int | None, depth: int) -> int | None:
         inside = self.body(header)
         leaving = sorted({t for b in inside for t in self.blocks[b].after if t not in inside}, key=self.place.__getitem__)
         leave = leaving[0] if leaving else None
         b = self.blocks[header]
         self.starts.setdefault(header, len(self.out))
+        if inside == {header} and b.end[0] == "if" and header in b.end[4:]:
+            _, x, sign, y, taken, falls = b.end
+            self.done.add(header)
+            self.out += [(depth, "do {"), *((depth + 1, line) for line in b.body), (depth, f"}} while ({x} {sign if taken == header else OPPOSITE[sign]} {y});")]
+            return falls if taken == header else taken
         if not b.body and b.end[0] == "if" and (b.end[4] in inside) != (b.end[5] in inside):
             _, x, sign, y, taken, falls = b.end
             inner, leave = (taken, falls) if taken in inside else (falls, taken)
@@ -485,8 +521,14 @@ class Structurer:
         if join is None:
             join = follow
         # the near arm is what falls through, so the test is turned round
+        head = len(self.out)
         self.out.append((depth, f"if ({x} {OPPOSITE[sign]} {y}) {{"))
         self.emit(falls, join, loop, depth + 1)
+        if len(self.out) == head + 1 and taken != join:
+            self.out[head] = (depth, f"if ({x} {sign} {y}) {{")
+            self.emit(taken, join, loop, depth + 1)
+            self.out.append((depth, "}"))
+            return join
         if taken != join:
             ends = self.out[-1][1].startswith(("return", "throw", "break;", "continue;", "goto"))
             if ends and join == follow:
