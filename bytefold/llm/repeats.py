@@ -130,9 +130,10 @@ def _send_anchors(window: int, rounds: int, text: int, at: int):
             group = np.cumsum(fresh) - 1
             shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else fresh
             # one row per anchor goes to its key; documents that share it in this slice need no answer
-            key = np.concatenate([anchor[fresh].view(np.int64), doc[shared]])
-            symbol = pa.array(np.concatenate([anchor[fresh], anchor[shared]]).view(np.int64), mask=np.arange(len(key)) < fresh.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key), symbol, pa.array(np.concatenate([doc[fresh], doc[shared]]))], ["key", "symbol", "doc"])
+            key, owner = np.concatenate([anchor[fresh].view(np.int64), doc[shared]]), np.concatenate([doc[fresh], doc[shared]])
+            symbol, plain = np.concatenate([anchor[fresh], anchor[shared]]).view(np.int64), np.arange(len(key)) < fresh.sum()
+            order = np.argsort(owner, kind="stable")  # a document's rows together pack better
+            yield pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(symbol[order], mask=plain[order]), pa.array(owner[order])], ["key", "symbol", "doc"])
 
     return run
 
@@ -160,7 +161,9 @@ def _send_windows(window: int, rounds: int, text: int, own: int):
             fresh[1:] = key[1:] != key[:-1]
             least = owner[fresh][np.cumsum(fresh) - 1] if len(key) else owner
             mine = owner == least  # all others of this slice have a smaller document here already
-            yield pa.RecordBatch.from_arrays([pa.array(key[mine].view(np.int64)), pa.array(owner[mine]), pa.array(start[mine])], ["key", "doc", "at"])
+            sent = np.flatnonzero(mine)
+            sent = sent[np.lexsort((start[sent], owner[sent]))]
+            yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), pa.array(owner[sent]), pa.array(start[sent])], ["key", "doc", "at"])
             owner, start = owner[~mine], start[~mine]
             order = np.lexsort((start, owner))
             owner, start = owner[order], start[order]
