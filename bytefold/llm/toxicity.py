@@ -154,12 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
     """Learn from documents (doc_id, text) with labels (doc_id, toxic), never from held-out ones.
 
     A document labelled more than once counts as toxic if one label says so; null labels say nothing. Beyond
-    `most_rows` labelled documents those with the smallest hash of their id are taken. Without a toxic or without a
-    clean example every score is the share of toxic labels, or 0.
+    `most_rows` labelled documents those with the smallest hash of their id are taken; of rows that repeat an id, the
+    least text. Without a toxic or without a clean example every score is the share of toxic labels, or 0.
     """
     given = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     taken = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic").limit(2 * most_rows))
+    found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    sample = cut(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     nothing = Model(np.zeros(0, U64), np.full(4, np.inf), np.zeros(5), float(np.log((toxic + 1e-9) / (clean + 1e-9))) if toxic + clean else -30.0)
