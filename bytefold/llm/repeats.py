@@ -138,9 +138,42 @@ def _send_anchors(window: int, rounds: int, text: int, at: int):
     return run
 
 
+# `at` packs an arithmetic progression of starts: the first in 31 bits, the stride in 12, the count in 20, a flag on top
+STRIDE, COUNT, SETTLED = 31, 43, np.int64(-(1 << 63))
+LONGEST, MOST = (1 << 12) - 1, 1 << 19
+
+
+def progressions(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, doc, at) of rows sorted by all three: the starts of a key in a document as progressions, by document.
+
+    A document that repeats one word or pair has a window thousands of times; it is sent once.
+    """
+    n = len(key)
+    if not n:
+        return key.view(np.int64), doc, start
+    same, step = np.zeros(n, bool), np.zeros(n, np.int64)
+    same[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+    step[1:] = start[1:] - start[:-1]
+    head = ~same | (step > LONGEST) | (np.arange(n) % MOST == 0)
+    head[1:] |= same[:-1] & (step[1:] != step[:-1])
+    first = np.flatnonzero(head)
+    count = np.diff(np.append(first, n))
+    stride = np.where(count > 1, step[np.minimum(first + 1, n - 1)], 0)
+    at = start[first] | stride << STRIDE | count << COUNT
+    order = np.lexsort((start[first], doc[first]))  # a document's rows together pack better
+    first = first[order]
+    return key[first].view(np.int64), doc[first], at[order]
+
+
+def starts_of(packed: np.ndarray) -> np.ndarray:
+    first, stride, count = packed & (1 << STRIDE) - 1, packed >> STRIDE & LONGEST, (packed & ~SETTLED) >> COUNT
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + np.repeat(stride, count) * inside
+
+
 def _send_windows(window: int, rounds: int, text: int, own: int):
-    """Rows key, doc, at of windows with a shared anchor, at their own hash; or doc, doc, at of a stretch of windows that
-    this slice has settled already. `at` holds the first start, and above 32 bits how many windows are settled."""
+    """Rows key, doc, at of windows with a shared anchor, at their own hash; or doc, doc, at of windows that this slice
+    has settled already, with the sign bit of `at` set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.parts(batches, text):
@@ -161,17 +194,12 @@ def _send_windows(window: int, rounds: int, text: int, own: int):
             fresh[1:] = key[1:] != key[:-1]
             least = owner[fresh][np.cumsum(fresh) - 1] if len(key) else owner
             mine = owner == least  # all others of this slice have a smaller document here already
-            sent = np.flatnonzero(mine)
-            sent = sent[np.lexsort((start[sent], owner[sent]))]
-            yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), pa.array(owner[sent]), pa.array(start[sent])], ["key", "doc", "at"])
+            sent = progressions(key[mine], owner[mine], start[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sent], ["key", "doc", "at"])
             owner, start = owner[~mine], start[~mine]
             order = np.lexsort((start, owner))
-            owner, start = owner[order], start[order]
-            head = np.ones(len(owner), bool)
-            head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-            at = np.flatnonzero(head)
-            count = np.diff(np.append(at, len(owner)))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.array(owner[head]), pa.array(start[head] + (count << 32))], ["key", "doc", "at"])
+            _, owner, at = progressions(owner[order].view(U64), owner[order], start[order])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(owner), pa.array(at | SETTLED)], ["key", "doc", "at"])
 
     return run
 
@@ -191,10 +219,9 @@ def _strip(window: int, at: int, own: int, names: list[str]):
                 spans = spans.values if spans.is_valid and doc == first else None
                 if spans is not None and len(spans):
                     change = np.zeros(len(words) + 1, np.int64)
-                    packed = spans.to_numpy()
-                    begin, size = packed & 0xFFFFFFFF, np.maximum(packed >> 32, 1)
+                    begin = starts_of(spans.to_numpy())
                     np.add.at(change, begin, 1)
-                    np.add.at(change, begin + size - 1 + window, -1)
+                    np.add.at(change, begin + window, -1)
                     stay = np.cumsum(change[:-1]) == 0
                     words = [w for w, s in zip(words, stay.tolist()) if s]
                 gone.append(n[-1] - len(words))
@@ -231,7 +258,7 @@ def dedup(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
     asked = rows.join(firsts.join(lists, first), text_id).select(*names, doc, first, symbols)
     windows = asked.mapInArrow(_send_windows(window, rounds, at, own), "key long, doc long, at long")
     line = Window.partitionBy("key", "settled")
-    gone = windows.withColumn("settled", F.col("at") >= 1 << 32).withColumn("least", F.min("doc").over(line)).filter("settled or doc > least")
+    gone = windows.withColumn("settled", F.col("at") < 0).withColumn("least", F.min("doc").over(line)).filter("settled or doc > least")
     spanned = gone.groupBy(F.col("doc").alias(first)).agg(F.collect_list("at").alias(spans))
     joined = rows.join(firsts.join(spanned, first, "left"), text_id, "left").select(*names, doc, first, spans)
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])

@@ -180,6 +180,19 @@ def test_repeats_other_windows(spark, window, rounds):
     assert {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs(spark, rows), window, rounds).collect()} == gone
 
 
+def test_progressions_round_trip():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(0, 60))
+        rows = sorted({(int(rng.integers(0, 3)), int(rng.integers(0, 2)), int(rng.integers(0, 9000 if _ % 2 else 30))) for _ in range(n)})
+        key, doc, start = (np.array([r[c] for r in rows], t) for c, t in enumerate((np.uint64, np.int64, np.int64)))
+        k, d, at = repeats.progressions(key, doc, start)
+        for packed in (at, at | repeats.SETTLED):
+            got = [(int(a), int(b), int(s)) for a, b, c in zip(k, d, packed) for s in repeats.starts_of(np.array([c]))]
+            assert sorted(got) == rows
+    assert len(repeats.progressions(np.zeros(500, np.uint64), np.zeros(500, np.int64), np.arange(0, 1500, 3))[0]) == 1
+
+
 def jaccard_want(rows, percent, k):
     sets = {d: brute.shingles(t, k) for d, t in rows}
     ids = sorted(d for d in sets if sets[d])
