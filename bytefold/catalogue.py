@@ -600,3 +600,66 @@ def dex_listing(spark, sf_dir):
 
     units = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "unit_id long, data binary").withColumn("kind", F.lit("dex"))
     return tables.parse_dex(units).select("unit_id", "listing")
+
+
+@query("""SELECT p_partkey AS unit_id, 7::INTEGER AS tag, 'pkg/P' || p_partkey AS text FROM part UNION ALL SELECT p_partkey, 7, 'java/lang/Object' FROM part UNION ALL SELECT p_partkey, 7, 'java/lang/Exception' FROM part WHERE p_size % 2 = 1 UNION ALL SELECT p_partkey, 8, p_name FROM part""")
+def const_pool_resolve(spark, sf_dir):
+    from .engine import resolve_pool
+    from .plans import tables
+
+    return resolve_pool(tables.const_pool(tables.parse_classes(_units(spark, sf_dir)))).select("unit_id", "tag", "text")
+
+
+@query("""SELECT p_partkey AS unit_id, CASE WHEN p_partkey % 3 = 0 THEN 'no class file' WHEN p_partkey % 3 = 1 THEN 'short' END AS reason FROM part WHERE p_partkey % 3 < 2""")
+def unit_errors(spark, sf_dir):
+    """Of the assembled classes each third is text and each third cut in half; the rest parses."""
+    from .plans import tables
+
+    key = F.col("unit_id") % 3
+    broken = F.when(key == 0, F.col("origin").cast("binary")).when(key == 1, F.substring("data", 1, F.octet_length("data") / 2)).otherwise(F.col("data"))
+    found = tables.errors(tables.parse_classes(_units(spark, sf_dir).withColumn("data", broken)))
+    return found.select("unit_id", F.when(F.col("message").startswith("no class file"), "no class file").otherwise("short").alias("reason"))
+
+
+@query("SELECT p_partkey AS unit_id, printf('catch (%s caught)', CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END) AS body FROM part")
+def decompile_handlers(spark, sf_dir):
+    from .plans import tables
+
+    return tables.sources(_units(spark, sf_dir)).select("unit_id", F.regexp_extract("text", r"(catch \(\w+ caught\))", 1).alias("body"))
+
+
+@query("""SELECT p_partkey, 'T extends Comparable<T> & Serializable' AS params, 'List<? extends ' || upper(p_type) || '>,int' || repeat('[]', p_size % 3) AS args, 'Map<String, ?>' AS ret FROM part""")
+def signature_parse(spark, sf_dir):
+    """Generic method signatures built from parts, and read."""
+    import pyarrow as pa
+
+    def run(batches):
+        from .kernels.signature import parse
+
+        for batch in batches:
+            found = [parse(s) for s in batch.column(1).to_pylist()]
+            columns = [[", ".join(x.type_params) for x in found], [",".join(x.args) for x in found], [x.ret for x in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["p_partkey", "params", "args", "ret"])
+
+    text = F.concat(F.lit("<T::Ljava/lang/Comparable<TT;>;:Ljava/io/Serializable;>(Ljava/util/List<+Lx/"), F.upper("p_type"), F.lit(";>;"), F.repeat(F.lit("["), F.col("p_size") % 3), F.lit("I)Ljava/util/Map<Ljava/lang/String;*>;"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("s")).mapInArrow(run, "p_partkey long, params string, args string, ret string")
+
+
+_KIND_NAMES = "(['int', 'Integer', 'Object', 'double', 'String[]', 'long', 'char', 'boolean'])"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT p_size % 8 AS i, {_KIND_NAMES}[p_size % 8 + 1] AS n FROM part), x AS (SELECT a.n AS target, b.n AS source FROM t a JOIN t b ON true)
+SELECT target, source, target = source OR (target IN ('Integer', 'Object', 'String[]') AND source IN ('Integer', 'Object', 'String[]') AND (target = 'Object' OR (source LIKE '%[]' AND target NOT LIKE '%[]')))
+ OR (target IN ('int', 'char', 'boolean') AND source IN ('int', 'char', 'boolean')) OR (target = 'long' AND source IN ('int', 'char', 'boolean')) OR (target = 'double' AND source IN ('int', 'char', 'long')) AS fits,
+ CASE target WHEN 'int' THEN 'Integer' WHEN 'double' THEN 'Double' WHEN 'long' THEN 'Long' WHEN 'char' THEN 'Character' WHEN 'boolean' THEN 'Boolean' END AS box, CASE target WHEN 'Integer' THEN 'int' END AS unbox FROM x""")
+def assignable_types(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("int", "Integer", "Object", "double", "String[]", "long", "char", "boolean")])
+    t = table(spark, sf_dir, "part").select((F.col("p_size") % 8).alias("i")).distinct().select(names[F.col("i")].alias("n"))
+    pairs = t.select(F.col("n").alias("target")).join(F.broadcast(t.select(F.col("n").alias("source"))))  # eight names
+    return pairs.select("target", "source", D.assignable(F.col("target"), F.col("source")).alias("fits"), D.boxed(F.col("target")).alias("box"), D.unboxed(F.col("target")).alias("unbox"))
+
+
+@query("""SELECT p_partkey, CASE WHEN f & 8192 <> 0 THEN 'annotation' WHEN f & 512 <> 0 THEN 'interface' WHEN f & 16384 <> 0 THEN 'enum' WHEN f & 1024 <> 0 THEN 'abstract' ELSE 'class' END AS kind, CASE WHEN p_size + 20 >= 45 THEN p_size - 24 ELSE 0 END::INTEGER AS jdk FROM (SELECT p_partkey, p_size, (p_size * 1299 + p_partkey) % 65536 AS f FROM part)""")
+def class_kinds(spark, sf_dir):
+    flags = (F.col("p_size") * 1299 + F.col("p_partkey")) % 65536
+    return table(spark, sf_dir, "part").select("p_partkey", D.class_kind(flags).alias("kind"), D.jdk_version(F.col("p_size") + 20).alias("jdk"))

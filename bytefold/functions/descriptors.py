@@ -58,3 +58,33 @@ def access_text(flags: Column, kind: str) -> Column:
 
 def jdk_version(major: Column) -> Column:
     return F.when(major >= 45, major - 44).otherwise(0)
+
+
+def boxed(name: Column) -> Column:
+    """The class that holds a primitive, by simple name; null for all others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in BOXES.items() for x in pair]), name)
+
+
+def unboxed(name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for a, b in BOXES.items() for x in (b, a)]), name)
+
+
+def assignable(target: Column, source: Column) -> Column:
+    """Whether a value of one source type name may go where another is declared, without looking at class hierarchies:
+    equal types; Object takes any reference; a class takes any array; wider numbers take narrower ones."""
+    primitive = [*PRIMITIVES.values()]
+    int_like = ["boolean", "char", "byte", "short", "int"]
+    numeric = ["char", "byte", "short", "int", "long", "float", "double"]
+    both_reference = ~target.isin(*primitive) & ~source.isin(*primitive)
+    rules = (target == source) | (both_reference & ((target == "Object") | (source.endswith("[]") & ~target.endswith("[]"))))
+    rules = rules | (target.isin(*int_like) & source.isin(*int_like)) | ((target == "long") & source.isin(*int_like))
+    return rules | (target.isin("float", "double") & source.isin(*numeric))
+
+
+def class_kind(flags: Column) -> Column:
+    """annotation, interface, enum, abstract or class; the first bit that is set in this order names it."""
+    bits = ((0x2000, "annotation"), (0x200, "interface"), (0x4000, "enum"), (0x400, "abstract"))
+    out = F.lit("class")
+    for bit, name in reversed(bits):
+        out = F.when(flags.bitwiseAND(F.lit(bit)) != 0, F.lit(name)).otherwise(out)
+    return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from . import signature
 from .binary import FormatError
 from .classfile import ClassFile, Member, Pool
 from .insn import Insn, decode
@@ -575,6 +576,11 @@ def modifiers(flags: int, kind: str) -> str:
     return "".join(f"{word} " for bit, word, kinds in WORDS if flags & bit and kind in kinds)
 
 
+def plain(name: str) -> str:
+    """A type's name without its package; generic types come without already."""
+    return short(name) if "." in name and "<" not in name else name
+
+
 def method_source(cls: ClassFile, m: Member) -> list[str]:
     """Lines of one method; code that cannot be read leaves its reason."""
     simple = short(cls.name)
@@ -591,13 +597,18 @@ def method_source(cls: ClassFile, m: Member) -> list[str]:
     except (FormatError, RecursionError) as e:
         params = [(type_name(d), f"arg{n}") for n, d in enumerate(arguments(m.descriptor))]
         lines = [(0, f"// not decompiled: {e}")]
-    listed = ", ".join(f"{short(t) if '.' in t else t} {n}" for t, n in params)
+    generic = signature.parse(m.attrs["Signature"], signature.simple) if m.attrs.get("Signature") else None
+    if generic and len(generic.args) == len(params):
+        params = [(t, n) for t, (_, n) in zip(generic.args, params)]
+        back = generic.ret
+    typed = f"<{', '.join(generic.type_params)}> " if generic and generic.type_params else ""
+    listed = ", ".join(f"{plain(t)} {n}" for t, n in params)
     if m.name == "<clinit>":
         head = "static"
     elif m.name == "<init>":
-        head = f"{modifiers(m.access, 'm')}{simple}({listed})"
+        head = f"{modifiers(m.access, 'm')}{typed}{simple}({listed})"
     else:
-        head = f"{modifiers(m.access, 'm')}{short(back) if '.' in back else back} {m.name}({listed})"
+        head = f"{modifiers(m.access, 'm')}{typed}{plain(back)} {m.name}({listed})"
     if m.attrs.get("Exceptions"):
         head += " throws " + ", ".join(short(x) for x in m.attrs["Exceptions"])
     if not m.attrs.get("Code"):
@@ -627,15 +638,22 @@ def class_source(cls: ClassFile) -> str:
     kind = "@interface" if cls.access & 0x2000 else "interface" if cls.access & 0x200 else "enum" if cls.access & 0x4000 else "class"
     flags = cls.access & ~0x400 if cls.access & 0x200 else cls.access
     head = f"{modifiers(flags & ~0x20, 'c')}{kind} {name.replace('$', '.')}"
-    if kind == "class" and cls.super_name not in (None, "java/lang/Object"):
-        head += f" extends {short(cls.super_name)}"
-    if cls.interfaces:
-        head += (" extends " if kind == "interface" else " implements ") + ", ".join(short(i) for i in cls.interfaces)
+    generic = signature.parse(cls.attrs["Signature"]) if cls.attrs.get("Signature") else None
+    above = None if cls.super_name in (None, "java/lang/Object") else short(cls.super_name)
+    faces = [short(i) for i in cls.interfaces]
+    if generic:
+        head += f"<{', '.join(generic.type_params)}>" if generic.type_params else ""
+        above, faces = generic.extends, generic.implements
+    if kind == "class" and above:
+        head += f" extends {above}"
+    if faces:
+        head += (" extends " if kind == "interface" else " implements ") + ", ".join(faces)
     out.append(head + " {")
     for f in cls.fields:
         value = f.attrs.get("ConstantValue")
         t = type_name(f.descriptor)
-        out.append(f"\t{modifiers(f.access, 'f')}{short(t) if '.' in t else t} {f.name}{' = ' + literal(*value).text if value else ''};")
+        t = (f.attrs.get("Signature") and signature.field_type(f.attrs["Signature"])) or t
+        out.append(f"\t{modifiers(f.access, 'f')}{plain(t)} {f.name}{' = ' + literal(*value).text if value else ''};")
     for m in cls.methods:
         out += ["", *("\t" + x for x in method_source(cls, m))] if out[-1] != head + " {" else ["\t" + x for x in method_source(cls, m)]
     return "\n".join([*out, "}"]) + "\n"

@@ -120,6 +120,7 @@ public class Sample { int n; static final long L = 5L; enum Kind { A, B }
   double half(long v, double d) { return v > 3 && d < 1e9 ? v / 2.0 : -d; }
   void wait(Object o) throws Exception { synchronized (o) { try { o.wait(1L); } catch (InterruptedException e) { n++; } finally { n--; } } }
   Runnable run(List<String> l) { return () -> l.forEach(s -> System.out.println(s)); }
+  <U> U first(List<? extends U> l) { return l.get(0); }
   int[][] grid(int a) { int[][] g = new int[a][3]; g[0][1] = a; g[1] = new int[]{1, 2}; do { a--; } while (a > 0); return g; } }
 """
 
@@ -135,4 +136,4 @@ def test_compiled_classes(tmp_path):
         text = decompile.class_source(c)
         assert "// not decompiled" not in text, text
     text = decompile.class_source(classfile.parse((tmp_path / "q/Sample.class").read_bytes()))
-    assert "int sum(int[] xs)" in text and "while (" in text and "switch (k) {" in text and 'return "two";' in text
+    assert "<U> U first(List<? extends U> l)" in text and "int sum(int[] xs)" in text and "while (" in text and "switch (k) {" in text and 'return "two";' in text
