@@ -118,7 +118,8 @@ def near(vectors: DataFrame, similar: float = SIMILAR, slab: int = SLAB) -> Data
     spread = placed.groupBy("key.label", "key.n").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("along", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), 10000).alias("cuts"))
     many = F.ceil(F.col("rows") / slab).cast("int")
     picked = F.transform(F.sequence(F.lit(1), F.greatest(F.least(many, F.lit(1024)) - 1, F.lit(1))), lambda i: F.element_at("cuts", F.floor(i * 1023 / F.greatest(F.least(many, F.lit(1024)), F.lit(1))).cast("int") + 1))
-    cuts = spread.select("label", "n", F.when(many > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    # quantiles are approximate, so they are drawn once
+    cuts = cut(spread.select("label", "n", F.when(many > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>")).alias("cuts")))
     slabs = placed.join(cuts, (F.col("key.label") == F.col("label")) & (F.col("key.n") == F.col("n"))).select("label", "n", "rep", "weight", "embedding", "along", "cuts")
 
     def slab_of(x):
