@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-BLOCK_BITS = 10
+BLOCKS = 64  # of a partition
 MOST_STRINGS = 64
 
 
@@ -139,9 +139,9 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     if not plans:
         return docs.select("row_key", F.array().cast("array<string>").alias("kinds")).limit(0)
     grams = sorted({g for q in plans.values() for clause in q for one in clause for g in one})
-    low = docs.select("row_key", F.lower("text").alias("low"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+    low = docs.select("row_key", F.lower("text").alias("low"), (F.spark_partition_id().cast("long") * BLOCKS + F.pmod("row_key", F.lit(BLOCKS))).alias("block"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    postings = low.select("row_key", "block", F.explode(held).alias("gram")).groupBy("block", "gram").agg(F.collect_list("row_key").alias("keys"))
+    postings = low.select("row_key", "block", F.explode(held).alias("gram")).groupBy("block", "gram").agg(F.collect_set("row_key").alias("keys"))
     index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("of"))
     queries = F.from_json(F.lit(json.dumps([{"kind": k, "clauses": q} for k, q in plans.items()])), "array<struct<kind:string,clauses:array<array<array<string>>>>>")
     asked = index.select("of", F.inline(queries)).select("kind", F.explode(_all_of("clauses", _any_of)).alias("row_key"))
