@@ -23,7 +23,7 @@ class Options:
     entry_limit: int = 64 << 20
     rename_shorter_than: int = 0  # 0 renames nothing
     whitelist: list[str] = field(default_factory=list)
-    force_whitelist: bool = False  # names of a whitelist force a rename, where upstream skips them
+    force_whitelist: bool = False  # listed names are always renamed, instead of never
 
     @classmethod
     def of(cls, given: dict) -> Options:
