@@ -104,6 +104,18 @@ class Engine:
         owner = tables.classes(self.parsed).select("unit_id", F.col("name").alias("class_name"))
         return of(self.parsed).join(owner, "unit_id").withColumn("id", F.concat("class_name", F.lit("#"), "name", F.lit(mark), "descriptor"))
 
+    @property
+    def nodes(self) -> DataFrame:
+        """kind, node of everything that a rename or a comment can name."""
+        classes = tables.classes(self.parsed).select(F.lit("c").alias("kind"), F.col("name").alias("node"))
+        members = [rows.select(F.lit(kind).alias("kind"), F.col("id").alias("node")) for kind, rows in (("f", self.fields), ("m", self.methods))]
+        return classes.unionByName(members[0]).unionByName(members[1])
+
+    @property
+    def pool(self) -> DataFrame:
+        """The constant pools as lines."""
+        return tables.pool_lines(tables.const_pool(self.parsed))
+
     @property
     def instructions(self) -> DataFrame:
         return tables.insns(self.parsed)

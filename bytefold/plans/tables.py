@@ -204,3 +204,18 @@ def parse_dex(units: DataFrame) -> DataFrame:
 def save_sources(found: DataFrame, path: str) -> None:
     """Write sources as text under package folders; the writer spreads over tasks, one file per task and package."""
     found.filter("error is null").select("package", "text").write.mode("overwrite").partitionBy("package").text(path)
+
+
+# Constant kinds by tag, and how their references are written.
+POOL_KINDS = {1: ("Utf8", "text"), 3: ("Integer", "value"), 4: ("Float", "value"), 5: ("Long", "value"), 6: ("Double", "value"), 7: ("Class", "one"), 8: ("String", "one"), 9: ("Fieldref", "dot"), 10: ("Methodref", "dot"), 11: ("InterfaceMethodref", "dot"), 12: ("NameAndType", "dot"), 15: ("MethodHandle", "handle"), 16: ("MethodType", "one"), 17: ("Dynamic", "two"), 18: ("InvokeDynamic", "two"), 19: ("Module", "one"), 20: ("Package", "one")}
+
+
+def pool_lines(pool: DataFrame) -> DataFrame:
+    """unit_id, idx, line of const_pool rows: the slot, the kind, and its value or the slots it refers to."""
+    a, b = F.concat(F.lit("#"), F.col("ref1").cast("string")), F.concat(F.lit("#"), F.col("ref2").cast("string"))
+    shapes = {"text": F.to_json(F.struct(F.col("text").alias("v"))), "value": F.col("text"), "one": a, "dot": F.concat(a, F.lit("."), b), "two": F.concat_ws(" ", a, b), "handle": F.concat_ws(" ", F.col("ref1").cast("string"), b)}
+    shapes["text"] = F.substring(shapes["text"], F.lit(6), F.length(shapes["text"]) - 6)
+    body = F.lit(None).cast("string")
+    for tag, (kind, shape) in POOL_KINDS.items():
+        body = F.when(F.col("tag") == tag, F.concat_ws(" ", F.lit(kind), shapes[shape])).otherwise(body)
+    return pool.select("unit_id", "idx", F.concat(F.lit("#"), F.col("idx").cast("string"), F.lit(": "), body).alias("line"))

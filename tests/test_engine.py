@@ -44,6 +44,12 @@ def test_tables_of_an_engine(engine):
     assert any("return arg0 + arg1;" in (r["text"] or "") for r in engine.sources.collect())
 
 
+def test_pool_lines_and_nodes(engine):
+    lines = {r["line"] for r in engine.pool.collect()}
+    assert {"#1: Utf8 \"com/example/Demo\"", "#2: Class #1"} <= lines and any(x.endswith("Integer 10") for x in lines) and any(": Methodref #" in x for x in lines)
+    assert {("c", "com/example/Demo"), ("f", "com/example/Demo#LIMIT:I"), ("m", "com/example/Demo#abs(I)I")} <= {tuple(r) for r in engine.nodes.collect()}
+
+
 def test_json_and_renames(engine):
     one = next(x for x in (json.loads(r["json"]) for r in engine.to_json().collect()) if x["name"] == "com.example.Demo")
     assert list(one) == ["name", "package", "origin", "fileName", "fields", "methods", "source"] and one["fields"] == ["LIMIT: int"] and "add(II)I" in one["methods"]
