@@ -6,6 +6,9 @@ are windows and equi-joins by unit, so units spread over the cluster and nothing
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +48,33 @@ def predecessors(links: DataFrame) -> DataFrame:
     return links.groupBy("unit", "dst").agg(F.sort_array(F.collect_set("src")).alias("preds"), (F.min("ord") == 0).alias("jump_target"))
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """(unit, node) reached from block 0 of every unit that has an edge."""
-    return closure(links.select("unit", "src", "dst"), links.select("unit").distinct().withColumn("node", F.lit(0).cast("long")), ["unit"])
+def reachable(links: DataFrame, wide: bool = False) -> DataFrame:
+    """(unit, node) reached from block 0 of every unit that has an edge.
+
+    A unit is a method, whose code is at most 64 KiB, so its edges fit a row: one shuffle, then a search per row. For
+    units of any size, `wide` spreads each over the cluster and goes on round by round.
+    """
+    if wide:
+        return closure(links.select("unit", "src", "dst"), links.select("unit").distinct().withColumn("node", F.lit(0).cast("long")), ["unit"])
+    rows = links.groupBy("unit").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    kind = links.schema["unit"].dataType.simpleString()
+    return rows.mapInArrow(_search, f"unit {kind}, nodes array<long>").select("unit", F.explode("nodes").alias("node"))
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = []
+        for src, dst in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            after: dict[int, list[int]] = {}
+            for a, b in zip(src, dst):
+                after.setdefault(a, []).append(b)
+            seen, todo = {0}, [0]
+            while todo:
+                fresh = [b for b in after.get(todo.pop(), ()) if b not in seen]
+                seen.update(fresh)
+                todo += fresh
+            nodes.append(list(seen))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.list_(pa.int64()))], ["unit", "nodes"])
 
 
 def merge_handlers(rows: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ def test_flow_of_a_loop(spark):
     assert sorted(map(tuple, found.select("block_id", "start_off", "end_off").collect())) == [(0, 0, 1), (1, 1, 2), (2, 2, 3), (3, 3, 4)]
     links = cfg.edges(found)
     assert sorted(map(tuple, links.select("src", "dst", "ord").collect())) == [(0, 1, 1), (1, 2, 1), (1, 3, 0), (2, 1, 0)]
-    assert {r["node"] for r in cfg.reachable(links).collect()} == {0, 1, 2, 3}
+    for wide in (False, True):
+        assert {r["node"] for r in cfg.reachable(links, wide).collect()} == {0, 1, 2, 3}
 
 
 def test_closure_of_a_cycle(spark):
