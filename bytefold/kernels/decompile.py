@@ -581,6 +581,36 @@ def plain(name: str) -> str:
     return short(name) if "." in name and "<" not in name else name
 
 
+def annotation_value(v: dict) -> str:
+    """The text of an annotation's value; a list of one stands without braces."""
+    tag, x = v["tag"], v["value"]
+    if tag == "[":
+        items = [annotation_value(i) for i in x]
+        return items[0] if len(items) == 1 else "{" + ", ".join(items) + "}"
+    if tag == "@":
+        return annotation_text(x)
+    if tag == "e":
+        return f"{short(v['type'].rstrip(';'))}.{x}"
+    if tag == "c":
+        return f"{plain(type_name(x))}.class"
+    if tag == "Z":
+        return "true" if x else "false"
+    if tag == "C":
+        return "'" + literal("string", chr(x)).text[1:-1].replace('\\"', '"').replace("'", "\\'") + "'"
+    kind = {"s": "string", "J": "long", "F": "float", "D": "double"}.get(tag, "int")
+    return literal(kind, x).text
+
+
+def annotation_text(a: dict) -> str:
+    values = a["values"]
+    inside = annotation_value(values["value"]) if list(values) == ["value"] else ", ".join(f"{k} = {annotation_value(v)}" for k, v in values.items())
+    return f"@{short(a['type'].rstrip(';'))}" + (f"({inside})" if inside else "")
+
+
+def annotations(attrs: dict) -> list[str]:
+    return [annotation_text(a) for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])]
+
+
 def method_source(cls: ClassFile, m: Member) -> list[str]:
     """Lines of one method; code that cannot be read leaves its reason."""
     simple = short(cls.name)
@@ -611,9 +641,12 @@ def method_source(cls: ClassFile, m: Member) -> list[str]:
         head = f"{modifiers(m.access, 'm')}{typed}{plain(back)} {m.name}({listed})"
     if m.attrs.get("Exceptions"):
         head += " throws " + ", ".join(short(x) for x in m.attrs["Exceptions"])
+    marks = annotations(m.attrs)
+    if "AnnotationDefault" in m.attrs:
+        head += f" default {annotation_value(m.attrs['AnnotationDefault'])}"
     if not m.attrs.get("Code"):
-        return [head + ";"]
-    return [head + " {", *("\t" * (d + 1) + t for d, t in lines), "}"]
+        return [*marks, head + ";"]
+    return [*marks, head + " {", *("\t" * (d + 1) + t for d, t in lines), "}"]
 
 
 def imports(cls: ClassFile) -> list[str]:
@@ -621,6 +654,8 @@ def imports(cls: ClassFile) -> list[str]:
     package = cls.name.rpartition("/")[0]
     used = {cls.super_name, *cls.interfaces}
     used |= {x for m in [*cls.fields, *cls.methods] for x in re.findall(r"L([^;]+);", m.descriptor)}
+    marked = [cls.attrs, *(m.attrs for m in [*cls.fields, *cls.methods])]
+    used |= {a["type"][1:-1] for attrs in marked for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])}
     for m in cls.methods:
         if body := m.attrs.get("Code"):
             try:
@@ -648,8 +683,9 @@ def class_source(cls: ClassFile) -> str:
         head += f" extends {above}"
     if faces:
         head += (" extends " if kind == "interface" else " implements ") + ", ".join(faces)
-    out.append(head + " {")
+    out += [*annotations(cls.attrs), head + " {"]
     for f in cls.fields:
+        out += ["\t" + a for a in annotations(f.attrs)]
         value = f.attrs.get("ConstantValue")
         t = type_name(f.descriptor)
         t = (f.attrs.get("Signature") and signature.field_type(f.attrs["Signature"])) or t

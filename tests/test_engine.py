@@ -119,7 +119,9 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["--unknown", "x"])
 
 
-JAVA = """package q; import java.util.*;
+JAVA = """package q; import java.util.*; import java.lang.annotation.*;
+@Retention(RetentionPolicy.RUNTIME) @Target({ElementType.TYPE, ElementType.FIELD}) @interface Mark { int[] n() default {1, 2}; char c() default '\\n'; Class<?> k(); String value() default "a"; boolean b() default true; }
+@Mark(k = Map.class, value = "x", b = false, n = 3)
 public class Sample { int n; static final long L = 5L; enum Kind { A, B }
   int sum(int[] xs) { int s = 0; for (int x : xs) { if (x < 0) continue; s += x; } return s; }
   String pick(int k) { switch (k) { case 1: return "one"; case 2: return "two"; default: return "é" + k; } }
@@ -136,10 +138,14 @@ def test_compiled_classes(tmp_path):
     (tmp_path / "Sample.java").write_text(JAVA)
     subprocess.run(["javac", "-g", "-encoding", "UTF-8", "-d", str(tmp_path), str(tmp_path / "Sample.java")], check=True)
     found = sorted(tmp_path.glob("q/*.class"))
-    assert len(found) == 2
+    assert len(found) == 3
     for path in found:
         c = classfile.parse(path.read_bytes())
         text = decompile.class_source(c)
         assert "// not decompiled" not in text, text
     text = decompile.class_source(classfile.parse((tmp_path / "q/Sample.class").read_bytes()))
+    assert "@Mark(k = Map.class, value = \"x\", b = false, n = 3)" in text
+    mark = decompile.class_source(classfile.parse((tmp_path / "q/Mark.class").read_bytes()))
+    assert "@Retention(RetentionPolicy.RUNTIME)" in mark and "@Target({ElementType.TYPE, ElementType.FIELD})" in mark
+    assert "default {1, 2};" in mark and "default '\\n';" in mark and "default true;" in mark and "@interface Mark" in mark
     assert "<U> U first(List<? extends U> l)" in text and "int sum(int[] xs)" in text and "while (" in text and "switch (k) {" in text and 'return "two";' in text
