@@ -13,6 +13,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--filter", action="append", default=[], metavar="PATTERN", help="only classes like p.C or p.*")
     p.add_argument("--rename-shorter-than", type=int, default=0, metavar="N", help="make aliases for shorter names")
     p.add_argument("--save-renames", metavar="PATH", help="write the aliases as a rename map")
+    p.add_argument("--no-escape-unicode", action="store_true", help="print characters beyond ASCII as they are")
+    p.add_argument("--hex", action="store_true", help="print integers in hexadecimal")
     what = p.add_mutually_exclusive_group()
     what.add_argument("--json", action="store_true", help="print JSON, one class a line")
     what.add_argument("--disasm", action="store_true", help="print listings")
@@ -27,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
     from .sources.renames import write_map
 
     given = parser().parse_args(args)
-    engine = Engine(SparkSession.builder.getOrCreate(), class_filter=given.filter, rename_shorter_than=given.rename_shorter_than)
+    engine = Engine(SparkSession.builder.getOrCreate(), class_filter=given.filter, rename_shorter_than=given.rename_shorter_than, escape_unicode=not given.no_escape_unicode, hexadecimal=given.hex)
     for path in given.inputs:
         engine.add_path(path)
     if given.save_renames:

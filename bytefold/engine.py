@@ -21,6 +21,8 @@ class Options:
 
     class_filter: list[str] = field(default_factory=list)
     entry_limit: int = 64 << 20
+    escape_unicode: bool = True
+    hexadecimal: bool = False
     rename_shorter_than: int = 0  # 0 renames nothing
     whitelist: list[str] = field(default_factory=list)
     force_whitelist: bool = False  # listed names are always renamed, instead of never
@@ -126,7 +128,7 @@ class Engine:
 
     @property
     def sources(self) -> DataFrame:
-        return tables.sources(self.units)
+        return tables.sources(self.units, self.options.escape_unicode, self.options.hexadecimal)
 
     @property
     def errors(self) -> DataFrame:

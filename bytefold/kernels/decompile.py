@@ -6,6 +6,7 @@ Control flow that does not fold into if, while and switch keeps labels and gotos
 from __future__ import annotations
 
 import re
+import struct
 from dataclasses import dataclass, field
 
 from . import signature
@@ -100,21 +101,60 @@ def reverse_postorder(out: dict[int, Block], roots: list[int]) -> list[int]:
     return order[::-1]
 
 
-def literal(kind: str, value) -> Value:
+@dataclass(frozen=True)
+class Style:
+    """How literals print: non-ASCII characters escaped or as they are, integers in decimal or hexadecimal."""
+
+    escape_unicode: bool = True
+    hexadecimal: bool = False
+
+
+def _character(c: str, style: Style) -> str:
+    plain = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\0": "\\0"}.get(c)
+    if plain or " " <= c <= "~" or c > "\x7f" and not style.escape_unicode:
+        return plain or c
+    units = c.encode("utf-16-be", "surrogatepass")
+    return "".join(f"\\u{int.from_bytes(units[k : k + 2], 'big'):04x}" for k in range(0, len(units), 2))
+
+
+def _integer(value: int, bits: int, style: Style) -> str:
+    if not style.hexadecimal:
+        return str(value)
+    named = {(1 << (bits - 1)) - 1: "MAX_VALUE", -(1 << (bits - 1)): "MIN_VALUE"}.get(value)
+    if named:
+        return f"{'Integer' if bits == 32 else 'Long'}.{named}"
+    return hex(value % (1 << bits))
+
+
+def literal(kind: str, value, style: Style = Style()) -> Value:
     if kind == "string":
-        body = "".join({'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, c if " " <= c <= "~" else "".join(f"\\u{int.from_bytes(c.encode('utf-16-be', 'surrogatepass')[k : k + 2], 'big'):04x}" for k in range(0, len(c.encode("utf-16-be", "surrogatepass")), 2))) for c in value)
-        return Value(f'"{body}"', type="String")
+        return Value('"' + "".join(_character(c, style) for c in value) + '"', type="String")
     if kind == "class":
         return Value(f"{short(value)}.class", type="Class")
-    if kind in ("long", "float", "double"):
-        return Value(f"{value}{ {'long': 'L', 'float': 'f', 'double': 'd'}[kind] }", 15 if value >= 0 else 13, kind, wide=kind != "float")
-    return Value(str(value), 15 if not isinstance(value, int) or value >= 0 else 13)
+    if kind == "long":
+        text = _integer(value, 64, style)
+        return Value(text if text.startswith("Long") else text + "L", 13 if text[0] == "-" else 15, kind, wide=True)
+    if kind in ("float", "double"):
+        return Value(_real(kind, value), 15 if value >= 0 else 13, kind, wide=kind == "double")
+    text = _integer(value, 32, style) if isinstance(value, int) else str(value)
+    return Value(text, 13 if text[0] == "-" else 15)
+
+
+def _real(kind: str, value: float) -> str:
+    holder = "Float" if kind == "float" else "Double"
+    if value != value or value in (float("inf"), float("-inf")):
+        return f"{holder}.{'NaN' if value != value else 'POSITIVE_INFINITY' if value > 0 else 'NEGATIVE_INFINITY'}"
+    if kind == "float":  # the shortest digits that read back as the same float
+        text = next(t for n in range(1, 10) if struct.pack("f", float(t := f"{value:.{n}g}")) == struct.pack("f", value))
+        value = float(text)
+    return f"{value!r}{kind[0]}"
 
 
 class Evaluator:
     """Runs the blocks of a method on symbols; statements and ends of blocks come out."""
 
-    def __init__(self, cls: ClassFile, method: Member):
+    def __init__(self, cls: ClassFile, method: Member, style: Style = Style()):
+        self.style = style
         body = method.attrs["Code"]
         self.cls, self.method = cls, method
         self.static = bool(method.access & 8)
@@ -192,12 +232,12 @@ class Evaluator:
         if sem == "const_null":
             push(Value("null", type="Object"))
         elif sem == "const_int":
-            push(literal("int", i.value))
+            push(literal("int", i.value, self.style))
         elif sem in ("const_long", "const_float", "const_double"):
             kind = sem[6:]
-            push(literal(kind, i.value if kind == "long" else float(i.value)))
+            push(literal(kind, i.value if kind == "long" else float(i.value), self.style))
         elif sem == "ldc":
-            push(literal(i.kind, i.value))
+            push(literal(i.kind, i.value, self.style))
         elif sem == "load":
             push(Value(self.local(i.local, letter), type=self.types.get(i.local, TYPES[letter]), wide=letter in "ld"))
         elif sem == "store":
@@ -611,14 +651,14 @@ def annotations(attrs: dict) -> list[str]:
     return [annotation_text(a) for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])]
 
 
-def method_source(cls: ClassFile, m: Member) -> list[str]:
+def method_source(cls: ClassFile, m: Member, style: Style = Style()) -> list[str]:
     """Lines of one method; code that cannot be read leaves its reason."""
     simple = short(cls.name)
     back = type_name(m.descriptor[m.descriptor.index(")") + 1 :])
     lines: list[tuple[int, str]] = []
     try:
         if m.attrs.get("Code"):
-            ev = Evaluator(cls, m)
+            ev = Evaluator(cls, m, style)
             ev.run()
             lines = [(0, f"{short(t)} tmp{k};") for k, t in enumerate(ev.temps, 1)] + fold(Structurer(ev).run())
             params = ev.params
@@ -665,7 +705,7 @@ def imports(cls: ClassFile) -> list[str]:
     return sorted({x.replace("/", ".").replace("$", ".") for x in used if x and "/" in x and x.rpartition("/")[0] not in ("java/lang", package) and x != cls.name})
 
 
-def class_source(cls: ClassFile) -> str:
+def class_source(cls: ClassFile, style: Style = Style()) -> str:
     package, _, name = cls.name.rpartition("/")
     out = [f"package {package.replace('/', '.')};", ""] if package else []
     if named := imports(cls):
@@ -689,7 +729,7 @@ def class_source(cls: ClassFile) -> str:
         value = f.attrs.get("ConstantValue")
         t = type_name(f.descriptor)
         t = (f.attrs.get("Signature") and signature.field_type(f.attrs["Signature"])) or t
-        out.append(f"\t{modifiers(f.access, 'f')}{plain(t)} {f.name}{' = ' + literal(*value).text if value else ''};")
+        out.append(f"\t{modifiers(f.access, 'f')}{plain(t)} {f.name}{' = ' + literal(*value, style).text if value else ''};")
     for m in cls.methods:
-        out += ["", *("\t" + x for x in method_source(cls, m))] if out[-1] != head + " {" else ["\t" + x for x in method_source(cls, m)]
+        out += ["", *("\t" + x for x in method_source(cls, m, style))] if out[-1] != head + " {" else ["\t" + x for x in method_source(cls, m, style)]
     return "\n".join([*out, "}"]) + "\n"

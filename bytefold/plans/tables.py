@@ -154,14 +154,15 @@ def explode_archives(units: DataFrame, limit: int = archive.LIMIT) -> DataFrame:
     return units.filter("kind = 'archive'").select("unit_id", "origin", "data").mapInArrow(run, ddl)
 
 
-def sources(units: DataFrame) -> DataFrame:
+def sources(units: DataFrame, escape_unicode: bool = True, hexadecimal: bool = False) -> DataFrame:
     """unit_id, class_name, package, file_name, text, error: the decompiled source of every class unit."""
     ddl = "unit_id long, class_name string, package string, file_name string, text string, error string"
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..kernels.decompile import class_source
+        from ..kernels.decompile import Style, class_source
 
+        style = Style(escape_unicode, hexadecimal)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
@@ -169,7 +170,7 @@ def sources(units: DataFrame) -> DataFrame:
                     try:
                         c = classfile.parse(data or b"")
                         outer = c.name.partition("$")[0]
-                        rows.append({"unit_id": unit, "class_name": c.name, "package": c.name.rpartition("/")[0], "file_name": f"{outer}.java", "text": class_source(c)})
+                        rows.append({"unit_id": unit, "class_name": c.name, "package": c.name.rpartition("/")[0], "file_name": f"{outer}.java", "text": class_source(c, style)})
                     except FormatError as e:
                         rows.append({"unit_id": unit, "error": str(e)})
                 yield pa.RecordBatch.from_pylist(rows, schema)

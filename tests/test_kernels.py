@@ -122,6 +122,12 @@ def test_decompiled_methods():
     assert "import pkg.Other;" in text and "java.lang" not in text and "public static final int LIMIT = 10;" in text
 
 
+def test_literals_follow_the_style():
+    plain, other = decompile.Style(), decompile.Style(escape_unicode=False, hexadecimal=True)
+    for kind, value, a, b in (("string", 'é"\n\0😀', '"\\u00e9\\"\\n\\0\\ud83d\\ude00"', '"é\\"\\n\\0😀"'), ("int", -1, "-1", "0xffffffff"), ("int", 2**31 - 1, "2147483647", "Integer.MAX_VALUE"), ("long", 7, "7L", "0x7L"), ("long", -(2**63), "-9223372036854775808L", "Long.MIN_VALUE"), ("float", struct.unpack("f", struct.pack("f", 0.1))[0], "0.1f", "0.1f"), ("double", 1e20, "1e+20d", "1e+20d"), ("double", float("nan"), "Double.NaN", "Double.NaN")):
+        assert (decompile.literal(kind, value, plain).text, decompile.literal(kind, value, other).text) == (a, b)
+
+
 def test_undecodable_code_keeps_the_class():
     b = demo()
     b.method("bad", "()V", b"\xca")
