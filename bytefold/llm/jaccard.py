@@ -136,7 +136,8 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(docs.mapInArrow(_nodes(k), "doc_id long, n_shingles long, sig long"))
     docs = docs.filter("doc_id is not null")
-    nodes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    # cut, so that joins with it are of plain exchanges, where Spark can split the rows of a set that has many copies
+    nodes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     token_rows = docs.select("text").mapInArrow(_index(percent, k), "token long, sig long, pos int")
     line = Window.partitionBy("token")
     listed = token_rows.select("*", F.min("sig").over(line).alias("lo"), F.max("sig").over(line).alias("hi"), F.count(F.lit(1)).over(line).alias("df")).filter("lo <> hi")
@@ -169,8 +170,8 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         return (100 + percent) * most >= percent * (na + nb)
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """a, b, shared of distinct pairs of sigs."""
-        one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
+        """a, b, shared of distinct pairs of sigs. They are cut from what made them distinct, so that Spark may split a hub's."""
+        one = cut(pairs).join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
         both = one.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
         return cut(both.mapInArrow(_verify, "a long, b long, shared long"))
 
