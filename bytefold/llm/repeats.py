@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textcore as tc
-from .common import fresh
+from .common import cut, fresh
 
 U64 = np.uint64
 FAR = np.int64(1 << 60)
@@ -249,7 +249,8 @@ def dedup(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
     # every step below joins the same rows by text, whole, so that Spark deals out the texts once
     rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text_id, F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
     own_text = rows.filter(F.col(doc).isNotNull()).groupBy(doc).agg(F.min(text_id).alias(text_id))
-    firsts = own_text.groupBy(text_id).agg(F.min(doc).alias(first))
+    # cut, so that the texts' joins with it are of plain exchanges, where Spark can split the copies of one text
+    firsts = cut(own_text.groupBy(text_id).agg(F.min(doc).alias(first)))
     sent = rows.join(firsts, text_id).select(*names, doc, first).mapInArrow(_send_anchors(window, rounds, at, own), "key long, symbol long, doc long")
     line = Window.partitionBy("key", "known")
     seen = sent.withColumn("known", F.col("symbol").isNotNull()).select("*", F.min("doc").over(line).alias("lo"), F.max("doc").over(line).alias("hi"))
