@@ -194,8 +194,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     classed = under.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component", "doc_id")
     done = classed.filter("sig = h").select("h", F.col("class").alias("done"))
     near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), (1 - F.col("near")).alias("far"), F.col("shared").alias("met"))
-    met = classed.filter("sig <> h").join(done, "h").join(near, ["h", "sig"], "left")
-    still = cut(met.join(met.filter("class <> done").select("h").distinct(), "h", "left_semi"))
+    still = cut(classed.filter("sig <> h").join(done, "h").join(near, ["h", "sig"], "left"))
     apart = F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9
     # two sets share what both share with the hub, and beyond it only tokens that neither has alone
     beyond = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.met") - F.col(f"{x}.own") for x in "ab"])
