@@ -91,6 +91,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((counts > 0).astype(np.float32) @ self.weights + self.bias, -30, 30)))
 
 
+def _chunks(n: int, size: int = 1024) -> list[slice]:
+    """Slices of rows, so that the driver never holds the sample's votes as floats."""
+    return [slice(at, at + size) for at in range(0, n, size)]
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> np.ndarray:
     """Posterior chances of toxicity given votes (0/1, texts by voters) and the annotators' labels.
 
@@ -99,36 +104,64 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> np.n
     say the same thing count as one. A voter that does not vote abstains; that all abstain is a vote of its own, and so
     is an annotator's "clean".
     """
-    all_votes = np.column_stack([votes, ~votes.any(axis=1), labels == 0, labels]).astype(np.float32)
+    all_votes = np.column_stack([votes, ~votes.any(axis=1), labels == 0, labels != 0]).astype(np.uint8)
+    size = all_votes.shape[1]
     chance = labels.astype(float)
     for _ in range(rounds):
         prior = np.clip(chance.mean(), 1e-4, 1 - 1e-4)
-        toxic = (chance @ all_votes + 0.1) / (chance.sum() + 1)
-        clean = ((1 - chance) @ all_votes + 0.1) / ((1 - chance).sum() + 1)
-        left = all_votes - np.outer(chance, toxic).astype(np.float32) - np.outer(1 - chance, clean).astype(np.float32)
-        scale = np.sqrt((left * left).mean(axis=0) + 1e-9)
-        together = np.clip((left.T @ left) / len(left) / np.outer(scale, scale), 0, 1)
+        toxic, clean = np.zeros(size), np.zeros(size)
+        for rows in _chunks(len(chance)):
+            toxic += chance[rows] @ all_votes[rows]
+            clean += (1 - chance[rows]) @ all_votes[rows]
+        toxic, clean = (toxic + 0.1) / (chance.sum() + 1), (clean + 0.1) / ((1 - chance).sum() + 1)
+        spread = np.zeros((size, size))
+        for rows in _chunks(len(chance)):
+            left = all_votes[rows] - np.outer(chance[rows], toxic) - np.outer(1 - chance[rows], clean)
+            spread += left.T @ left
+        scale = np.sqrt(np.diag(spread) / len(chance) + 1e-9)
+        together = np.clip(spread / len(chance) / np.outer(scale, scale), 0, 1)
         share = 1 / np.maximum(together.sum(axis=1), 1)
         share[-3:] = 1.0
-        toxic, clean = np.clip(toxic, 1e-4, 1 - 1e-4), np.clip(clean, 1e-4, 1 - 1e-4)
-        yes = np.log(toxic / clean) * share
-        chance = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + all_votes @ yes, -30, 30)))
+        yes = np.log(np.clip(toxic, 1e-4, 1 - 1e-4) / np.clip(clean, 1e-4, 1 - 1e-4)) * share
+        odds = np.concatenate([all_votes[rows] @ yes for rows in _chunks(len(chance))])
+        chance = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds, -30, 30)))
     return chance
 
 
 def linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton's method with a ridge on all weights but the bias."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    keep = np.full(len(w), ridge)
     keep[-1] = 1e-6
+    w[-1] = np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4))
+
+    def padded(rows: slice) -> np.ndarray:
+        return np.column_stack([x[rows], np.ones(len(x[rows]))]).astype(float)
+
+    def loss(w: np.ndarray) -> float:
+        total = 0.5 * float(keep @ (w * w))
+        for rows in _chunks(len(x)):
+            z = padded(rows) @ w
+            total += float((np.logaddexp(0, z) - target[rows] * z).sum())
+        return total
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (target - p) - keep * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None].astype(x.dtype)).T @ x
-        step = np.linalg.solve(curve + np.diag(keep), slope)
-        w += step
-        if np.abs(step).max() < 1e-4:
+        slope, curve = -keep * w, np.diag(keep)
+        for rows in _chunks(len(x)):
+            part = padded(rows)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = slope + part.T @ (target[rows] - p)
+            curve = curve + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step, was = np.linalg.solve(curve, slope), now
+        for _ in range(12):  # halved until it helps
+            if (now := loss(w + step)) <= was:
+                break
+            step = step / 2
+        else:
+            break
+        w = w + step
+        if was - now < 1e-6 * max(1.0, was):
             break
     return w[:-1], float(w[-1])
 
@@ -200,13 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
     rows = sample.mapInArrow(voted, "counts binary, shares binary, toxic int").toArrow()
     label = rows["toxic"].to_numpy().astype(float)
     shares = np.frombuffer(b"".join(rows["shares"].to_pylist()), float).reshape(-1, 4)
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(len(label), len(lexicon)).astype(np.float32)
+    votes = (np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(len(label), len(lexicon)) > 0).astype(np.uint8)
     cuts = np.quantile(shares, 0.95, axis=0)
-    x = np.column_stack([counts, (shares > cuts).astype(np.float32), counts.any(axis=1).astype(np.float32)])
-    order = np.lexsort((label, *x.T[:8], x.sum(axis=1)))  # rows come in any order; sums should not depend on it
-    x, label = x[order], label[order]
-    target = label_model(x[:, :-1] > 0, label)
-    weights, bias = linear((x > 0).astype(np.float32), target)
+    votes = np.column_stack([votes, (shares > cuts).astype(np.uint8), votes.any(axis=1).astype(np.uint8)])
+    del rows, shares
+    order = np.lexsort((label, *votes.T[:8], votes.sum(axis=1)))  # rows come in any order; sums should not depend on it
+    votes, label = votes[order], label[order]
+    weights, bias = linear(votes, label_model(votes[:, :-1] > 0, label))
     return Model(lexicon, cuts, weights, bias)
 
 
