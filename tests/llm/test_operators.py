@@ -344,6 +344,14 @@ def test_tokeniser_is_the_public_one():
         assert packing.public_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_tokeniser_takes_a_million_spaces(spark):
+    for space, n in ((" ", 1_000_001), ("\n", 500_003)):
+        ids = packing.public_ids("a" + space * 1_000_000 + "y")
+        assert (len(ids), ids[0], ids[-2:].tolist()) == (n + 1, 64, [88 if space == "\n" else 331, 0])
+    out = packing.pack_documents(docs(spark, [(1, "a" + " " * 1_000_000 + "y"), (2, "b")])).collect()
+    assert sum(r["length"] for r in out) == 1_000_002 + 2
+
+
 def test_packing(spark):
     import zlib
 
