@@ -422,6 +422,29 @@ def loop_body(spark, sf_dir):
     return closure(back, latches, ["header"]).unionByName(latches.select("header", F.col("header").alias("node"))).distinct()
 
 
+_WHOLE_GRAPH = "g AS (SELECT s_suppkey AS src, (s_suppkey * 3 + s_nationkey) % 97 AS dst FROM supplier)"
+
+
+def _whole_graph(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 97).alias("dst"))
+
+
+@query(f"WITH RECURSIVE {_WHOLE_GRAPH}, r(root, node) AS (SELECT DISTINCT src, src FROM g UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.node) SELECT root, node::BIGINT AS node FROM r")
+def reachability_whole(spark, sf_dir):
+    """reachability over all suppliers, each of them a root."""
+    g = _whole_graph(spark, sf_dir)
+    return closure(g, g.select(F.col("src").alias("root"), F.col("src").alias("node")), ["root"])
+
+
+@query(f"WITH RECURSIVE {_WHOLE_GRAPH}, b AS (SELECT src AS latch, dst AS header FROM g WHERE dst <= src), r(header, node) AS (SELECT header, latch FROM b UNION SELECT r.header, g.src FROM r JOIN g ON g.dst = r.node WHERE r.node <> r.header) SELECT header::BIGINT AS header, node::BIGINT AS node FROM r UNION SELECT header, header FROM b")
+def loop_body_whole(spark, sf_dir):
+    """loop_body over all suppliers."""
+    g = _whole_graph(spark, sf_dir)
+    latches = g.filter("dst <= src").select(F.col("dst").alias("header"), F.col("src").alias("node"))
+    back = g.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return closure(back, latches, ["header"], stop="node = header").unionByName(latches.select("header", F.col("header").alias("node"))).distinct()
+
+
 @query("""WITH l AS (SELECT DISTINCT user_id AS unit, event_id % 11 AS label FROM events WHERE event_type <> 'click'), j AS (SELECT DISTINCT user_id AS unit, event_id % 11 AS label FROM events WHERE event_type = 'click') SELECT unit, label::BIGINT AS label FROM l EXCEPT SELECT unit, label FROM j""")
 def dead_labels(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), (F.col("event_id") % 11).alias("label"), "event_type")

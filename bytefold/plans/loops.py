@@ -17,16 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def closure(edges: DataFrame, roots: DataFrame, keys: list[str], most_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, keys: list[str], most_rounds: int = 10_000, stop: str | None = None) -> DataFrame:
     """Rows (keys..., node) reached from `roots` (keys..., node) over `edges` (keys..., src, dst), roots included.
 
-    Each round joins only the newest rows, so work is in proportion to the edges reached.
+    Keys that `edges` does not have share all of them. Rows for which `stop` holds are reached and not left again. Each
+    round joins only the newest rows, so work is in proportion to the edges reached.
     """
+    on = [*(k for k in keys if k in edges.columns), "node"]
     edges = cut(edges.withColumnRenamed("src", "node").distinct())
     fresh = cut(roots.distinct())
     seen = fresh
     for _ in range(most_rounds):
-        ahead = fresh.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        going = fresh.filter(f"not ({stop})") if stop else fresh
+        ahead = going.join(edges, on).select(*keys, F.col("dst").alias("node")).distinct()
         fresh = cut(ahead.join(seen, [*keys, "node"], "left_anti"))
         if fresh.isEmpty():
             return seen
