@@ -279,6 +279,14 @@ def string_literal_escape(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.string_literal(text).alias("literal"))
 
 
+@query(r"""SELECT conv_id, turn, '"' || list_aggregate(list_transform(string_split(text || chr(9) || '"\' || chr(10) || chr(233), ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
+ WHEN unicode(c) > 126 OR unicode(c) < 32 THEN '\u' || printf('%04x', unicode(c)) ELSE c END), 'string_agg', '') || '"' AS literal FROM conversations""")
+def string_literal_escape_whole(spark, sf_dir):
+    """string_literal_escape of whole texts."""
+    text = F.concat(F.col("text"), F.lit('\t"\\\né'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.string_literal(text).alias("literal"))
+
+
 @query("SELECT conv_id, turn, substr(j, 2, length(j) - 2) AS body FROM (SELECT conv_id, turn, to_json(text)::VARCHAR AS j FROM conversations)")
 def json_escape(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.json_body(F.col("text")).alias("body"))

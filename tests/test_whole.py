@@ -41,3 +41,11 @@ def test_graph_queries_take_every_supplier(spark, folder):
                     ahead += [s for s, d in edges.items() if d == node]
     assert sorted(found(spark, "loop_body_whole", sf_dir)) == sorted(body)
     assert max(h for h, _ in reach) == 1003 and max(n for _, n in body) == 1003
+
+
+def test_literals_hold_whole_texts(spark, folder):
+    text = "ab\"\\ é\n" * 300 + "\tend\u20ac"
+    sf_dir = folder("conversations", [(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
+    code = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t"}
+    want = "".join(code.get(c, c if ord(c) < 127 else f"\\u{ord(c):04x}") for c in text + '\t"\\\né')
+    assert found(spark, "string_literal_escape_whole", sf_dir) == [(1, 0, f'"{want}"')]
