@@ -151,6 +151,16 @@ def comment_attach(spark, sf_dir):
     return out.select(F.col("node").alias("conv_id"), F.coalesce(F.array_join("comments", "|"), F.lit("")).alias("comments"), F.coalesce(F.when(F.col("comments").isNotNull(), F.size("comments")), F.lit(0)).cast("long").alias("n"))
 
 
+@query("SELECT c.conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system'), '') AS comments, count(*) FILTER (role <> 'system')::BIGINT AS n FROM conversations c GROUP BY c.conv_id")
+def comment_attach_whole(spark, sf_dir):
+    """comment_attach of whole comments."""
+    rows = table(spark, sf_dir, "conversations")
+    nodes = rows.select(F.lit("c").alias("kind"), F.col("conv_id").alias("node")).distinct()
+    comments = rows.filter("role <> 'system'").select(F.lit("c").alias("kind"), F.col("conv_id").alias("node"), F.col("turn").alias("ord"), "text")
+    out = naming.attach_comments(nodes, comments)
+    return out.select(F.col("node").alias("conv_id"), F.coalesce(F.array_join("comments", "|"), F.lit("")).alias("comments"), F.coalesce(F.when(F.col("comments").isNotNull(), F.size("comments")), F.lit(0)).cast("long").alias("n"))
+
+
 _HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
 _PATTERNS = ["example.com", "site1.*", "www.*"]
 

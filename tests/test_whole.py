@@ -49,3 +49,9 @@ def test_literals_hold_whole_texts(spark, folder):
     code = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t"}
     want = "".join(code.get(c, c if ord(c) < 127 else f"\\u{ord(c):04x}") for c in text + '\t"\\\né')
     assert found(spark, "string_literal_escape_whole", sf_dir) == [(1, 0, f'"{want}"')]
+
+
+def test_comments_are_attached_whole(spark, folder):
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "x" * 50), (1, 2, "assistant", "a comment of more than twenty characters"), (2, 0, "system", "alone")]
+    sf_dir = folder("conversations", rows, "conv_id long, turn long, role string, text string")
+    assert sorted(found(spark, "comment_attach_whole", sf_dir)) == [(1, f"{'x' * 50}|a comment of more than twenty characters", 2), (2, "", 0)]
