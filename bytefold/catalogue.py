@@ -613,6 +613,15 @@ def disasm_text(spark, sf_dir):
     return tables.listings(tables.parse_classes(_units(spark, sf_dir))).filter("name = 'grow'").select("unit_id", "listing")
 
 
+@query("""SELECT p_partkey AS unit_id, 0::INTEGER AS method_idx, 'grow' AS name, '    0: iload_0' || chr(10) || '    1: bipush ' || p_size || chr(10) || '    3: iadd' || chr(10) || '    4: ireturn' || chr(10) || 'line ' || p_size || ': 0' AS listing FROM part
+UNION ALL SELECT p_partkey, 1, 'abs', '    0: iload_0' || chr(10) || '    1: ifge 8' || chr(10) || '    4: iload_0' || chr(10) || '    5: ineg' || chr(10) || '    6: istore_0' || chr(10) || '    7: nop' || chr(10) || '    8: iload_0' || chr(10) || '    9: ireturn' || chr(10) || 'catch ' || CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' ELSE 'any' END || ' 0..4 -> 8' FROM part""")
+def disasm_text_whole(spark, sf_dir):
+    """The listings of every method."""
+    from .plans import tables
+
+    return tables.listings(tables.parse_classes(_units(spark, sf_dir))).select("unit_id", "method_idx", "name", "listing")
+
+
 _SOURCE_SQL = r"""'package pkg;' || chr(10) || chr(10) || 'public class P' || p_partkey || ' {' || chr(10) || chr(9) || 'public static final int size = ' || p_size || ';' || chr(10) || chr(9) || 'public static final String name = "' || p_name || '";' || chr(10) || chr(10)
 || chr(9) || 'public static int grow(int arg0) {' || chr(10) || chr(9) || chr(9) || 'return arg0 + ' || p_size || ';' || chr(10) || chr(9) || '}' || chr(10)"""
 
@@ -625,6 +634,18 @@ def decompile_source(spark, sf_dir):
     return sources.select("unit_id", "file_name", F.regexp_extract("text", r"(?s)^(.*?arg0 \+ \d+;\n\t\}\n)", 1).alias("head"))
 
 
+_ABS_SQL = r"""replace(chr(10) || '>public static int abs(int arg0) {' || chr(10) || '>>try {' || chr(10) || '>>>if (arg0 < 0) {' || chr(10) || '>>>>arg0 = -arg0;' || chr(10) || '>>>}' || chr(10)
+|| '>>} catch (' || CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END || ' caught) {' || chr(10) || '>>}' || chr(10) || '>>return arg0;' || chr(10) || '>}' || chr(10) || '}' || chr(10), '>', chr(9))"""
+
+
+@query(f"SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey || '.java' AS file_name, {_SOURCE_SQL} || {_ABS_SQL} AS text FROM part")
+def decompile_source_whole(spark, sf_dir):
+    """The whole text of every source, with the methods and handlers that decompile_source and decompile_handlers leave out."""
+    from .plans import tables
+
+    return tables.sources(_units(spark, sf_dir)).select("unit_id", "file_name", "text")
+
+
 @query("""SELECT p_partkey AS unit_id, '.class public LP' || p_partkey || ';' || chr(10) || '.super Ljava/lang/Object;' || chr(10) || '.field public static size:I' || chr(10) || '.method public static run()V' || chr(10) || '    0000: const/16 v1, ' || p_size || chr(10) || '    0002: sput v1, LP' || p_partkey || ';->size:I' || chr(10) || '    0004: return-void' || chr(10) || '.end method' AS listing FROM part""")
 def dex_listing(spark, sf_dir):
     import pyarrow as pa

@@ -55,3 +55,12 @@ def test_comments_are_attached_whole(spark, folder):
     rows = [(1, 0, "system", "rules"), (1, 1, "user", "x" * 50), (1, 2, "assistant", "a comment of more than twenty characters"), (2, 0, "system", "alone")]
     sf_dir = folder("conversations", rows, "conv_id long, turn long, role string, text string")
     assert sorted(found(spark, "comment_attach_whole", sf_dir)) == [(1, f"{'x' * 50}|a comment of more than twenty characters", 2), (2, "", 0)]
+
+
+def test_listings_and_sources_hold_every_method(spark, folder):
+    sf_dir = folder("part", [(1, "odd part", 9), (2, "even part", 10)], "p_partkey long, p_name string, p_size long")
+    listings = {(u, n): t for u, _, n, t in found(spark, "disasm_text_whole", sf_dir)}
+    assert set(listings) == {(u, n) for u in (1, 2) for n in ("grow", "abs")}
+    assert listings[1, "abs"].endswith("catch java/lang/Exception 0..4 -> 8") and "ifge 8" in listings[2, "abs"]
+    for unit, _, text in found(spark, "decompile_source_whole", sf_dir):
+        assert "int abs(int arg0)" in text and ("catch (Exception caught)" in text) == (unit == 1) and text.endswith("\n}\n")
