@@ -21,13 +21,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (sets of five-word shingles, Jaccard 0.8 or more) the document with the smallest
-    doc_id stays; of rows that repeat it, one. Rows without doc_id or without words have no class and stay."""
-    classes = jaccard.join(docs.select("doc_id", "text"), percent=80, k=5).filter("doc_id is not null and n_shingles > 0 and doc_id <> component_id")
-    left = docs.select(*COLUMNS).join(classes.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near-duplicates (sets of five-word shingles, Jaccard 0.8 or more) one row stays: of the smallest
+    doc_id, and of its rows in the class the one whose text hashes lowest. Rows that share a doc_id are near-duplicates only
+    by their texts; of rows with one doc_id and one text, one stays. Rows without doc_id or without words have no class and stay."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("key")
+    keyed = docs.select(*COLUMNS, key)
+    classes = jaccard.join(keyed.select(F.col("key").alias("doc_id"), "text"), percent=80, k=5).filter("doc_id is not null and n_shingles > 0")
+    ids = keyed.filter("key is not null").select("key", "doc_id").distinct()
+    placed = cut(classes.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key"))
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    left = keyed.join(placed.select("key").join(first, "key", "left_anti"), "key", "left_anti")
     worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = left.filter(worded).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return one.select(*COLUMNS).unionByName(left.filter(~worded))
+    one = left.filter(worded).groupBy("key", "doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return one.select(*COLUMNS).unionByName(left.filter(~worded).select(*COLUMNS))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,13 @@ def test_near_duplicates_stage(spark, rows):
     assert len(worded) == len(set(worded))
 
 
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c"))
+    rows = [(1, one, "en", "s", 1), (2, one + " end", "en", "s", 2), (2, two, "en", "s", 3), (3, three, "en", "s", 4), (3, two, "en", "s", 5), (3, three, "en", "s", 4)]
+    left = pipeline.near_duplicates(spark, docs(spark, rows + [(4, three + " end", "en", "s", 6), (4, "", "en", "s", 0)]), None).collect()
+    assert sorted(tuple(r) for r in left) == sorted([(1, one, "en", "s", 1), (2, two, "en", "s", 3), (3, three, "en", "s", 4), (4, "", "en", "s", 0)])
+
+
 def test_secrets_stage(spark, rows):
     left = pipeline.secret_redaction(spark, docs(spark, rows), None).collect()
     assert len(left) == len(rows)
