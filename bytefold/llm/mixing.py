@@ -2,9 +2,10 @@
 
 Method: documents are counted by exact length; each source's budget is split into whole copies of all its documents
 and a rest, the rest is filled by count of length (a proportional share of every length, then the longest that fit,
-then a bounded-knapsack table over what still lacks), and of each length the documents with the smallest seeded hash
-are taken. Only length counts enter the fitting; documents are ranked by buckets of their hash, so that no group of
-equal lengths is ever sorted as a whole.
+then a bounded-knapsack table over what still lacks) from below and, where that misses, by what is left out from above;
+the nearer of both counts. Of each length the documents with the smallest seeded hash are taken. Only length counts
+enter the fitting; documents are ranked by buckets of their hash, so that no group of equal lengths is ever sorted as
+a whole.
 """
 
 from __future__ import annotations
@@ -96,6 +97,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
+    """How many of each length to take so that their sum comes as near to `budget` as fit() finds, from below or above."""
+    total = int((lengths * counts).sum())
+    below = fit(lengths, counts, int(budget))
+    short = budget - int((below * lengths).sum())
+    if short <= 0.5:  # no whole number above is nearer
+        return below
+    # what is left out of a sum just above the budget is a sum just below the rest
+    above = counts.astype(np.int64) - fit(lengths, counts, max(total - int(np.ceil(budget)), 0))
+    above = np.where(lengths == 0, below, above)
+    over = int((above * lengths).sum()) - budget
+    return above if 0 <= over < short else below
+
+
 def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
@@ -124,10 +139,9 @@ def choose(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
     def fitted(frame):
         whole, target = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
-        budget = int(round(target))
-        base = min(most, budget // whole) if whole else 0
+        base = min(most, int(round(target)) // whole) if whole else 0
         frame["base"] = base
-        frame["take"] = fit(frame["size"].to_numpy(), frame["n"].to_numpy(), budget - base * whole) if base < most and whole else 0
+        frame["take"] = nearest(frame["size"].to_numpy(), frame["n"].to_numpy(), max(target - base * whole, 0.0)) if base < most and whole else 0
         return frame[["source", "size", "n", "source_size", "target", "base", "take"]]
 
     plan = cut(lengths.groupBy("source").applyInPandas(fitted, "source string, size long, n long, source_size long, target double, base long, take long"))

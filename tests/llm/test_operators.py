@@ -447,3 +447,22 @@ def test_fit_is_exact_where_it_can_be():
             sums = {s + k * size for s in sums for k in range(n + 1)}
         assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == max(s for s in sums if s <= budget)
     assert mixing.fit(np.array([3, 5]), np.array([4, 4]), 11).tolist() == [2, 1]
+
+
+def test_mix_takes_the_nearer_sum(spark):
+    for others, target, copies in ((260, 900, 1), (1660, 1900, 2)):
+        rows = [(0, "a", "w " * 1000)] + [(d, "b", "w") for d in range(1, others + 1)]
+        out = mixing.mix(docs(spark, rows, "doc_id long, source string, text string")).collect()
+        long = next(r for r in out if r["source"] == "a")
+        assert (round(long["target"]), long["copies"], long["taken"]) == (target, copies, 1000 * copies)
+    rng = random.Random(10)
+    for _ in range(60):
+        lengths = np.array(sorted(rng.sample(range(1, 60), rng.randint(1, 6))))
+        counts = np.array([rng.randint(1, 4) for _ in lengths])
+        budget = rng.uniform(0, int((lengths * counts).sum()))
+        sums = {0}
+        for size, n in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * size for s in sums for k in range(n + 1)}
+        take = mixing.nearest(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
