@@ -3,7 +3,7 @@
 Method: bound-certified repacking. Pieces are dealt over partitions; each partition runs best-fit decreasing and
 compares its number of bins with a lower bound from dual-feasible functions. A bin count that meets its bound is
 certified. Partitions with a gap put their open bins into a common pool, certified ones only their emptiest bin; the
-pool is dealt anew over fewer partitions and packed again, until one partition holds the rest or nothing improves.
+pool is dealt anew over fewer partitions and packed again, until one partition holds the rest or the pool no longer shrinks.
 """
 
 from __future__ import annotations
@@ -21,44 +21,49 @@ from .common import cut
 CAPACITY = 2048
 PER_PARTITION = 40_000
 END_ID = 0
+TURNS = 1 << 8  # rounds that sequence ids have room for; the pool stops shrinking long before
 _encoders: dict[str, object] = {}
 
 
-def encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of a ranks file; tokenisers are only read, never trained."""
+def reader(json_path: str):
+    """The vocabulary's .json with its own settings: strings of its added tokens inside a text are those tokens."""
+    if json_path not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[json_path] = Tokenizer.from_file(json_path)
+    return _encoders[json_path]
+
+
+def encoder(ranks_path: str, json_path: str, pattern: str):
+    """The same vocabulary as ranks, with the added tokens that the .json names; tokenisers are only read, never trained."""
     if ranks_path not in _encoders:
         import base64
+        import json
 
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[ranks_path] = tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(json_path, encoding="utf-8") as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        _encoders[ranks_path] = tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[ranks_path]
 
 
-def slow_encoder(json_path: str):
-    """The same vocabulary's .json, whose reader has no limit on runs; strings of special tokens are ordinary text in both."""
-    if json_path not in _encoders:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(json_path)
-        made.encode_special_tokens = True
-        _encoders[json_path] = made
-    return _encoders[json_path]
-
-
 def public_ids(text: str | None) -> np.ndarray:
-    """Ids of byte_bpe_50k (its .json and .tiktoken hold one vocabulary, and tests compare both), then the end id.
+    """Ids as the .json reader of byte_bpe_50k gives them (add_special_tokens=False), then the end id.
 
-    tiktoken's expression overflows on very long runs of white space; the .json reader takes such a text.
+    They come from the vocabulary's ranks file, whose reader is faster; tests hold both equal. A string of an added token
+    in a text is that token's one id in both. The ranks reader's expression overflows on very long runs of white space;
+    such a text goes to the .json reader.
     """
     import public_tokenizers
 
+    ranks, whole = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
     try:
-        ids = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_to_numpy(text or "")
+        ids = encoder(ranks, whole, public_tokenizers.PATTERN).encode_to_numpy(text or "", allowed_special="all")
     except ValueError:
-        ids = np.array(slow_encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, "<u4")
+        ids = np.array(reader(whole).encode(text, add_special_tokens=False).ids, "<u4")
     return np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
 
 
@@ -144,14 +149,14 @@ def _packer(capacity: int, per_partition: int, turn: int, last: bool):
             give[fill < capacity] = len(fill) > lower_bound(lengths, capacity)
             give[int(fill.argmin())] = True
         frame = frame[["salt", "doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-        frame["sequence_id"] = (int(key[0]) * per_partition * 8 + where) * 64 + turn
+        frame["sequence_id"] = (int(key[0]) * per_partition * 8 + where) * TURNS + turn
         frame["offset"], frame["open"] = offset, give[where]
         return frame
 
     return packed_part
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, max_rounds: int = 8) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """Give each row of `parts` (a length of 1 to `capacity`, any other columns of pieces()) a sequence_id and an offset.
 
     Rows may repeat: each is placed. No input rows give no output rows. A partition holds about `per_partition` rows
@@ -159,18 +164,23 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
     """
     parts = cut(parts.withColumn("salt", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())))
     full = parts.filter(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
-    done, pool, before = [full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * 64).alias("sequence_id"), "offset")], parts.filter(F.col("length") < capacity), None
-    for turn in range(1, max_rounds + 1):
-        count = pool.count()
-        if not count:
-            break
+    done, pool = [full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * TURNS).alias("sequence_id"), "offset")], parts.filter(F.col("length") < capacity)
+    count, bins, turn = pool.count(), None, 0
+    while count:
+        turn += 1
         many = -(-count // per_partition)
-        last = many == 1 or turn == max_rounds or count == before
-
+        last = many == 1 or turn == TURNS - 1
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(many)))
         packed = cut(dealt.groupBy("part").applyInPandas(_packer(capacity, per_partition, turn, last), _PACKED))
+        if last:
+            done.append(packed.select(*done[0].columns))
+            break
+        count, used = packed.filter("open").agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        if bins is not None and used >= bins:  # the pool no longer shrinks: what this round packed stands
+            done.append(packed.select(*done[0].columns))
+            break
         done.append(packed.filter("not open").select(*done[0].columns))
-        pool, before = packed.filter("open").select(*parts.columns), count
+        pool, bins = packed.filter("open").select(*parts.columns), used
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -338,10 +338,13 @@ def test_tokeniser_is_the_public_one():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [x for _, x in corpus()] + ["é😀 l'été  \n\n x", "<|endoftext|>", "don't  STOP 123,456", "a" * 3000]
+    end = "<|endoftext|>"
+    texts = [x for _, x in corpus()] + ["é😀 l'été  \n\n x", "don't  STOP 123,456", "a" * 3000, " \t\n" * 400, "\x00\x1f\x7f\u00a0\u3000\u2028x"]
+    texts += [end, f"{end} behind", f"ahead {end}", f"hello {end} world", end * 5, f"a{end}b  {end}\n{end} ", f"  {end}  x", "<|endoftext", "<|ENDOFTEXT|>", f"{end[:-1]}{end}"]
+    texts += ["".join(random.Random(k).choices(["a", " ", "\n", "é", "中", "1", "'s", "!", end, "\u200d"], k=300)) for k in range(40)]
     for text in texts:
         assert packing.public_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+    assert packing.public_ids(f"hello {end} world").tolist() == [31373, 220, 50256, 995, 0]
 
 
 def test_tokeniser_takes_a_million_spaces(spark):
