@@ -2,8 +2,10 @@
 
 Method: the hashes of all rolling word k-grams of every text are joined with those of the templates (a fixed list of
 short texts, so broadcast); matches vote for their diagonal, document position less template position; neighbouring
-diagonals of a template are merged into spans, which must cover enough of the template's words to stand. Every gram
-match is compared word by word before it votes, so that a hash collision never counts.
+diagonals of a template are merged into spans. A span is verified on both sides: matched grams must cover enough of the
+template's words and enough of the document's words between the span's ends. Every gram match is compared word by word
+before it votes, so that a hash collision never counts. The matches, few, are kept before they are counted, so that the
+grams of a text are made once.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
-DRIFT = 4
-COVER = 0.6
+DRIFT = 4  # between neighbouring diagonals
+WIDEST = 16  # diagonals that a span may take
+COVER = 0.6  # of the template's words, and of the document's between the ends
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -98,17 +101,43 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     row, places, stretches = fresh(docs, "__row", "__places", "__stretches")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn(row, F.xxhash64(text))
-    seen = votes(keyed.select(F.col(row).alias("row_key"), text.alias("text")), templates, phrases)
+    seen = cut(votes(keyed.select(F.col(row).alias("row_key"), text.alias("text")), templates, phrases))
     base = seen.filter("kind = 'p'").groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct(F.col("pos").cast("long").alias("start"), "label"))).alias(places))
     diagonals = seen.filter("kind = 't'").groupBy("row_key", "label", "size", "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at"))
     line = Window.partitionBy("row_key", "label").orderBy("diagonal")
     begins = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= DRIFT, 0).otherwise(1)
-    merged = diagonals.withColumn("begins", begins).withColumn("run", F.sum("begins").over(line))
-    merged = merged.groupBy("row_key", "label", "size", "run").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.flatten(F.collect_list("at")).alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + K - 1)))))
-    good = merged.withColumn("cover", covered / F.col("size")).filter(F.col("cover") >= COVER)
+    chained = diagonals.withColumn("begins", begins).withColumn("run", F.sum("begins").over(line))
+    wide = F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("row_key", "label", "run"))) / WIDEST)
+    both = [F.flatten(F.collect_list(F.transform("at", lambda a, c=c: a + c))) for c in (F.lit(0), F.col("diagonal"))]
+    merged = chained.withColumn("part", wide).groupBy("row_key", "label", "size", "run", "part").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), both[0].alias("at"), both[1].alias("pos"))
+
+    def covered(starts: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + K - 1)))))
+
+    dense = covered("pos") >= COVER * (F.col("last") - F.col("first") + 1)
+    good = merged.withColumn("cover", covered("at") / F.col("size")).filter((F.col("cover") >= COVER) & dense)
     spans = good.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("label", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "cover"))).alias(stretches))
     found = base.join(spans, "row_key", "full").withColumnRenamed("row_key", row)
     counted = keyed.withColumn("n_words", F.size(words(text)).cast("long")).join(found, row, "left")
     no_places, no_stretches = F.array().cast("array<struct<start:bigint,label:string>>"), F.array().cast("array<struct<label:string,first:bigint,last:bigint,cover:double>>")
     return counted.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce(places, no_places).alias("base"), F.coalesce(stretches, no_stretches).alias("spans"))
+
+
+def oracle(templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> str:
+    grams = ", ".join(f"('{label}', {i}, '{' '.join(w[i : i + K])}', {len(w)})" for label, text in templates.items() for w in [words_of(text)] for i in range(len(w) - K + 1))
+    places = " UNION ALL ".join(f"SELECT r, pos, '{label}' AS label FROM g WHERE array_to_string(w[pos + 1:pos + {len(words_of(p))}], ' ') = '{' '.join(words_of(p))}'" for p, label in phrases.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, i AS pos, w[i + 1:i + 3] AS w FROM d, unnest(range(len(w))) AS t(i)),
+t(label, spot, gram, size) AS (VALUES {grams}),
+base AS ({places.replace("w[pos + 1:pos + ", "w[1:")}),
+v AS (SELECT r, label, size, pos, spot, pos - spot AS diagonal FROM g JOIN t ON array_to_string(w, ' ') = gram),
+c AS (SELECT *, sum(begins) OVER (PARTITION BY r, label ORDER BY diagonal) AS run FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, label ORDER BY diagonal) <= {DRIFT} THEN 0 ELSE 1 END AS begins FROM (SELECT DISTINCT r, label, diagonal FROM v))),
+p AS (SELECT v.*, run, (v.diagonal - min(v.diagonal) OVER (PARTITION BY v.r, v.label, run)) // {WIDEST} AS part FROM v JOIN c USING (r, label, diagonal)),
+m AS (SELECT r, label, list_unique(flatten(list(range(spot, spot + {K})))) / any_value(size) AS cover, list_unique(flatten(list(range(pos, pos + {K})))) AS dense, max(pos) + {K} - min(pos) AS long FROM p GROUP BY r, label, run, part),
+s AS (SELECT r, label, cover FROM m WHERE cover >= {COVER} AND dense >= {COVER} * long),
+b AS (SELECT r, count(*) AS n, min(pos) AS first, max(pos) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM s) GROUP BY r),
+best AS (SELECT r, max(least(cover, 1.0)) AS cover FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN best USING (r)"""
