@@ -1,9 +1,10 @@
 """Mixing sources to target weights: subset-sum budget fitting.
 
 Method: documents are counted by exact length; each source's budget is split into whole copies of all its documents
-and a rest, the rest is filled by count of length (a proportional share of every length, then the longest that fit,
-then a bounded-knapsack table over what still lacks) from below and, where that misses, by what is left out from above;
-the nearer of both counts. Of each length the documents with the smallest seeded hash are taken. Only length counts
+and a rest, and the rest is filled by count of length from a bounded-knapsack table, from below and, where that misses,
+by what is left out from above; the nearer of both counts. Up to `TABLE` words the table holds the whole rest, so the sum
+is the nearest there is. Beyond, a proportional share of every length and the longest that fit are taken first, and the
+table settles the last `TABLE` words, in which every length takes part. Of each length the documents with the smallest seeded hash are taken. Only length counts
 enter the fitting; documents are ranked by buckets of their hash, so that no group of equal lengths is ever sorted as
 a whole.
 """
@@ -18,7 +19,7 @@ from .common import SPACE_WORD, cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-TABLE = 1 << 16
+TABLE = 1 << 23  # words, a byte and an int32 each
 BUCKETS = 1024
 
 
@@ -47,28 +48,54 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return ranked.select("source", "source_size", F.least(F.col("weight") * rate, (F.col("source_size") * most).cast("double")).alias("target"))
 
 
+def fill(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """How many of each length have the largest sum up to `goal`: a bounded knapsack by binary parts of each count.
+
+    A step adds a part of one length to all sums reached before it, and a new sum remembers its step, which leads back.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    reached, step, parts, top = np.zeros(goal + 1, bool), np.zeros(goal + 1, np.int32), [], 0
+    reached[0] = True
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[i])
+        free, part = min(int(counts[i]), goal // size) if size else 0, 1
+        while free > 0 and not reached[goal]:
+            n = min(part, free)
+            far = n * size
+            top = min(goal, top + far)
+            fresh = reached[: top - far + 1] & ~reached[far : top + 1]
+            step[far : top + 1][fresh] = len(parts)
+            reached[far : top + 1] |= fresh
+            parts.append((i, n, far))
+            free, part = free - n, part * 2
+    at = goal - int(np.argmax(reached[::-1]))
+    while at:
+        i, n, far = parts[step[at]]
+        take[i] += n
+        at -= far
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum comes as near below `budget` as this finds; exact where the whole
-    fits into the table, and never more of a length than there are."""
+    """How many of each length to take so that their sum comes as near below `budget` as this finds, never more of a length
+    than there are; exact up to a budget of `TABLE`."""
     counts = counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts
-    take = np.floor(counts * (budget / total) if total else counts * 0).astype(np.int64)
+    if budget <= TABLE:
+        return fill(lengths, counts, max(budget, 0))
+    take = np.floor(counts * (budget / total)).astype(np.int64)
     rest = budget - int((take * lengths).sum())
     while rest < 0:  # rounding of the share
         i = int(np.argmax(take * lengths))
         take[i] -= 1
         rest += int(lengths[i])
     for i in np.argsort(-lengths, kind="stable").tolist():
-        if rest <= 0:
-            break
-        more = min(int(counts[i] - take[i]), rest // int(lengths[i])) if lengths[i] else 0
-        if rest > TABLE:
+        if rest > TABLE and lengths[i]:
+            more = min(int(counts[i] - take[i]), rest // int(lengths[i]))
             take[i] += more
             rest -= more * int(lengths[i])
-    if not 0 < rest:
-        return take
     # give some of each length back, as much as the table holds, so that what is taken can also be exchanged
     room, left = TABLE - rest, len(lengths)
     for i in np.argsort(lengths, kind="stable").tolist():
@@ -78,23 +105,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             rest += back * int(lengths[i])
             room -= back * int(lengths[i])
         left -= 1
-    goal = min(rest, TABLE)
-    reach, steps, window = 1, [], (1 << (goal + 1)) - 1
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        free = min(int(counts[i] - take[i]), goal // size) if size else 0
-        part = 1
-        while free > 0 and not reach >> goal & 1:
-            n = min(part, free)
-            steps.append((i, n, n * size, reach))
-            reach |= reach << (n * size) & window
-            free, part = free - n, part * 2
-    at = reach.bit_length() - 1
-    for i, n, size, was in reversed(steps):
-        if not was >> at & 1:
-            take[i] += n
-            at -= size
-    return take
+    return take + fill(lengths, counts - take, min(rest, TABLE))
 
 
 def nearest(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
