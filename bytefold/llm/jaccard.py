@@ -5,17 +5,20 @@ exact prefix index: in the order of their hashes, two sets that link share one t
 of a longer one, so sets whose prefix tokens stand in no other set drop out at once; of the rest only the tokens that
 stand in the fewest sets are indexed.
 
-The index lists are used with two kinds of skipping. Entries carry the token's position in their set, which bounds the
-overlap that a pair can still reach, so entries of far positions or sizes are skipped. And answers are derived from
-those of a similar set: each list is first compared with one of its sets, its hub; two sets that link with it need no
+The index lists are used with two kinds of skipping. A list stands in blocks of like sizes: sets that link lie in one
+block or in two neighbouring ones, so a set stands in its own block and the one below and all other blocks of the list
+are never read for it. Inside a block, entries carry the token's position in their set, which bounds the overlap that a
+pair can still reach, so entries of far positions are skipped. And answers are derived from
+those of a similar set: each block is first compared with one of its sets, its hub; two sets that link with it need no
 comparison for the classes, and by the triangle inequality of the Jaccard distance a pair can only link when its
 distances to the hub differ by no more than the limit. What remains unanswered is compared pair by pair. No cap is set
-anywhere, and no list is ever held by one task.
+anywhere, and no list is ever held by one task: a slice of texts sends each token once, however many of its sets have it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -72,27 +75,34 @@ def _nodes(k: int):
 
 
 def _index(percent: int, k: int):
+    """Rows key, token, sig, pos of the indexed tokens. Of a slice, each token goes once to its own key, with a null token;
+    sets that share one with another set of the slice need no answer and stand under their own sig."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.parts(batches, 0):
             seen: set[int] = set()
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes = [np.zeros(0, U64)], [], []
             for _, s in shingle_sets(batch.column(0), k):
                 sig = set_hash(s)
                 if len(s) and sig not in seen:
                     seen.add(sig)
-                    size = prefix_sizes(len(s), percent)[0]
-                    tokens.append(s[:size])
+                    sizes.append(prefix_sizes(len(s), percent)[0])
+                    tokens.append(s[: sizes[-1]])
                     sigs.append(sig)
-                    sizes.append(size)
-                if len(sizes) == 512:
-                    yield _rows(tokens, sigs, sizes)
-                    tokens, sigs, sizes = [], [], []
-            if sizes:
-                yield _rows(tokens, sigs, sizes)
-
-    def _rows(tokens, sigs, sizes) -> pa.RecordBatch:
-        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)), pa.array(at)], ["token", "sig", "pos"])
+            token, sig = np.concatenate(tokens).view(np.int64), np.repeat(np.array(sigs, np.int64), sizes)
+            pos = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])
+            order = np.argsort(token, kind="stable")
+            first = np.ones(len(token), bool)
+            first[1:] = token[order][1:] != token[order][:-1]
+            group = np.cumsum(first) - 1
+            several = np.zeros(len(token), bool)
+            several[order] = np.bincount(group, minlength=1)[group] > 1 if len(group) else first
+            plain = np.zeros(len(token), bool)
+            plain[order] = first
+            at = np.concatenate([np.flatnonzero(plain), np.flatnonzero(several)])
+            mask = np.arange(len(at)) < plain.sum()
+            at, mask = (x[np.argsort(at, kind="stable")] for x in (at, mask))  # a set's rows together pack better
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(mask, token[at], sig[at])), pa.array(token[at], mask=mask), pa.array(sig[at]), pa.array(pos[at])], ["key", "token", "sig", "pos"])
 
     return run
 
@@ -138,11 +148,12 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     docs = docs.filter("doc_id is not null")
     # cut, so that joins with it are of plain exchanges, where Spark can split the rows of a set that has many copies
     nodes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    token_rows = docs.select("text").mapInArrow(_index(percent, k), "token long, sig long, pos int")
-    line = Window.partitionBy("token")
-    listed = token_rows.select("*", F.min("sig").over(line).alias("lo"), F.max("sig").over(line).alias("hi"), F.count(F.lit(1)).over(line).alias("df")).filter("lo <> hi")
-    shared = listed.groupBy("sig", "token").agg(F.max("df").alias("df"), F.max("pos").alias("pos"))
-    held = shared.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("df", "token", "pos"))).alias("held"))
+    sent = docs.select("text").mapInArrow(_index(percent, k), "key long, token long, sig long, pos int").withColumn("known", F.col("token").isNotNull())
+    line = Window.partitionBy("key", "known")
+    listed = sent.select("*", F.min("sig").over(line).alias("lo"), F.max("sig").over(line).alias("hi")).filter("known or lo <> hi")
+    shared = cut(listed.groupBy("sig", F.coalesce("token", "key").alias("token")).agg(F.max("pos").alias("pos")))
+    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    held = shared.join(often, "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("df", "token", "pos"))).alias("held"))
     # of a set's indexed tokens, those that no other set has are the rarest; a pair must share one of the `need` rarest
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     size = F.least(F.col("n"), spare + 1 + F.floor(F.col("n") / 10))
@@ -162,6 +173,9 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         chosen = cut(left.filter(F.col("own") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
         sets = cut(sets.join(chosen.select("sig"), "sig", "left_semi"))
     lists = chosen.select("sig", "doc_id", "n", "own", F.explode("held").alias("t")).select("sig", "doc_id", "n", "own", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))
+    # sizes of linking sets differ by a factor of 100 / percent at most, so by one block at most
+    block = F.floor(F.log("n") / (log(100 / percent) * (1 + 1e-9)))
+    lists = lists.withColumn("block", F.explode(F.array(block, block - 1)))
 
     def possible(a: str, b: str):
         """Sizes, tokens of their own, and positions (from 0, in hash order) leave room for enough overlap."""
@@ -183,14 +197,14 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         return full.withColumn("linked", 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
 
     # the set with the fewest tokens of its own stands nearest to the others
-    hubs = lists.groupBy("token").agg(F.min_by(F.struct("sig", "n", "own", "pos"), F.struct(F.col("own") / F.col("n"), "sig")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    met = lists.join(hubs, "token").filter(F.col("sig") != F.col("hub.sig"))
+    hubs = lists.groupBy("token", "block").agg(F.min_by(F.struct("sig", "n", "own", "pos"), F.struct(F.col("own") / F.col("n"), "sig")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    met = lists.join(hubs, ["token", "block"]).filter(F.col("sig") != F.col("hub.sig"))
     star = met.filter(possible("", "hub.")).select(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).distinct()
     first = cut(links(measured(star)))
     classes = cut(components(_edges(first)))
     # a hub whose lists hold sets of its class alone is answered; of the others, each set that is not of the hub's class
     # meets the sets of the same hub, once per hub and not once per token
-    under = lists.join(hubs.select("token", F.col("hub.sig").alias("h")), "token").select("h", "sig", "doc_id", "n", "own").distinct()
+    under = lists.join(hubs.select("token", "block", F.col("hub.sig").alias("h")), ["token", "block"]).select("h", "sig", "doc_id", "n", "own").distinct()
     classed = under.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component", "doc_id")
     done = classed.filter("sig = h").select("h", F.col("class").alias("done"))
     near = first.select(F.col("a").alias("h"), F.col("b").alias("sig"), (1 - F.col("near")).alias("far"), F.col("shared").alias("met"))
