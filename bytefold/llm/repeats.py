@@ -1,14 +1,16 @@
 """Substring dedup by recompression.
 
-Method: texts are rewritten in rounds. A round first names every run of one symbol, then every adjacent pair whose
-left symbol falls into the left half of the alphabet and whose right symbol into the right half. Names are hashes of
-what they stand for, so one name means one string of words in every text, without a table or an exchange, and equal
-substrings get equal symbols but near their ends. Each symbol knows the words that its formation depends on.
+Method: texts are rewritten level by level. A level first names every run of one symbol, then every adjacent pair whose
+left symbol falls into the left half of the alphabet and whose right symbol into the right half. A name is a function of
+what it stands for, so it is global: one name means one string of words in every text, and equal substrings get equal
+symbols but near their ends. Each symbol knows the words that its formation depends on.
 
 A window of words is anchored at the symbol with the longest text among those that depend on words of the window
-alone: equal windows have equal anchors. Anchors that only one text has rule their windows out. Windows with a shared
-anchor are verified by their own hash; the smallest document that has a window keeps it. A window without such a
-symbol (long runs) is its own anchor. Copies of a whole text are settled by its first document.
+alone: equal windows have equal anchors. Spark rounds bring the anchors of all texts together, each round on symbols of
+a higher level than the one before: anchors that only one text has rule their windows out, and only windows that are
+left go on. Windows with shared anchors of the last round are verified by 128 bits of their own words; the smallest
+document that has a window keeps it. A window without such a symbol (long runs) is its own anchor. Copies of a whole
+text are settled by its first document.
 
 Hot strings never gather: a batch of texts settles among its own what it can and sends one row per anchor or window.
 """
@@ -29,7 +31,7 @@ from .common import cut, fresh
 
 U64 = np.uint64
 FAR = np.int64(1 << 60)
-ROUNDS = 2
+LEVELS = (2, 4)  # the highest level of symbols in each Spark round
 
 
 def recompress(symbol, row, start, end, left, right, turn: int):
@@ -63,20 +65,21 @@ def recompress(symbol, row, start, end, left, right, turn: int):
     return name, row[i], start[i], end[j], low, high
 
 
-def anchored(buf: np.ndarray, off: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word in it, hash, anchor) of every window of a chunk of texts."""
+def anchored(buf: np.ndarray, off: np.ndarray, window: int, levels: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """(row, first word in it, hash, second hash, then an anchor for each of `levels`) of every window of a chunk of texts."""
     at, to, row = tc.word_spans(buf, off, tc.SPACE)
     words = tc.span_hashes(tc.prefix_sums(buf), at, to)
     whole = tc.gram_hashes(words, window)
     n = len(whole)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), whole, whole
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), *[whole] * (2 + len(levels)))
+    again = tc.gram_hashes(tc.mix(words ^ U64(0x2545F4914F6CDD1D)), window)
     inside = np.flatnonzero(row[:n] == row[window - 1 :])
     place = np.arange(len(words), dtype=np.int64)
     state = (words, row, place, place + 1, place, place + 1)
     letters = np.concatenate([[0], np.cumsum(to - at)])  # what stands between words may differ
-    found, best, anchor = np.zeros(n, bool), np.zeros(n, U64), whole.copy()
-    for turn in range(1, rounds + 1):
+    found, best, anchor, kept = np.zeros(n, bool), np.zeros(n, U64), whole.copy(), []
+    for turn in range(1, max(levels) + 1):
         state = recompress(*state, turn)
         name, _, start, end, low, high = state
         size = np.minimum(letters[end] - letters[start], 255).astype(U64)
@@ -89,15 +92,28 @@ def anchored(buf: np.ndarray, off: np.ndarray, window: int, rounds: int) -> tupl
             up = (rank[k] > best[ok]) | ~found[ok]
             ok, k = ok[up], k[up]
             found[ok], best[ok], anchor[ok] = True, rank[k], name[k]
-    return row[inside], inside - np.searchsorted(row, row[inside]), whole[inside], anchor[inside]
+        if turn in levels:
+            kept.append(anchor[inside])
+    return (row[inside], inside - np.searchsorted(row, row[inside]), whole[inside], again[inside], *kept)
 
 
-def _gather(texts: pa.Array, window: int, rounds: int):
+def _gather(texts: pa.Array, window: int, levels: tuple[int, ...]):
     """anchored() over a whole batch, its texts numbered through."""
-    parts = [(a, *anchored(buf, off, window, rounds)) for a, _, buf, off in tc.chunks(texts)]
+    parts = [(a, *anchored(buf, off, window, levels)) for a, _, buf, off in tc.chunks(texts)]
     if not parts:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
-    return (np.concatenate([a + r for a, r, *_ in parts]), *(np.concatenate([p[c] for p in parts]) for c in (2, 3, 4)))
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * (2 + len(levels))
+    return (np.concatenate([a + r for a, r, *_ in parts]), *(np.concatenate(p) for p in list(zip(*parts))[2:]))
+
+
+def _listed(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which of the (row, anchor) stand in the list of their row."""
+    size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    known = lists.flatten().to_numpy().view(U64)
+    if not len(known):
+        return np.zeros(len(row), bool)
+    mixed = np.sort(tc.mix(known + tc.mix(np.repeat(np.arange(len(size)), size).astype(U64))))
+    asked = tc.mix(anchor + tc.mix(row.astype(U64)))
+    return mixed[np.minimum(np.searchsorted(mixed, asked), len(mixed) - 1)] == asked
 
 
 def _unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,12 +135,16 @@ def _first_rows(batch: pa.RecordBatch, at: int) -> tuple[pa.RecordBatch, np.ndar
     return batch.take(pa.array(keep[once])), ids[once]
 
 
-def _send_anchors(window: int, rounds: int, text: int, at: int):
+def _send_anchors(window: int, levels: tuple[int, ...], text: int, at: int):
+    """Rows key, symbol, doc of the anchors of the last of `levels`: of all windows, or, where another level came before,
+    of those whose anchor of that level stands in the document's list (the column behind the first document)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.parts(batches, text):
             batch, ids = _first_rows(batch, at)
-            row, _, _, anchor = _gather(batch.column(text), window, rounds)
-            anchor, doc = _unique(anchor, ids[row])
+            row, _, _, _, *anchors = _gather(batch.column(text), window, levels)
+            live = _listed(row, anchors[0], batch.column(at + 2)) if len(levels) > 1 else slice(None)
+            anchor, doc = _unique(anchors[-1][live], ids[row[live]])
             fresh = np.ones(len(anchor), bool)
             fresh[1:] = anchor[1:] != anchor[:-1]
             group = np.cumsum(fresh) - 1
@@ -171,35 +191,28 @@ def starts_of(packed: np.ndarray) -> np.ndarray:
     return np.repeat(first, count) + np.repeat(stride, count) * inside
 
 
-def _send_windows(window: int, rounds: int, text: int, own: int):
-    """Rows key, doc, at of windows with a shared anchor, at their own hash; or doc, doc, at of windows that this slice
-    has settled already, with the sign bit of `at` set."""
+def _send_windows(window: int, level: int, text: int, own: int):
+    """Rows key, more, doc, at of windows with a shared anchor, at their own hashes; or doc, 0, doc, at of windows that this
+    slice has settled already, with the sign bit of `at` set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.parts(batches, text):
             part, doc = _first_rows(batch, own)
-            row, start, whole, anchor = _gather(part.column(text), window, rounds)
-            lists = part.column(own + 2)
-            size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-            known = lists.flatten().to_numpy().view(U64)
-            # (row, anchor) in the list of shared ones of the row
-            mixed = np.sort(tc.mix(known + tc.mix(np.repeat(np.arange(len(size)), size).astype(U64))))
-            asked = tc.mix(anchor + tc.mix(row.astype(U64)))
-            at = np.minimum(np.searchsorted(mixed, asked), max(len(mixed) - 1, 0))
-            some = np.flatnonzero(mixed[at] == asked) if len(mixed) else np.zeros(0, np.int64)
-            key, owner, start = whole[some], doc[row[some]], start[some].astype(np.int64)
-            order = np.lexsort((start, owner, key))
-            key, owner, start = key[order], owner[order], start[order]
+            row, start, whole, again, anchor = _gather(part.column(text), window, (level,))
+            some = np.flatnonzero(_listed(row, anchor, part.column(own + 2)))
+            key, more, owner, start = whole[some], again[some], doc[row[some]], start[some].astype(np.int64)
+            order = np.lexsort((start, owner, more, key))
+            key, more, owner, start = key[order], more[order], owner[order], start[order]
             fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            least = owner[fresh][np.cumsum(fresh) - 1] if len(key) else owner
-            mine = owner == least  # all others of this slice have a smaller document here already
-            sent = progressions(key[mine], owner[mine], start[mine])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sent], ["key", "doc", "at"])
+            fresh[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+            group = np.cumsum(fresh) - 1
+            mine = owner == owner[fresh][group]  # all others of this slice have a smaller document here already
+            at, who, where = progressions(group[mine].astype(U64), owner[mine], start[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[fresh][at].view(np.int64), more[fresh][at].view(np.int64), who, where)], ["key", "more", "doc", "at"])
             owner, start = owner[~mine], start[~mine]
             order = np.lexsort((start, owner))
             _, owner, at = progressions(owner[order].view(U64), owner[order], start[order])
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(owner), pa.array(at | SETTLED)], ["key", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.zeros(len(owner), np.int64)), pa.array(owner), pa.array(at | SETTLED)], ["key", "more", "doc", "at"])
 
     return run
 
@@ -232,7 +245,7 @@ def _strip(window: int, at: int, own: int, names: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """All columns of `docs` (doc_id, text and any others), with n_words, n_removed and `kept`, the words left, joined by
     spaces; these take the place of columns of their names.
 
@@ -247,18 +260,21 @@ def dedup(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
     at, own = docs.columns.index("text"), len(names)
     doc, text_id, first, symbols, spans = fresh(docs, "__doc", "__text_id", "__first", "__symbols", "__spans")
     # every step below joins the same rows by text, whole, so that Spark deals out the texts once
-    rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text_id, F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
+    whole = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(text_id, F.struct(F.xxhash64(whole), F.xxhash64(F.lit(1), whole)))
     own_text = rows.filter(F.col(doc).isNotNull()).groupBy(doc).agg(F.min(text_id).alias(text_id))
     # cut, so that the texts' joins with it are of plain exchanges, where Spark can split the copies of one text
     firsts = cut(own_text.groupBy(text_id).agg(F.min(doc).alias(first)))
-    sent = rows.join(firsts, text_id).select(*names, doc, first).mapInArrow(_send_anchors(window, rounds, at, own), "key long, symbol long, doc long")
-    line = Window.partitionBy("key", "known")
-    seen = sent.withColumn("known", F.col("symbol").isNotNull()).select("*", F.min("doc").over(line).alias("lo"), F.max("doc").over(line).alias("hi"))
-    shared = seen.filter("known or lo <> hi").select("doc", F.coalesce("symbol", "key").alias("symbol"))
-    lists = shared.groupBy(F.col("doc").alias(first)).agg(F.collect_set("symbol").alias(symbols))
-    asked = rows.join(firsts.join(lists, first), text_id).select(*names, doc, first, symbols)
-    windows = asked.mapInArrow(_send_windows(window, rounds, at, own), "key long, doc long, at long")
-    line = Window.partitionBy("key", "settled")
+    asked = rows.join(firsts, text_id).select(*names, doc, first)
+    for n, level in enumerate(levels):
+        sent = asked.mapInArrow(_send_anchors(window, levels[max(n - 1, 0) : n + 1], at, own), "key long, symbol long, doc long")
+        line = Window.partitionBy("key", "known")
+        seen = sent.withColumn("known", F.col("symbol").isNotNull()).select("*", F.min("doc").over(line).alias("lo"), F.max("doc").over(line).alias("hi"))
+        shared = seen.filter("known or lo <> hi").select("doc", F.coalesce("symbol", "key").alias("symbol"))
+        lists = shared.groupBy(F.col("doc").alias(first)).agg(F.collect_set("symbol").alias(symbols))
+        asked = rows.join(firsts.join(lists, first), text_id).select(*names, doc, first, symbols)
+    windows = asked.mapInArrow(_send_windows(window, levels[-1], at, own), "key long, more long, doc long, at long")
+    line = Window.partitionBy("key", "more", "settled")
     gone = windows.withColumn("settled", F.col("at") < 0).withColumn("least", F.min("doc").over(line)).filter("settled or doc > least")
     spanned = gone.groupBy(F.col("doc").alias(first)).agg(F.collect_list("at").alias(spans))
     joined = rows.join(firsts.join(spanned, first, "left"), text_id, "left").select(*names, doc, first, spans)
