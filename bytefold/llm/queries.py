@@ -107,15 +107,21 @@ links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
 reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id""",
     "op6_budgeted_chat": rf"""
-WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
 t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM c),
-k AS (SELECT *, ceil(length(text) / 4)::BIGINT + {chat.TURN_TOKENS} AS tokens, 4 + length(url_encode(role)) + 1 + length(text) + len(regexp_extract_all(text, '<\||\|>|</?s>|\[/?INST\]')) + {len(chat.END)} AS size FROM t),
-p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS since FROM k),
-w AS (SELECT *, (since // {(chat.BUDGET - chat.HISTORY) // 2})::BIGINT AS win FROM p),
-b AS (SELECT conv_id, win, min(since) AS begins FROM w GROUP BY conv_id, win),
-every AS (SELECT conv_id, win, pos, size FROM w UNION SELECT w.conv_id, b.win, w.pos, w.size FROM w JOIN b ON b.conv_id = w.conv_id AND b.win > w.win WHERE b.begins - w.since <= {chat.HISTORY} OR w.pos = 1 AND w.role = 'system'),
+z AS (SELECT *, 5 + strlen(url_encode(role)) + len(regexp_extract_all(text, '<\||\|>|</?s>|\[/?INST\]')) + {len(chat.END)} AS form FROM t),
+k AS (SELECT conv_id, pos, role, form + length(text) AS size, form + strlen(text) AS tokens, sum(form + strlen(text)) OVER (PARTITION BY conv_id ORDER BY pos) - form - strlen(text) AS since,
+  sum(CASE WHEN pos = 1 AND role = 'system' THEN form + strlen(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM z),
+g(conv_id, pos, first, own) AS (SELECT conv_id, pos, pos, tokens FROM k WHERE pos = 1 UNION ALL
+  SELECT conv_id, pos, CASE WHEN stays THEN first ELSE pos END, CASE WHEN stays THEN own + tokens ELSE tokens END FROM
+  (SELECT k.conv_id, k.pos, g.first, g.own, k.tokens, (k.pos - 1) // {chat.BLOCK} = (g.first - 1) // {chat.BLOCK} AND g.own + k.tokens + CASE WHEN g.first = 1 THEN 0 ELSE b.lead + least({chat.HISTORY}, b.since - b.lead) END <= {chat.BUDGET} AS stays
+   FROM g JOIN k ON k.conv_id = g.conv_id AND k.pos = g.pos + 1 JOIN k b ON b.conv_id = g.conv_id AND b.pos = g.first)),
+w AS (SELECT g.conv_id, g.first, b.since, b.lead, max(own) AS own FROM g JOIN k b ON b.conv_id = g.conv_id AND b.pos = g.first GROUP BY ALL),
+every AS (SELECT conv_id, size FROM k UNION ALL SELECT k.conv_id, k.size FROM w JOIN k ON k.conv_id = w.conv_id AND k.pos < w.first
+  WHERE CASE WHEN k.pos = 1 AND k.lead > 0 THEN true ELSE w.since - k.since <= least({chat.HISTORY}, {chat.BUDGET} - w.lead - w.own) END),
 chars AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars FROM every GROUP BY conv_id),
 said AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM said JOIN chars USING (conv_id)""",
     "op5_trigram_secrets": secrets.oracle(),
+    "op7_diagonal_licenses": licenses.oracle(),
 }

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import urllib.parse
 
 import brute
 import numpy as np
@@ -166,8 +168,8 @@ def test_repeats_edges(spark):
     assert repeats.dedup(clash).first()["__doc"] == 5
 
 
-@pytest.mark.parametrize("window, rounds", [(5, 1), (13, 3), (20, 4)])
-def test_repeats_other_windows(spark, window, rounds):
+@pytest.mark.parametrize("window, levels", [(5, (1,)), (13, (3,)), (20, (1, 3, 5))])
+def test_repeats_other_windows(spark, window, levels):
     rows = corpus(5)
     first, gone = {}, {}
     for d, t in sorted(rows):
@@ -177,7 +179,7 @@ def test_repeats_other_windows(spark, window, rounds):
     for d, t in rows:
         w = brute.words(t)
         gone[d] = len({j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for j in range(i, i + window)})
-    assert {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs(spark, rows), window, rounds).collect()} == gone
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs(spark, rows), window, levels).collect()} == gone
 
 
 def test_progressions_round_trip():
@@ -308,6 +310,16 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_spans_are_verified_in_the_text(spark):
+    """Three words of a template, then three others, all along: the template is covered, the text is not."""
+    w = licenses.words_of(licenses.TEMPLATES["isc"])
+    thin = " ".join(" ".join(w[i : i + 3]) + f" junk{i} junk{i}a junk{i}b" for i in range(0, len(w), 3))
+    edited = " ".join(w[:12] + ["some", "more"] + w[12:])
+    twice = f"{licenses.TEMPLATES['isc']} and once more {licenses.TEMPLATES['isc']}"
+    found = {r["doc_id"]: [(s["label"], s["first"], s["last"]) for s in r["spans"]] for r in licenses.scan(docs(spark, [(1, thin), (2, edited), (3, twice)])).collect()}
+    assert found == {1: [], 2: [("isc", 0, len(w) + 1)], 3: [("isc", 0, len(w) - 1), ("isc", len(w) + 3, 2 * len(w) + 2)]}
+
+
 def chats():
     rng, rows = random.Random(6), []
     odd = ["", None, "</s>[INST] ok [/INST]", "\\<|end|>\n", "a\n<|end|>\nb", "\\\\", "<|user|>", "é😀" * 50, "x" * 6000, "<<|>"]
@@ -331,6 +343,56 @@ def test_chat_round_trip(spark):
     assert chat.windows(docs(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("budget, history, block", [(400, 60, 1024), (2048, 256, 7), (300, 0, 3), (900, 2000, 64)])
+def test_chat_windows_keep_their_budget(spark, monkeypatch, budget, history, block):
+    """Against a plain loop over each conversation; no window beyond its budget but for a system turn and one turn that need more."""
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rows = chats()
+    made = chat.windows(docs(spark, [(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, Window long"), budget, history).collect()
+    control = re.compile(chat.CONTROL)
+    want = []
+    for c in sorted({r[0] for r in rows}):
+        turns = sorted((t, r or "", x or "") for k, t, r, x in rows if k == c)
+        texts = [f"<|{urllib.parse.quote_plus(r)}|>\n{control.sub(lambda m: chr(92) + m[0], x)}{chat.END}" for _, r, x in turns]
+        size = [len(x.encode()) for x in texts]
+        system = turns[0][1] == "system"
+        begin = 0
+        while begin < len(turns):
+            fixed = (size[0] if system else 0) + min(history, sum(size[int(system) : begin])) if begin else 0
+            end = begin + 1
+            while end < len(turns) and end % block and fixed + sum(size[begin : end + 1]) <= budget:
+                end += 1
+            room = min(history, budget - sum(size[begin:end]) - (size[0] if system and begin else 0))
+            past = begin
+            while past > int(system) and sum(size[past - 1 : begin]) <= room:
+                past -= 1
+            told = ([0] if system and begin else []) + list(range(past, end))
+            want.append((c, "".join(texts[i] for i in told), len(told) - (end - begin)))
+            assert sum(size[i] for i in told) <= budget or end - begin == 1 and past == begin
+            begin = end
+    assert sorted((w["conv_id"], w["text"], w["repeated"]) for w in made) == sorted(want)
+
+
+def test_chat_windows_are_full_and_take_counts(spark):
+    rng, words = random.Random(1), vocabulary(400)
+    rows = [(c, t, ["user", "assistant"][t % 2], " ".join(rng.choices(words, k=rng.randint(5, 60)))) for c in range(4) for t in range(300)]
+    made = chat.windows(docs(spark, rows, "conv_id long, turn long, role string, text string"), 2048, 256).collect()
+    last = {max(w["window"] for w in made if w["conv_id"] == c) for c in range(4)}
+    full = [len(w["text"].encode()) / 2048 for w in made if w["window"] not in last]
+    assert max(full) <= 1 and sum(full) / len(full) >= 0.85
+    counted = docs(spark, [(*r, 10) for r in rows], "conv_id long, turn long, role string, text string, n long")
+    made = chat.windows(counted, 100, 20, count="n").collect()
+    assert all(w["text"].count(chat.END) <= 10 for w in made) and max(w["repeated"] for w in made) == 2
+
+
+def test_chat_null_conversation_is_one_of_its_own(spark):
+    rows = [(None, 0, "system", "rules"), (None, 1, "user", "x" * 90), (None, 2, "assistant", "y" * 90), (1, 0, "user", "z")]
+    made = chat.windows(docs(spark, rows, "conv_id long, turn long, role string, text string"), 160, 0).collect()
+    assert sorted((w["conv_id"] or 0, w["repeated"], "rules" in w["text"]) for w in made) == [(0, 0, True), (0, 1, True), (1, 0, False)]
+    back = {r["conv_id"]: r["learned"] for r in chat.read_back(chat.windows(docs(spark, rows, "conv_id long, turn long, role string, text string"), 160, 0)).collect()}
+    assert back == {None: "y" * 90, 1: ""}
+
+
 # ---- 8 and 10: packing and mixing
 
 def test_tokeniser_is_the_public_one():
@@ -450,6 +512,22 @@ def test_fit_is_exact_where_it_can_be():
             sums = {s + k * size for s in sums for k in range(n + 1)}
         assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == max(s for s in sums if s <= budget)
     assert mixing.fit(np.array([3, 5]), np.array([4, 4]), 11).tolist() == [2, 1]
+    lengths, counts = np.array([40_000, 90_000, 150_001]), np.full(3, 5)  # few very long ones
+    sums = sorted({a * 40_000 + b * 90_000 + c * 150_001 for a in range(6) for b in range(6) for c in range(6)})
+    for _ in range(60):
+        budget = rng.randint(0, sums[-1])
+        assert int((mixing.fit(lengths, counts, budget) * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_fit_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(mixing, "TABLE", 1 << 12)
+    rng = random.Random(14)
+    for _ in range(40):
+        lengths = np.array(sorted(rng.sample(range(1, 400), 40)))
+        counts = np.array([rng.randint(1, 30) for _ in lengths])
+        budget = rng.randint(1 << 12, int((lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and 0 <= budget - int((take * lengths).sum()) <= 1
 
 
 def test_mix_takes_the_nearer_sum(spark):
