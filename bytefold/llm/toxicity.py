@@ -7,7 +7,8 @@ class; correlated voters share their weight. Its posterior labels train a linear
 which then scores every whole text.
 
 Lexicons are found, not given: entries more frequent among toxic texts than among clean ones, by a likelihood-ratio
-test of at least `LEAST_GAIN`, and in `LEAST_ODDS` times as many. All learning uses at most `MOST_ROWS` labelled rows outside the held-out fifth; scores use
+test of at least `LEAST_GAIN` and twice the logarithm of the number of entries tested, and in `LEAST_ODDS` times as many;
+all that pass vote. All learning uses at most `MOST_ROWS` labelled rows outside the held-out fifth; scores use
 the text alone.
 """
 
@@ -26,10 +27,10 @@ from . import textcore as tc
 from .common import cut
 
 MOST_ROWS = 20_000
-MOST_ENTRIES = 384
 LEAST_GAIN = 18.0
 LEAST_TEXTS = 4
 LEAST_ODDS = 4
+SAME = 0.6  # correlation from which voters say the same thing
 PREFIXES = (4, 5, 6, 8)
 U64 = np.uint64
 
@@ -96,35 +97,41 @@ def _chunks(n: int, size: int = 1024) -> list[slice]:
     return [slice(at, at + size) for at in range(0, n, size)]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Posterior chances of toxicity given votes (0/1, texts by voters) and the annotators' labels.
+def label_model(votes: np.ndarray, silent: np.ndarray, labels: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior chances of toxicity given the votes (0/1, texts by voters) and the texts that no entry votes on.
 
-    Expectation-maximisation of a two-class model. Correlations given the class are estimated from the residuals of
-    the votes; a voter's evidence is divided by one plus the sum of its positive correlations, so that voters which
-    say the same thing count as one. A voter that does not vote abstains; that all abstain is a vote of its own, and so
-    is an annotator's "clean".
+    Expectation-maximisation of a two-class model that begins at whether any entry votes. Correlations given the class are
+    estimated from the residuals of the votes in the first rounds; a voter's evidence is divided by the sum of those
+    beyond `SAME`, so that voters which say the same thing count as one. A voter that does not vote abstains; that no
+    entry votes is a vote of its own. The labels (0/1) say at the end which of both classes is the toxic one; nothing else
+    takes them into account.
     """
-    all_votes = np.column_stack([votes, ~votes.any(axis=1), labels == 0, labels != 0]).astype(np.uint8)
+    all_votes = np.column_stack([votes, silent]).astype(np.uint8)
     size = all_votes.shape[1]
-    chance = labels.astype(float)
-    for _ in range(rounds):
+    chance, share = np.where(silent, 0.02, 0.9), np.ones(size)
+    for turn in range(rounds):
         prior = np.clip(chance.mean(), 1e-4, 1 - 1e-4)
         toxic, clean = np.zeros(size), np.zeros(size)
         for rows in _chunks(len(chance)):
             toxic += chance[rows] @ all_votes[rows]
             clean += (1 - chance[rows]) @ all_votes[rows]
         toxic, clean = (toxic + 0.1) / (chance.sum() + 1), (clean + 0.1) / ((1 - chance).sum() + 1)
-        spread = np.zeros((size, size))
-        for rows in _chunks(len(chance)):
-            left = all_votes[rows] - np.outer(chance[rows], toxic) - np.outer(1 - chance[rows], clean)
-            spread += left.T @ left
-        scale = np.sqrt(np.diag(spread) / len(chance) + 1e-9)
-        together = np.clip(spread / len(chance) / np.outer(scale, scale), 0, 1)
-        share = 1 / np.maximum(together.sum(axis=1), 1)
-        share[-3:] = 1.0
+        if turn < 2:
+            spread = np.zeros((size, size), np.float32)
+            for rows in _chunks(len(chance)):
+                left = (all_votes[rows] - np.outer(chance[rows], toxic) - np.outer(1 - chance[rows], clean)).astype(np.float32)
+                spread += left.T @ left
+            scale = np.sqrt(np.diag(spread) / len(chance) + 1e-9)
+            together = spread / len(chance) / np.outer(scale, scale)
+            share = 1 / np.maximum(np.where(together >= SAME, np.minimum(together, 1), 0).sum(axis=1), 1)
+            share[-1] = 1.0
         yes = np.log(np.clip(toxic, 1e-4, 1 - 1e-4) / np.clip(clean, 1e-4, 1 - 1e-4)) * share
         odds = np.concatenate([all_votes[rows] @ yes for rows in _chunks(len(chance))])
-        chance = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds, -30, 30)))
+        was, chance = chance, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds, -30, 30)))
+        if np.abs(chance - was).max() < 1e-3:
+            break
+    if 0 < chance.sum() < len(chance) and chance @ labels / chance.sum() < (1 - chance) @ labels / (1 - chance).sum():
+        chance = 1 - chance
     return chance
 
 
@@ -152,7 +159,8 @@ def linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int =
             part = padded(rows)
             p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
             slope = slope + part.T @ (target[rows] - p)
-            curve = curve + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            half = (part * np.sqrt(p * (1 - p) + 1e-6)[:, None]).astype(np.float32)  # steps need no more, and each is tested
+            curve = curve + half.T @ half
         step, was = np.linalg.solve(curve, slope), now
         for _ in range(12):  # halved until it helps
             if (now := loss(w + step)) <= was:
@@ -183,7 +191,7 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Learn from documents (doc_id, text) with labels (doc_id, toxic), never from held-out ones.
 
     A document labelled more than once counts as toxic if one label says so; null labels say nothing. Beyond
@@ -217,8 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
                 yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(sums.astype(np.int64)), pa.array((size - sums).astype(np.int64))], ["entry", "toxic", "clean"])
 
     seen = sample.mapInArrow(texts_with, "entry long, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = seen.filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_ODDS * F.col("clean"))).withColumn("gain", _gain(toxic, clean)).filter(F.col("gain") >= LEAST_GAIN)
-    best = best.orderBy(F.desc("gain"), "entry").limit(most_entries)
+    seen = cut(seen.filter(F.col("toxic") >= LEAST_TEXTS))
+    least = max(LEAST_GAIN, 2 * float(np.log(max(seen.count(), 1))))
+    best = seen.filter(F.col("toxic") >= LEAST_ODDS * F.col("clean")).filter(_gain(toxic, clean) >= least).select("entry")
     lexicon = np.sort(np.array([r["entry"] for r in best.collect()], np.int64).view(U64))
     model = Model(lexicon, np.full(4, np.inf), np.zeros(0), 0.0)
 
@@ -235,11 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
     shares = np.frombuffer(b"".join(rows["shares"].to_pylist()), float).reshape(-1, 4)
     votes = (np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(len(label), len(lexicon)) > 0).astype(np.uint8)
     cuts = np.quantile(shares, 0.95, axis=0)
-    votes = np.column_stack([votes, (shares > cuts).astype(np.uint8), votes.any(axis=1).astype(np.uint8)])
+    votes = np.column_stack([votes, (shares > cuts).astype(np.uint8), votes.any(axis=1).astype(np.uint8)])  # entries, patterns, any entry
     del rows, shares
     order = np.lexsort((label, *votes.T[:8], votes.sum(axis=1)))  # rows come in any order; sums should not depend on it
     votes, label = votes[order], label[order]
-    weights, bias = linear(votes, label_model(votes[:, :-1] > 0, label))
+    weights, bias = linear(votes, label_model(votes[:, :-1] > 0, votes[:, -1] == 0, label))
     return Model(lexicon, cuts, weights, bias)
 
 

@@ -7,6 +7,7 @@ import urllib.parse
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,8 +169,8 @@ def test_repeats_edges(spark):
     assert repeats.dedup(clash).first()["__doc"] == 5
 
 
-@pytest.mark.parametrize("window, levels", [(5, (1,)), (13, (3,)), (20, (1, 3, 5))])
-def test_repeats_other_windows(spark, window, levels):
+@pytest.mark.parametrize("window, high, low", [(5, (3, 6), 1), (13, (9,), 3), (20, (11, 12, 20), 4)])
+def test_repeats_other_windows(spark, window, high, low):
     rows = corpus(5)
     first, gone = {}, {}
     for d, t in sorted(rows):
@@ -179,7 +180,27 @@ def test_repeats_other_windows(spark, window, levels):
     for d, t in rows:
         w = brute.words(t)
         gone[d] = len({j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for j in range(i, i + window)})
-    assert {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs(spark, rows), window, levels).collect()} == gone
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs(spark, rows), window, high, low).collect()} == gone
+
+
+def test_long_symbols_are_the_texts_own():
+    rng, words = random.Random(2), vocabulary(300, 2)
+    shared = rng.choices(words, k=400)
+    texts = [" ".join(rng.choices(words, k=50) + shared), "\n".join(shared + rng.choices(words, k=70)), "run " * 3000, ""]
+    seen = {}
+    for row, start, size, name, more in zip(*repeats._gather(pa.array(texts), repeats.long_symbols, 13, (8, 12))):
+        assert size >= 13
+        seen.setdefault((int(name), int(more)), set()).add((" ".join(texts[row].split()[start : start + size]), int(row)))
+    assert all(len({t for t, _ in found}) == 1 for found in seen.values())  # a name means one string of words
+    both = {w for found in seen.values() if {r for _, r in found} == {0, 1} for t, _ in found for w in [t]}
+    assert sum(len(t.split()) for t in both) > 400 and any(t == "run " * 2999 + "run" for found in seen.values() for t, _ in found)
+
+
+def test_stretches_of_any_length():
+    start, count = np.array([5, 9, 0]), np.array([1, 3 * repeats.MOST + 2, repeats.MOST])
+    which, at = repeats.stretches(start, count)
+    for k in range(3):
+        assert repeats.starts_of(at[which == k]).tolist() == list(range(start[k], start[k] + count[k]))
 
 
 def test_progressions_round_trip():
@@ -219,6 +240,24 @@ def test_jaccard(spark, percent, k, seed):
     assert len(links) > 10 and found == want
 
 
+def test_jaccard_with_hot_tokens(spark, monkeypatch):
+    """A passage that most texts share, in slices where it is hot and slices where it is not."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rng, words = random.Random(5), vocabulary(150, 5)
+    shared = " ".join(rng.choices(words, k=12))
+    rows = []
+    for f in range(25):
+        base = rng.choices(words, k=rng.choice([2, 10, 60, 300]))
+        for c in range(4):
+            w = list(base)
+            w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((10 * f + c, f"{shared} {' '.join(w)}" if (f + c) % 5 else " ".join(w)))
+    want, links = jaccard_want(rows, 85, 4)
+    for parts in (1, 7):
+        found = jaccard.join(docs(spark, rows).repartition(parts))
+        assert len(links) > 10 and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == want
+
+
 def test_jaccard_edges(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "A B C D E"), (None, "a b c d e"), (3, None), (4, ""), (5, "a b"), (6, "a  b")]
     found = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard.join(docs(spark, rows)).collect())
@@ -254,6 +293,27 @@ def test_toxicity_held_out(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_label_model_learns_from_votes_alone():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.2
+    votes = np.column_stack([np.where(truth, rng.random(4000) < 0.5, rng.random(4000) < 0.01) for _ in range(8)])
+    votes = np.column_stack([votes, votes[:, :1].repeat(5, axis=1)])  # five that repeat the first
+    noisy = np.where(rng.random(4000) < 0.25, ~truth, truth).astype(int)
+    found = toxicity.label_model(votes, ~votes.any(axis=1), noisy) >= 0.5
+    assert np.mean(found == truth) >= 0.92 and np.mean(noisy == truth) < 0.8  # far better than the labels it was given
+    at_random = (rng.random(4000) < 0.3).astype(int)
+    blind = toxicity.label_model(rng.random((4000, 50)) < 0.2, np.zeros(4000, bool), at_random)
+    assert abs(np.corrcoef(blind, at_random)[0, 1]) < 0.1  # labels that nothing speaks for do not come back
+
+
+def test_toxicity_takes_long_texts(spark):
+    rows, labels = toxic_rows(300)
+    table = docs(spark, [*rows, (5000, "plain words " * 200_000), (5001, "plain words " * 100_000 + "vildo grunk snarb")])
+    model = toxicity.fit(table, docs(spark, [*labels, (5000, 0), (5001, 1)], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
+    assert found[5000] < 0.5 <= found[5001]
+
+
 def test_toxicity_without_examples(spark):
     table = docs(spark, [(1, "a", 3.5)], "doc_id long, text string, score double")
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):
