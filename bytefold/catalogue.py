@@ -101,19 +101,21 @@ def alias_overload_prefix(spark, sf_dir):
     return n.select("p_partkey", N.method_alias(F.col("number").cast("int"), F.col("p_name"), F.col("same") > 1).alias("alias"))
 
 
-@query("""WITH r AS (SELECT 'c' AS kind, o_custkey::VARCHAR AS node, 'order' || o_orderkey AS alias, o_orderkey AS ord FROM orders UNION ALL SELECT 'c', c_custkey::VARCHAR, c_name, -1 FROM customer WHERE c_custkey % 3 = 0)
-SELECT kind, node, alias FROM r QUALIFY row_number() OVER (PARTITION BY kind, node ORDER BY ord, alias) = 1""")
+@query("""WITH r AS (SELECT 'c' AS kind, o_custkey::VARCHAR AS node, 'order' || o_orderkey AS alias, o_orderkey AS ord, 1 AS part FROM orders UNION ALL SELECT 'c', s_suppkey::VARCHAR, s_name, s_suppkey, 0 FROM supplier)
+SELECT kind, node, alias FROM r QUALIFY row_number() OVER (PARTITION BY kind, node ORDER BY part, ord, alias) = 1""")
 def rename_first_wins(spark, sf_dir):
-    loaded = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.lit("c").alias("kind"), F.col("c_custkey").cast("string").alias("node"), F.col("c_name").alias("alias"), F.lit(-1).cast("long").alias("ord"))
-    have = table(spark, sf_dir, "orders").select(F.lit("c").alias("kind"), F.col("o_custkey").cast("string").alias("node"), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("alias"), F.col("o_orderkey").alias("ord"))
-    return naming.first_wins(loaded.unionByName(have)).select("kind", "node", "alias")
+    """A loaded map, of suppliers, comes before the one at hand, of orders."""
+    loaded = table(spark, sf_dir, "supplier").select(F.lit("c").alias("kind"), F.col("s_suppkey").cast("string").alias("node"), F.col("s_name").alias("alias"), F.col("s_suppkey").cast("long").alias("ord"))
+    have = table(spark, sf_dir, "orders").select(F.lit("c").alias("kind"), F.col("o_custkey").cast("string").alias("node"), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("alias"), F.col("o_orderkey").cast("long").alias("ord"))
+    return naming.merge_renames(loaded, have).select("kind", "node", "alias")
 
 
-@query("SELECT 'c' AS kind, n_name AS node, coalesce(CASE WHEN n_regionkey = 2 THEN r_name || '_' || n_nationkey END, n_name) AS alias FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT 'c' AS kind, n_name AS node, r_name || '_' || n_nationkey AS alias FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c', r_name, r_name FROM region")
 def rename_apply(spark, sf_dir):
+    """Nations and regions are declared; nations have renames."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    renames = nation.filter("n_regionkey = 2").join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.lit("c").alias("kind"), F.col("n_name").alias("node"), F.concat("r_name", F.lit("_"), F.col("n_nationkey").cast("string")).alias("alias"))
-    declared = nation.select(F.lit("c").alias("kind"), F.col("n_name").alias("node"), F.col("n_name").alias("name"))
+    renames = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.lit("c").alias("kind"), F.col("n_name").alias("node"), F.concat("r_name", F.lit("_"), F.col("n_nationkey").cast("string")).alias("alias"))
+    declared = nation.select(F.col("n_name").alias("name")).unionByName(region.select(F.col("r_name").alias("name"))).select(F.lit("c").alias("kind"), F.col("name").alias("node"), "name")
     return naming.apply_renames(declared, renames).select("kind", "node", "alias")
 
 
@@ -142,18 +144,8 @@ def comment_file_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.parse_comment(line).alias("c")).select("p_partkey", "c.*")
 
 
-@query("SELECT c.conv_id, coalesce(string_agg(left(text, 20), '|' ORDER BY turn) FILTER (role <> 'system'), '') AS comments, count(*) FILTER (role <> 'system')::BIGINT AS n FROM conversations c GROUP BY c.conv_id")
-def comment_attach(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    nodes = rows.select(F.lit("c").alias("kind"), F.col("conv_id").alias("node")).distinct()
-    comments = rows.filter("role <> 'system'").select(F.lit("c").alias("kind"), F.col("conv_id").alias("node"), F.col("turn").alias("ord"), F.substring("text", 1, 20).alias("text"))
-    out = naming.attach_comments(nodes, comments)
-    return out.select(F.col("node").alias("conv_id"), F.coalesce(F.array_join("comments", "|"), F.lit("")).alias("comments"), F.coalesce(F.when(F.col("comments").isNotNull(), F.size("comments")), F.lit(0)).cast("long").alias("n"))
-
-
 @query("SELECT c.conv_id, coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system'), '') AS comments, count(*) FILTER (role <> 'system')::BIGINT AS n FROM conversations c GROUP BY c.conv_id")
-def comment_attach_whole(spark, sf_dir):
-    """comment_attach of whole comments."""
+def comment_attach(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     nodes = rows.select(F.lit("c").alias("kind"), F.col("conv_id").alias("node")).distinct()
     comments = rows.filter("role <> 'system'").select(F.lit("c").alias("kind"), F.col("conv_id").alias("node"), F.col("turn").alias("ord"), "text")
@@ -210,11 +202,10 @@ def packages_group(spark, sf_dir):
     return listed.select("package", "classes", F.array_join("m.simple", ",").alias("members")).orderBy("package")
 
 
-@query(f"""WITH p AS (SELECT DISTINCT regexp_replace({_PATH}, '/[^/]*$', '') AS package FROM pages)
+@query(f"""WITH p AS (SELECT DISTINCT replace(regexp_replace({_PATH}, '/[^/]*$', ''), '.', '_') AS package FROM pages)
 SELECT DISTINCT split_part(package, '/', 1) AS parent, split_part(package, '/', 2) AS child FROM p WHERE contains(package, '/')""")
 def subpackages_distinct(spark, sf_dir):
-    p = package_split(spark, sf_dir).filter(F.instr("package", "/") > 0)
-    return p.select(F.split_part("package", F.lit("/"), F.lit(1)).alias("parent"), F.split_part("package", F.lit("/"), F.lit(2)).alias("child")).distinct()
+    return naming.subpackages(package_split(spark, sf_dir).select(F.translate("package", ".", "_").alias("package"))).select(F.col("parent"), F.col("child"))
 
 
 @query("""WITH c AS (SELECT r_name AS name, r_regionkey AS ord FROM region UNION ALL SELECT r_name || '$' || n_name, 100 + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0
@@ -282,17 +273,9 @@ def int_literal_hex(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", L.int_literal(key).alias("positive"), L.int_literal(-key).alias("negative"), L.long_literal(F.col("o_orderkey") * 1000003).alias("wide"), L.int_literal(key, False).alias("plain"))
 
 
-@query(r"""SELECT conv_id, turn, '"' || list_aggregate(list_transform(string_split(left(text, 200) || chr(9) || '"\' || chr(10) || chr(233), ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
- WHEN unicode(c) > 126 OR unicode(c) < 32 THEN '\u' || printf('%04x', unicode(c)) ELSE c END), 'string_agg', '') || '"' AS literal FROM conversations""")
-def string_literal_escape(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 200), F.lit('\t"\\\né'))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.string_literal(text).alias("literal"))
-
-
 @query(r"""SELECT conv_id, turn, '"' || list_aggregate(list_transform(string_split(text || chr(9) || '"\' || chr(10) || chr(233), ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
  WHEN unicode(c) > 126 OR unicode(c) < 32 THEN '\u' || printf('%04x', unicode(c)) ELSE c END), 'string_agg', '') || '"' AS literal FROM conversations""")
-def string_literal_escape_whole(spark, sf_dir):
-    """string_literal_escape of whole texts."""
+def string_literal_escape(spark, sf_dir):
     text = F.concat(F.col("text"), F.lit('\t"\\\né'))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", L.string_literal(text).alias("literal"))
 
@@ -316,9 +299,15 @@ def double_literals(spark, sf_dir):
 
 # ---- control flow: an order is a unit, its lines are instructions
 
-_CODE = """code AS (SELECT unit, off, n, CASE op WHEN 'A' THEN 'fall' WHEN 'N' THEN 'cond' ELSE 'jump' END AS op, CASE WHEN op <> 'A' AND goal < n THEN goal END AS target FROM (
+_HANDLERS = """h AS (SELECT o_orderkey AS unit, 0 AS a, 2 AS b, o_custkey % 5 AS pc, CASE WHEN o_custkey % 3 <> 0 THEN 'E' || o_custkey % 2 END AS type, 0 AS ord FROM orders
+ UNION ALL SELECT o_orderkey, 1, 4, o_custkey % 3, CASE WHEN o_custkey % 7 <> 0 THEN 'F' END, 1 FROM orders)"""
+
+
+def _code_sql(more: str = "") -> str:
+    """`more` adds leaders to those of the instructions."""
+    return f"""code AS (SELECT unit, off, n, CASE op WHEN 'A' THEN 'fall' WHEN 'N' THEN 'cond' ELSE 'jump' END AS op, CASE WHEN op <> 'A' AND goal < n THEN goal END AS target FROM (
  SELECT l_orderkey AS unit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS off, count(*) OVER (PARTITION BY l_orderkey) AS n, l_returnflag AS op, l_partkey % 7 AS goal FROM lineitem)),
-lead_at AS (SELECT unit, 0 AS off FROM code UNION SELECT unit, target FROM code WHERE target IS NOT NULL UNION SELECT unit, off + 1 FROM code WHERE op <> 'fall' AND off + 1 < n),
+lead_at AS (SELECT unit, 0 AS off FROM code UNION SELECT unit, target FROM code WHERE target IS NOT NULL UNION SELECT unit, off + 1 FROM code WHERE op <> 'fall' AND off + 1 < n{more}),
 num AS (SELECT code.*, sum(CASE WHEN lead_at.off IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY code.unit ORDER BY code.off) - 1 AS block_id FROM code LEFT JOIN lead_at USING (unit, off)),
 blk AS (SELECT unit, block_id, min(off) AS start_off, max(n) AS n, arg_max(op, off) AS last_op, arg_max(coalesce(target, -1), off) AS last_target FROM num GROUP BY unit, block_id),
 blocks AS (SELECT *, coalesce(lead(start_off) OVER (PARTITION BY unit ORDER BY block_id), n) AS end_off FROM blk),
@@ -326,6 +315,18 @@ edges AS (SELECT b.unit, b.block_id AS src, t.block_id AS dst, min(b.ord) AS ord
   JOIN blocks t ON t.unit = b.unit AND t.start_off = b.goal GROUP BY ALL)"""
 
 
+_CODE = _code_sql()
+_HANDLED = f"{_HANDLERS}, {_code_sql(' UNION SELECT unit, unnest([a, b, pc]) FROM h')}"
+
+
+def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as exception tables: two rows for each unit of code()."""
+    key = F.col("o_custkey")
+    first = F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), (key % 5).cast("int").alias("pc"), F.when(key % 3 != 0, F.concat(F.lit("E"), (key % 2).cast("string"))).alias("type"), F.lit(0).alias("ord"))
+    second = F.struct(F.lit(1).alias("start"), F.lit(4).alias("end"), (key % 3).cast("int").alias("pc"), F.when(key % 7 != 0, F.lit("F")).alias("type"), F.lit(1).alias("ord"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.inline(F.array(first, second)))
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as instruction rows; lines repeat, so the order of a unit is total over all their columns."""
     rows = table(spark, sf_dir, "lineitem")
@@ -363,9 +364,55 @@ def predecessors(spark, sf_dir):
     return found.select("unit", "dst", F.array_join(F.col("preds").cast("array<string>"), ",").alias("preds"), "jump_target")
 
 
-@query(f"WITH RECURSIVE {_CODE}, r(unit, node) AS (SELECT DISTINCT unit, 0::HUGEINT FROM edges UNION SELECT r.unit, e.dst FROM r JOIN edges e ON e.unit = r.unit AND e.src = r.node) SELECT unit, node::BIGINT AS node FROM r")
+_ENTRIES = "entry AS (SELECT DISTINCT b.unit, b.block_id FROM h JOIN blocks b ON b.unit = h.unit AND b.start_off = h.pc)"
+
+
+@query(f"WITH RECURSIVE {_HANDLED}, {_ENTRIES}, r(unit, node) AS (SELECT DISTINCT unit, 0::HUGEINT FROM blocks UNION SELECT unit, block_id FROM entry UNION SELECT r.unit, e.dst FROM r JOIN edges e ON e.unit = r.unit AND e.src = r.node) SELECT unit, node::BIGINT AS node FROM r")
 def block_reachability(spark, sf_dir):
-    return cfg.reachable(cfg.edges(cfg.blocks(code(spark, sf_dir))))
+    """From block 0 and from the handlers of every unit."""
+    handlers = exceptions(spark, sf_dir)
+    found = cfg.blocks(code(spark, sf_dir), handlers)
+    return cfg.reachable(found, cfg.edges(found), cfg.handler_blocks(found, handlers)).distinct()
+
+
+@query(f"""WITH {_HANDLED}, o AS (SELECT unit, pc, coalesce(type, 'any') AS type, min(ord) AS ord, max(ord) AS last FROM h GROUP BY ALL),
+p AS (SELECT unit, pc, string_agg(type, ',' ORDER BY ord) AS types, arg_max(type, last) AS last FROM o GROUP BY unit, pc)
+SELECT p.unit, b.block_id::BIGINT AS block_id, CASE WHEN last = 'any' THEN 'finally' ELSE 'catch' END AS kind, types FROM p JOIN blocks b ON b.unit = p.unit AND b.start_off = p.pc""")
+def handler_kinds(spark, sf_dir):
+    handlers = exceptions(spark, sf_dir)
+    found = cfg.handler_blocks(cfg.blocks(code(spark, sf_dir), handlers), handlers)
+    return found.select("unit", "block_id", "kind", F.array_join("catch_types", ",").alias("types"))
+
+
+@query(f"WITH {_HANDLED} SELECT unit, block_id::BIGINT AS block_id, start_off::BIGINT AS start_off, end_off::BIGINT AS end_off FROM blocks")
+def handled_blocks(spark, sf_dir):
+    """Blocks that also begin where the exception table says."""
+    return cfg.blocks(code(spark, sf_dir), exceptions(spark, sf_dir)).select("unit", "block_id", "start_off", "end_off")
+
+
+@query(f"""WITH {_HANDLED}, t AS (SELECT DISTINCT unit, a, b FROM h)
+SELECT k.unit, k.block_id::BIGINT AS block_id, t.a::BIGINT AS first, t.b::BIGINT AS last FROM blocks k JOIN t ON t.unit = k.unit AND t.a <= k.start_off AND k.end_off <= t.b QUALIFY row_number() OVER (PARTITION BY k.unit, k.block_id ORDER BY t.a, t.b) = 1""")
+def try_blocks(spark, sf_dir):
+    """The first try range that holds a whole block."""
+    handlers = exceptions(spark, sf_dir)
+    return cfg.held_blocks(cfg.blocks(code(spark, sf_dir), handlers), handlers.select("unit", F.col("start").alias("first"), F.col("end").alias("last")))
+
+
+@query(f"""WITH {_CODE}, l AS (SELECT l_orderkey AS unit, l_linenumber % 4 AS spot, l_linenumber AS line, l_partkey AS ord FROM lineitem),
+f AS (SELECT unit, spot, line FROM l QUALIFY row_number() OVER (PARTITION BY unit, spot ORDER BY ord, line) = 1)
+SELECT b.unit, b.block_id::BIGINT AS block_id, f.line::BIGINT AS line FROM blocks b LEFT JOIN f ON f.unit = b.unit AND f.spot = b.start_off""")
+def line_at_blocks(spark, sf_dir):
+    """The first line number that stands at a block's start."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), (F.col("l_linenumber") % 4).cast("long").alias("at"), F.struct("l_partkey", "l_linenumber").alias("ord"), F.col("l_linenumber").cast("long").alias("line"))
+    return cfg.at_starts(cfg.blocks(code(spark, sf_dir)), rows, "at").select("unit", "block_id", "line")
+
+
+@query(f"""WITH {_CODE}, m AS (SELECT unit, block_id, CASE WHEN last_op <> 'jump' THEN block_id END AS live FROM blocks)
+SELECT unit, block_id::BIGINT AS block_id, (min(live) OVER (PARTITION BY unit ORDER BY block_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))::BIGINT AS next_live FROM m""")
+def next_unconsumed(spark, sf_dir):
+    """Behind each block the first whose end is no jump."""
+    found = cfg.blocks(code(spark, sf_dir))
+    return cfg.next_live(found.select("unit", "block_id", F.col("block_id").alias("pos")), found.filter("last_op = 'jump'"))
 
 
 @query(f"WITH {_CODE}, inside AS (SELECT unit, block_id FROM blocks WHERE block_id < 3) SELECT e.unit, src::BIGINT AS src, dst::BIGINT AS dst FROM edges e SEMI JOIN inside i ON e.unit = i.unit AND e.src = i.block_id WHERE dst > 3")
@@ -411,54 +458,28 @@ _TRY = "t AS (SELECT DISTINCT user_id AS unit, event_id % 50 AS a, event_id % 50
 @query(f"WITH {_TRY} SELECT p.unit, p.event_id, t.a::BIGINT AS first, t.b::BIGINT AS last FROM p JOIN t ON p.unit = t.unit AND t.a <= p.lo AND p.hi <= t.b QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY t.a, t.b) = 1")
 def try_containment(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "unit")
-    tries = e.select("unit", (F.col("event_id") % 50).alias("first"), (F.col("event_id") % 50 + F.col("event_id") % 7 + 3).alias("last")).distinct()
-    points = e.select("unit", "event_id", (F.col("event_id") % 60).alias("lo"), (F.col("event_id") % 60 + 2).alias("hi"))
-    held = points.join(tries, "unit").filter("first <= lo and hi <= last")
-    return held.groupBy("unit", "event_id").agg(F.min(F.struct("first", "last")).alias("t")).select("unit", "event_id", "t.first", "t.last")
+    tries = e.select("unit", (F.col("event_id") % 50).alias("first"), (F.col("event_id") % 50 + F.col("event_id") % 7 + 3).alias("last"))
+    points = e.select("unit", F.col("event_id").alias("block_id"), (F.col("event_id") % 60).alias("start_off"), (F.col("event_id") % 60 + 2).alias("end_off"))
+    return cfg.held_blocks(points, tries).withColumnRenamed("block_id", "event_id")
 
 
-_GRAPH = "g AS (SELECT s_suppkey AS src, (s_suppkey * 3 + s_nationkey) % 97 AS dst FROM supplier WHERE s_suppkey < 97)"
+_GRAPH = "g AS (SELECT s_suppkey AS src, (s_suppkey * 3 + s_nationkey) % 97 AS dst FROM supplier)"
 
 
 def _graph(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 97").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 97).alias("dst"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 97).alias("dst"))
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, r(root, node) AS (SELECT DISTINCT src, src FROM g WHERE src % 10 = 0 UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.node) SELECT root, node::BIGINT AS node FROM r")
+@query(f"WITH RECURSIVE {_GRAPH}, r(root, node) AS (SELECT DISTINCT src, src FROM g UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.node) SELECT root, node::BIGINT AS node FROM r")
 def reachability(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    roots = g.filter("src % 10 = 0").select(F.col("src").alias("root"), F.col("src").alias("node"))
-    each = g.join(F.broadcast(roots.select("root").distinct()))  # ten roots at most: the graph has 97 nodes
-    return closure(each, roots, ["root"])
+    return closure(g, g.select(F.col("src").alias("root"), F.col("src").alias("node")), ["root"])
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, b AS (SELECT src AS latch, dst AS header FROM g WHERE dst <= src), r(header, node) AS (SELECT header, latch FROM b UNION SELECT r.header, g.src FROM r JOIN g ON g.dst = r.node WHERE r.node <> r.header) SELECT header::BIGINT AS header, node::BIGINT AS node FROM r UNION SELECT header, header FROM b")
 def loop_body(spark, sf_dir):
     g = _graph(spark, sf_dir)
     latches = g.filter("dst <= src").select(F.col("dst").alias("header"), F.col("src").alias("node"))
-    back = g.join(F.broadcast(latches.select("header").distinct())).filter("dst <> header").select("header", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closure(back, latches, ["header"]).unionByName(latches.select("header", F.col("header").alias("node"))).distinct()
-
-
-_WHOLE_GRAPH = "g AS (SELECT s_suppkey AS src, (s_suppkey * 3 + s_nationkey) % 97 AS dst FROM supplier)"
-
-
-def _whole_graph(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 97).alias("dst"))
-
-
-@query(f"WITH RECURSIVE {_WHOLE_GRAPH}, r(root, node) AS (SELECT DISTINCT src, src FROM g UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.node) SELECT root, node::BIGINT AS node FROM r")
-def reachability_whole(spark, sf_dir):
-    """reachability over all suppliers, each of them a root."""
-    g = _whole_graph(spark, sf_dir)
-    return closure(g, g.select(F.col("src").alias("root"), F.col("src").alias("node")), ["root"])
-
-
-@query(f"WITH RECURSIVE {_WHOLE_GRAPH}, b AS (SELECT src AS latch, dst AS header FROM g WHERE dst <= src), r(header, node) AS (SELECT header, latch FROM b UNION SELECT r.header, g.src FROM r JOIN g ON g.dst = r.node WHERE r.node <> r.header) SELECT header::BIGINT AS header, node::BIGINT AS node FROM r UNION SELECT header, header FROM b")
-def loop_body_whole(spark, sf_dir):
-    """loop_body over all suppliers."""
-    g = _whole_graph(spark, sf_dir)
-    latches = g.filter("dst <= src").select(F.col("dst").alias("header"), F.col("src").alias("node"))
     back = g.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return closure(back, latches, ["header"], stop="node = header").unionByName(latches.select("header", F.col("header").alias("node"))).distinct()
 
@@ -471,9 +492,14 @@ def dead_labels(spark, sf_dir):
 
 @query(f"WITH {_CODE} SELECT unit, (off % 4)::BIGINT AS slot, count(*) FILTER (op = 'cond')::BIGINT AS writes, coalesce(min(off) FILTER (op <> 'cond') < min(off) FILTER (op = 'cond'), count(*) FILTER (op = 'cond') = 0) AS read_first FROM code GROUP BY unit, off % 4")
 def slot_writes(spark, sf_dir):
-    c = code(spark, sf_dir).withColumn("store", F.col("op") == "cond")
-    used = c.groupBy("unit", (F.col("off") % 4).alias("slot")).agg(F.count_if("store").alias("writes"), F.min(F.when(F.col("store"), F.col("off"))).alias("w"), F.min(F.when(~F.col("store"), F.col("off"))).alias("r"))
-    return used.select("unit", "slot", "writes", F.coalesce(F.col("r") < F.col("w"), F.col("writes") == 0).alias("read_first"))
+    return cfg.slot_uses(code(spark, sf_dir).withColumn("store", F.col("op") == "cond").withColumn("slot", F.col("off") % 4), ["unit", "slot"])
+
+
+@query("SELECT l_orderkey AS unit, 'v' || l_partkey % 5 AS name, coalesce(sum(l_linenumber) FILTER (l_returnflag <> 'N'), 0)::BIGINT AS reads, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N'), 0)::BIGINT AS writes FROM lineitem GROUP BY ALL")
+def name_uses(spark, sf_dir):
+    """How often each name is read and written in a unit's statements."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.concat(F.lit("v"), (F.col("l_partkey") % 5).cast("string")).alias("name"), (F.col("l_returnflag") == "N").alias("write"), F.col("l_linenumber").cast("long").alias("times"))
+    return cfg.name_uses(rows, ["unit", "name"])
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN k > 1 THEN '$' || (k - 1) ELSE '' END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS k FROM part)")
@@ -488,11 +514,11 @@ def frame_offsets(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", (F.sum(F.col("event_id") % 60 + 1).over(line) - 1).alias("off"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))::BIGINT AS idx FROM lineitem")
 def diff_decode(spark, sf_dir):
-    line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    diffs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") - F.coalesce(F.lag("o_orderkey").over(line), F.lit(0))).alias("diff"))
-    return diffs.select(F.sum("diff").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("o_orderkey"), "o_custkey")
+    """Index differences, as class data of dex files has them, summed up per unit."""
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.sum(F.col("l_quantity").cast("long")).over(line).alias("idx"))
 
 
 @query("SELECT user_id AS unit, (event_id % 5)::BIGINT AS target, string_agg(DISTINCT event_id % 13, ',' ORDER BY event_id % 13) AS cases FROM events GROUP BY user_id, event_id % 5")
@@ -514,19 +540,36 @@ def imports_set(spark, sf_dir):
     return p.groupBy("package").agg(F.array_join(F.sort_array(F.collect_set("simple")), ",").alias("imports"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+_LEB = "list_reduce(list_prepend('', list_transform(range({n}), lambda i: printf('%02x', (({v} >> (7 * i)) & 127) + CASE WHEN i < {n} - 1 THEN 128 ELSE 0 END))), lambda a, b: a || b)"
+
+
+@query(f"""WITH k AS (SELECT o_orderkey, o_custkey * 977 + o_orderkey AS v, CASE WHEN o_custkey * 977 + o_orderkey < 128 THEN 1 WHEN o_custkey * 977 + o_orderkey < 16384 THEN 2 WHEN o_custkey * 977 + o_orderkey < 2097152 THEN 3 WHEN o_custkey * 977 + o_orderkey < 268435456 THEN 4 ELSE 5 END AS n FROM orders)
+SELECT o_orderkey, {_LEB.format(n="n", v="v")} AS coded, v::BIGINT AS unsigned, (v - 1)::BIGINT AS plus_one, (CASE WHEN n < 5 AND (v >> (7 * n - 1)) & 1 = 1 THEN v - (1::BIGINT << (7 * n)) ELSE v END)::BIGINT AS signed FROM k""")
 def leb128_roundtrip(spark, sf_dir):
-    """Unsigned LEB128 bytes of each key, as an array of integers, and back."""
-    key = F.col("o_custkey")
-    groups = F.greatest(F.lit(1), F.ceil(F.length(F.bin(key)) / 7).cast("int"))
-    coded = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.expr("0").cast("bigint") + F.call_function("shiftright", key, i * 7).bitwiseAND(F.lit(127)) + F.when(i < groups - 1, 128).otherwise(0))
-    back = F.aggregate(F.col("coded"), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("s")), lambda a, b: F.struct((a["v"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), a["s"])).alias("v"), (a["s"] + 7).alias("s")), lambda a: a["v"])
-    return table(spark, sf_dir, "orders").select("o_orderkey", coded.alias("coded")).select("o_orderkey", back.alias("o_custkey"))
+    """Numbers as LEB128 bytes, and the three readings of those bytes by the reader of dex files."""
+    import pyarrow as pa
+
+    value = F.col("o_custkey") * 977 + F.col("o_orderkey")
+    groups = F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7).cast("int"))
+    byte = lambda i: F.call_function("shiftright", F.col("v"), i * 7).bitwiseAND(F.lit(127)) + F.when(i < F.col("n") - 1, 128).otherwise(0)
+    coded = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lower(F.lpad(F.hex(byte(i)), 2, "0"))), "")
+
+    def run(batches):
+        from .kernels.binary import Cursor
+
+        for batch in batches:
+            raw = [bytes.fromhex(x) for x in batch.column(1).to_pylist()]
+            read = [[getattr(Cursor(x), how)() for x in raw] for how in ("uleb128", "uleb128p1", "sleb128")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(r, pa.int64()) for r in read)], ["o_orderkey", "coded", "unsigned", "plus_one", "signed"])
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", value.alias("v"), groups.alias("n")).select("o_orderkey", coded.alias("coded"))
+    return rows.mapInArrow(run, "o_orderkey long, coded string, unsigned long, plus_one long, signed long")
 
 
 # ---- binary kernels: parts are assembled to files, and the files are read
 
 def _class_of_part(key: int, name: str, size: int) -> bytes:
+    """Two constants, a sum, a limit inside a try range, and a method that gives back what it gets."""
     from .kernels.builder import ClassBuilder
     from .kernels.insn import assemble
 
@@ -534,24 +577,25 @@ def _class_of_part(key: int, name: str, size: int) -> bytes:
     b.field("size", "I", 0x19, b.number("int", size))
     b.field("name", "Ljava/lang/String;", 0x19, b.string(name))
     b.method("grow", "(I)I", assemble(("iload_0",), ("bipush", size), ("iadd",), ("ireturn",)), lines=((0, size),))
-    jump = assemble(("iload_0",), ("ifge", 7), ("iload_0",), ("ineg",), ("istore_0",), ("nop",), ("iload_0",), ("ireturn",))
-    b.method("abs", "(I)I", jump, handlers=((0, 4, 8, "java/lang/Exception" if size % 2 else None),))
+    clip = assemble(("iload_0",), ("bipush", size), ("if_icmple", 6), ("bipush", size), ("istore_0",), ("iload_0",), ("ireturn",), ("astore_1",), ("iconst_m1",), ("ireturn",))
+    b.method("clip", "(I)I", clip, handlers=((0, 9, 11, "java/lang/Exception" if size % 2 else None),))
+    b.method("same", "(I)I", assemble(("iload_0",), ("ireturn",)))
     return b.build()
 
 
-def _units(spark, sf_dir, sql_kind: str = "class") -> DataFrame:
+def _units(spark, sf_dir, make=_class_of_part) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             key, name, size = (c.to_pylist() for c in batch.columns)
-            data = [_class_of_part(*x) for x in zip(key, name, size)]
+            data = [make(*x) for x in zip(key, name, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"P{k}.class" for k in key]), pa.array(["class"] * len(key)), pa.array(data, pa.binary())], ["unit_id", "origin", "kind", "data"])
 
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").mapInArrow(run, "unit_id long, origin string, kind string, data binary")
 
 
-@query("""SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey AS name, 52::INTEGER AS major, 'java/lang/Object' AS super, 'size:I=' || p_size || ',name:Ljava/lang/String;=' || p_name AS fields, 'grow(I)I,abs(I)I' AS methods FROM part""")
+@query("""SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey AS name, 52::INTEGER AS major, 'java/lang/Object' AS super, 'size:I=' || p_size || ',name:Ljava/lang/String;=' || p_name AS fields, 'grow(I)I,clip(I)I,same(I)I' AS methods FROM part""")
 def class_roundtrip(spark, sf_dir):
     from .plans import tables
 
@@ -561,8 +605,9 @@ def class_roundtrip(spark, sf_dir):
     return parsed.select("unit_id", "name", "major", "super", f.alias("fields"), m.alias("methods"))
 
 
-@query("""SELECT p_partkey AS unit_id, m::INTEGER AS method_idx, off::INTEGER AS off, mnemonic, CASE WHEN mnemonic = 'bipush' THEN p_size::VARCHAR WHEN mnemonic = 'nop' THEN NULL END AS value, targets FROM part,
- (VALUES (0, 0, 'iload_0', ''), (0, 1, 'bipush', ''), (0, 3, 'iadd', ''), (0, 4, 'ireturn', ''), (1, 0, 'iload_0', ''), (1, 1, 'ifge', '8'), (1, 4, 'iload_0', ''), (1, 5, 'ineg', ''), (1, 6, 'istore_0', ''), (1, 7, 'nop', ''), (1, 8, 'iload_0', ''), (1, 9, 'ireturn', '')) v(m, off, mnemonic, targets)""")
+@query("""SELECT p_partkey AS unit_id, m::INTEGER AS method_idx, off::INTEGER AS off, mnemonic, CASE WHEN mnemonic = 'bipush' THEN p_size::VARCHAR WHEN mnemonic = 'iconst_m1' THEN '-1' END AS value, targets FROM part,
+ (VALUES (0, 0, 'iload_0', ''), (0, 1, 'bipush', ''), (0, 3, 'iadd', ''), (0, 4, 'ireturn', ''), (1, 0, 'iload_0', ''), (1, 1, 'bipush', ''), (1, 3, 'if_icmple', '9'), (1, 6, 'bipush', ''), (1, 8, 'istore_0', ''), (1, 9, 'iload_0', ''), (1, 10, 'ireturn', ''),
+ (1, 11, 'astore_1', ''), (1, 12, 'iconst_m1', ''), (1, 13, 'ireturn', ''), (2, 0, 'iload_0', ''), (2, 1, 'ireturn', '')) v(m, off, mnemonic, targets)""")
 def insn_roundtrip(spark, sf_dir):
     from .plans import tables
 
@@ -570,7 +615,7 @@ def insn_roundtrip(spark, sf_dir):
     return rows.select("unit_id", "method_idx", "off", "mnemonic", "value", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 
 
-@query("SELECT p_partkey AS unit_id, 1::INTEGER AS method_idx, 0::INTEGER AS start_pc, 4::INTEGER AS end_pc, 8::INTEGER AS handler_pc, coalesce(CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' END, 'any') AS catch_type, p_size::INTEGER AS line FROM part")
+@query("SELECT p_partkey AS unit_id, 1::INTEGER AS method_idx, 0::INTEGER AS start_pc, 9::INTEGER AS end_pc, 11::INTEGER AS handler_pc, coalesce(CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' END, 'any') AS catch_type, p_size::INTEGER AS line FROM part")
 def handlers_and_lines(spark, sf_dir):
     from .plans import tables
 
@@ -606,16 +651,10 @@ def zip_roundtrip(spark, sf_dir):
     return found.select("unit_id", "origin", F.coalesce("kind", F.lit("error")).alias("kind"), F.octet_length("data").cast("long").alias("size"), F.col("data").cast("string").alias("body"))
 
 
-@query("""SELECT p_partkey AS unit_id, '    0: iload_0' || chr(10) || '    1: bipush ' || p_size || chr(10) || '    3: iadd' || chr(10) || '    4: ireturn' || chr(10) || 'line ' || p_size || ': 0' AS listing FROM part""")
-def disasm_text(spark, sf_dir):
-    from .plans import tables
-
-    return tables.listings(tables.parse_classes(_units(spark, sf_dir))).filter("name = 'grow'").select("unit_id", "listing")
-
-
 @query("""SELECT p_partkey AS unit_id, 0::INTEGER AS method_idx, 'grow' AS name, '    0: iload_0' || chr(10) || '    1: bipush ' || p_size || chr(10) || '    3: iadd' || chr(10) || '    4: ireturn' || chr(10) || 'line ' || p_size || ': 0' AS listing FROM part
-UNION ALL SELECT p_partkey, 1, 'abs', '    0: iload_0' || chr(10) || '    1: ifge 8' || chr(10) || '    4: iload_0' || chr(10) || '    5: ineg' || chr(10) || '    6: istore_0' || chr(10) || '    7: nop' || chr(10) || '    8: iload_0' || chr(10) || '    9: ireturn' || chr(10) || 'catch ' || CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' ELSE 'any' END || ' 0..4 -> 8' FROM part""")
-def disasm_text_whole(spark, sf_dir):
+UNION ALL SELECT p_partkey, 1, 'clip', replace('    0: iload_0|    1: bipush ' || p_size || '|    3: if_icmple 9|    6: bipush ' || p_size || '|    8: istore_0|    9: iload_0|   10: ireturn|   11: astore_1|   12: iconst_m1|   13: ireturn|catch ' || CASE WHEN p_size % 2 = 1 THEN 'java/lang/Exception' ELSE 'any' END || ' 0..9 -> 11', '|', chr(10)) FROM part
+UNION ALL SELECT p_partkey, 2, 'same', '    0: iload_0' || chr(10) || '    1: ireturn' FROM part""")
+def disasm_text(spark, sf_dir):
     """The listings of every method."""
     from .plans import tables
 
@@ -626,21 +665,12 @@ _SOURCE_SQL = r"""'package pkg;' || chr(10) || chr(10) || 'public class P' || p_
 || chr(9) || 'public static int grow(int arg0) {' || chr(10) || chr(9) || chr(9) || 'return arg0 + ' || p_size || ';' || chr(10) || chr(9) || '}' || chr(10)"""
 
 
-@query(f"SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey || '.java' AS file_name, {_SOURCE_SQL} AS head FROM part")
-def decompile_source(spark, sf_dir):
-    from .plans import tables
-
-    sources = tables.sources(_units(spark, sf_dir))
-    return sources.select("unit_id", "file_name", F.regexp_extract("text", r"(?s)^(.*?arg0 \+ \d+;\n\t\}\n)", 1).alias("head"))
-
+_CAUGHT = "CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END"
+_CLIP_SQL = f"""replace(replace('|~public static int clip(int arg0) {{|~~try {{|~~~if (arg0 > ' || p_size || ') {{|~~~~arg0 = ' || p_size || ';|~~~}}|~~~return arg0;|~~}} catch (' || {_CAUGHT} || ' caught) {{|~~~' || {_CAUGHT} || ' v1 = caught;|~~~return -1;|~~}}|~}}||~public static int same(int arg0) {{|~~return arg0;|~}}|}}|', '|', chr(10)), '~', chr(9))"""
 
-_ABS_SQL = r"""replace(chr(10) || '>public static int abs(int arg0) {' || chr(10) || '>>try {' || chr(10) || '>>>if (arg0 < 0) {' || chr(10) || '>>>>arg0 = -arg0;' || chr(10) || '>>>}' || chr(10)
-|| '>>} catch (' || CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END || ' caught) {' || chr(10) || '>>}' || chr(10) || '>>return arg0;' || chr(10) || '>}' || chr(10) || '}' || chr(10), '>', chr(9))"""
 
-
-@query(f"SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey || '.java' AS file_name, {_SOURCE_SQL} || {_ABS_SQL} AS text FROM part")
-def decompile_source_whole(spark, sf_dir):
-    """The whole text of every source, with the methods and handlers that decompile_source and decompile_handlers leave out."""
+@query(f"SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey || '.java' AS file_name, {_SOURCE_SQL} || {_CLIP_SQL} AS text FROM part")
+def decompile_source(spark, sf_dir):
     from .plans import tables
 
     return tables.sources(_units(spark, sf_dir)).select("unit_id", "file_name", "text")
@@ -683,13 +713,6 @@ def unit_errors(spark, sf_dir):
     return found.select("unit_id", F.when(F.col("message").startswith("no class file"), "no class file").otherwise("short").alias("reason"))
 
 
-@query("SELECT p_partkey AS unit_id, printf('catch (%s caught)', CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END) AS body FROM part")
-def decompile_handlers(spark, sf_dir):
-    from .plans import tables
-
-    return tables.sources(_units(spark, sf_dir)).select("unit_id", F.regexp_extract("text", r"(catch \(\w+ caught\))", 1).alias("body"))
-
-
 @query("""SELECT p_partkey, 'T extends Comparable<T> & Serializable' AS params, 'List<? extends ' || upper(p_type) || '>,int' || repeat('[]', p_size % 3) AS args, 'Map<String, ?>' AS ret FROM part""")
 def signature_parse(spark, sf_dir):
     """Generic method signatures built from parts, and read."""

@@ -54,3 +54,23 @@ def _escaped(text: Column, escape_unicode: bool) -> Column:
 def string_literal(text: Column, escape_unicode: bool = True) -> Column:
     """A quoted Java string; beyond ASCII as \\u escapes if asked, supplementary characters as two."""
     return F.concat(F.lit('"'), _escaped(text, escape_unicode), F.lit('"'))
+
+
+def char_literal(code: Column, escape_unicode: bool = True) -> Column:
+    """A quoted Java character of a UTF-16 code unit: a single quote is escaped, a double one is not."""
+    c = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 4, "0")), "UTF-16BE")
+    body = F.when(code == 39, F.lit("\\'")).when(code == 34, F.lit('"')).when(code.between(0xD800, 0xDFFF), F.concat(F.lit("\\u"), F.lower(F.hex(code.cast("int"))))).otherwise(_escaped(c, escape_unicode))
+    return F.concat(F.lit("'"), body, F.lit("'"))
+
+
+def float_literal(value: Column) -> Column:
+    """double_literal() of a 32-bit value, with its own limits, its shortest digits and its suffix."""
+    v = value.cast("float")
+    raw, size = v.cast("string"), F.abs(v)
+    plain = F.when((v != 0) & ((size < 1e-4) | (size >= 1e7)), F.lower(raw))
+    # 1.0E-4 to 9.99E-4 print with an exponent where digits are wanted
+    digits = F.regexp_replace(F.format_string("%.15f", raw.cast("double")), r"0+$", "")
+    text = F.coalesce(plain, F.when((v != 0) & (size < 1e-3), digits).otherwise(raw))
+    special = F.when(F.isnan(v), "Float.NaN").when(v == float("inf"), "Float.POSITIVE_INFINITY").when(v == float("-inf"), "Float.NEGATIVE_INFINITY")
+    most, least, normal = (F.lit(x).cast("float") for x in (3.4028234663852886e38, 1.401298464324817e-45, 1.1754943508222875e-38))
+    return special.when(v == most, "Float.MAX_VALUE").when(v == least, "Float.MIN_VALUE").when(v == normal, "Float.MIN_NORMAL").otherwise(F.concat(text, F.lit("f")))

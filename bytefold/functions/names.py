@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that cannot name anything.
+# The reserved words of Java, which cannot name anything.
 RESERVED = (
     "_ abstract assert boolean break byte case catch char class const continue default do double else enum extends "
     "false final finally float for goto if implements import instanceof int interface long native new null package "
@@ -109,6 +109,17 @@ def should_rename(name: Column, least: int, force: bool) -> Column:
     return ~special & (F.lit(True) if force else F.length(name) < least)
 
 
+def skip_package(package: Column, skipped: list[str]) -> Column:
+    """A package (by dots or slashes) that is listed, or lies below a listed one."""
+    dotted = F.translate(package, "/", ".")
+    return F.exists(F.array(*[F.lit(s.replace("/", ".")) for s in skipped]).cast("array<string>"), lambda s: (dotted == s) | F.startswith(dotted, F.concat(s, F.lit("."))))
+
+
+def class_alias_of(node: Column, alias: Column) -> Column:
+    """A class's name under its alias: the package stays, all behind it goes."""
+    return F.when(F.instr(node, "/") > 0, F.concat_ws("/", package_of(node), alias)).otherwise(alias)
+
+
 def rename_line(code: Column, node: Column, alias: Column, slot: Column | None = None) -> Column:
     ref = node if slot is None else F.concat(node, F.coalesce(F.concat(F.lit("#"), slot.cast("string")), F.lit("")))
     return F.concat(code, F.lit(" "), ref, F.lit(" = "), alias)

@@ -74,10 +74,13 @@ def read(data: bytes, entry: Entry, limit: int = LIMIT, check: bool = True) -> b
     if entry.method == STORED:
         out = raw
     elif entry.method == DEFLATED:
+        unpacker = zlib.decompressobj(-15)
         try:
-            out = zlib.decompressobj(-15).decompress(raw, limit + 1)
+            out = unpacker.decompress(raw, limit + 1)
         except zlib.error as e:
             raise FormatError(f"{entry.name}: {e}") from e
+        if len(out) <= limit and not unpacker.eof:
+            raise FormatError(f"{entry.name} ends before its data does")
     else:
         raise FormatError(f"{entry.name} is packed by the unsupported method {entry.method}")
     if len(out) > limit:

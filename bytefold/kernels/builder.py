@@ -56,14 +56,15 @@ class ClassBuilder:
     def attribute(self, name: str, body: bytes) -> bytes:
         return struct.pack(">HI", self.utf8(name), len(body)) + body
 
-    def field(self, name: str, descriptor: str, access: int = 1, constant: int | None = None) -> None:
-        attrs = [self.attribute("ConstantValue", struct.pack(">H", constant))] if constant else []
+    def field(self, name: str, descriptor: str, access: int = 1, constant: int | None = None, extra: list[bytes] = ()) -> None:
+        attrs = [*extra, *([self.attribute("ConstantValue", struct.pack(">H", constant))] if constant else [])]
         self.fields.append(struct.pack(">HHHH", access, self.utf8(name), self.utf8(descriptor), len(attrs)) + b"".join(attrs))
 
-    def method(self, name: str, descriptor: str, code: bytes | None = None, access: int = 9, stack: int = 8, most: int = 8, handlers=(), lines=(), variables=()) -> None:
-        attrs = []
+    def method(self, name: str, descriptor: str, code: bytes | None = None, access: int = 9, stack: int = 8, most: int = 8, handlers=(), lines=(), variables=(), extra: list[bytes] = (), inner: list[bytes] = ()) -> None:
+        """`extra` are attributes of the method, `inner` of its code."""
+        attrs = list(extra)
         if code is not None:
-            inner = []
+            inner = list(inner)
             if lines:
                 inner.append(self.attribute("LineNumberTable", struct.pack(">H", len(lines)) + b"".join(struct.pack(">HH", *x) for x in lines)))
             if variables:
@@ -74,6 +75,18 @@ class ClassBuilder:
             attrs.append(self.attribute("Code", body))
         self.methods.append(struct.pack(">HHHH", access, self.utf8(name), self.utf8(descriptor), len(attrs)) + b"".join(attrs))
 
+    def handle(self, kind: int, ref: int) -> int:
+        return self._add((cf.HANDLE, kind, ref), struct.pack(">BBH", cf.HANDLE, kind, ref))
+
+    def shorts(self, name: str, *values: int) -> bytes:
+        """An attribute of two-byte numbers, which most tables are."""
+        return self.attribute(name, struct.pack(f">{len(values)}H", *values))
+
+    def annotation(self, kind: str, **values: tuple[str, int]) -> bytes:
+        """An annotation's bytes: its type, and for each name the tag and the constant of its value."""
+        pairs = b"".join(struct.pack(">HBH", self.utf8(k), ord(tag), at) for k, (tag, at) in values.items())
+        return struct.pack(">HH", self.utf8(kind), len(values)) + pairs
+
     def build(self) -> bytes:
         head = struct.pack(">IHHH", 0xCAFEBABE, 0, self.major, self.slots) + b"".join(self.entries)
         out = head + struct.pack(">HHHH", self.access, self.this, self.above, len(self.interfaces)) + b"".join(struct.pack(">H", i) for i in self.interfaces)

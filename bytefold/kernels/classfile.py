@@ -191,6 +191,7 @@ def _enclosing(c: Cursor, pool: Pool) -> dict:
     return {"class": owner, "method": list(pool.name_type(method)) if method else None}
 
 
+# Attributes by name, each with the layout of its body.
 READERS = {
     "Code": _code,
     "StackMapTable": _frames,

@@ -30,10 +30,22 @@ def type_name(descriptor: str) -> str:
     return named + "[]" * (len(descriptor) - len(bare))
 
 
+# the classes of the file at hand whose simple names another class takes; they print with their packages
+_qualified: set[str] = set()
+
+
 def short(name: str) -> str:
+    dotted = name.replace("/", ".").replace("$", ".")
+    if _qualified and dotted.rstrip("[]") in _qualified:
+        return dotted
     return name.replace("$", ".").rpartition("/")[2].rpartition(".")[2] if "." not in name else name.rpartition(".")[2]
 
 
+def resolved(name: str) -> str:
+    """short() of class names inside generic signatures, where a nested class keeps its outer one."""
+    return short(name) if name.replace("/", ".").replace("$", ".") in _qualified else signature.simple(name)
+
+
 def arguments(descriptor: str) -> list[str]:
     return ONE_TYPE.findall(descriptor[1 : descriptor.index(")")])
 
@@ -103,10 +115,14 @@ def reverse_postorder(out: dict[int, Block], roots: list[int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Style:
-    """How literals print: non-ASCII characters escaped or as they are, integers in decimal or hexadecimal."""
+    """How sources print: non-ASCII characters escaped or as they are, integers in decimal or hexadecimal, classes by import
+    or by their whole names, locals by their debug names or by number, and with line numbers as comments or without."""
 
     escape_unicode: bool = True
     hexadecimal: bool = False
+    use_imports: bool = True
+    debug_names: bool = True
+    line_numbers: bool = False
 
 
 def _character(c: str, style: Style) -> str:
@@ -161,7 +177,8 @@ class Evaluator:
         self.handlers = body["handlers"]
         self.blocks = blocks_of(decode(body["code"], cls.pool), self.handlers)
         self.temps: list[str] = []
-        debug = {v["slot"]: v["name"] for v in reversed(body["attrs"].get("LocalVariableTable", []))}
+        debug = {v["slot"]: v["name"] for v in reversed(body["attrs"].get("LocalVariableTable", []))} if style.debug_names else {}
+        self.lines = {x["start_pc"]: x["line"] for x in body["attrs"].get("LineNumberTable", [])} if style.line_numbers else {}
         self.names, self.declared, slot = dict(debug), set(), 0
         self.types: dict[int, str] = {}
         if not self.static:
@@ -176,13 +193,15 @@ class Evaluator:
         self._distinct()
 
     def _distinct(self) -> None:
-        taken: dict[str, int] = {}
+        """The k-th of equal names gets the k-th free number."""
+        known, last = set(self.names.values()), {}
         for slot in sorted(self.names):
             name = self.names[slot]
-            k = taken.get(name, 0)
-            taken[name] = k + 1
-            if k:
-                self.names[slot] = f"{name}${k}"
+            if name in last:
+                last[name] = next(k for k in range(last[name] + 1, len(known) + len(self.names) + 2) if f"{name}${k}" not in known)
+                self.names[slot] = f"{name}${last[name]}"
+            else:
+                last[name] = 0
 
     def local(self, slot: int, letter: str) -> str:
         return self.names.setdefault(slot, f"{'v' if letter == 'a' else letter}{slot}")
@@ -214,8 +233,13 @@ class Evaluator:
         return f"tmp{len(self.temps)}"
 
     def block(self, b: Block, stack: list[Value]) -> list[Value]:
+        line = None
         for i in b.insns:
+            line, had = self.lines.get(i.off, line), len(b.body)
             self.step(i, b, stack)
+            if line is not None and len(b.body) > had:
+                b.body.insert(had, f"// line {line}")
+                line = None
         if b.end == ("fall",) and b.after:
             b.end = ("goto", b.after[0])
         return stack
@@ -608,6 +632,41 @@ def fold(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+_TEMP = re.compile(r"(tmp\d+) = (.*);")
+_CALL = re.compile(r"[\w$>]\s*\(|\bnew\b|\+\+|--|[^=!<>]=[^=]")
+
+
+def inline_temps(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], int]:
+    """Lines without the temporaries that are written once and read once, behind the write and in its list of statements,
+    and how many went. A value that calls, makes or writes something stays, as does one whose names are written before the
+    read."""
+    lines, gone, at = list(lines), 0, 0
+    while at < len(lines):
+        depth, text = lines[at]
+        m = _TEMP.fullmatch(text)
+        at += 1
+        if not m or _CALL.search(m[2]):
+            continue
+        name, value = m.groups()
+        word = re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])")
+        uses = [k for k, (_, t) in enumerate(lines) for _ in word.findall(t) if not re.fullmatch(rf"[\w.<>\[\]]+ {name};", t)]
+        if len(uses) != 2 or uses[0] != at - 1 or uses[1] <= at - 1:
+            continue
+        use, between = uses[1], lines[at : uses[1]]
+        read = set(re.findall(r"[A-Za-z_$][\w$]*", value))
+        if lines[use][0] != depth or any(d < depth for d, _ in between) or any(re.search(rf"(?<![\w$.]){re.escape(r)}(?![\w$])\s*(=[^=]|\+\+|--|[-+]=)", t) for r in read for _, t in between) or lines[use][1].startswith(("while", "}", "L", "case")):
+            continue
+        if between and ("." in value or "[" in value):  # fields and elements may be written by what lies between
+            continue
+        whole = re.fullmatch(rf"(.*= |return |throw )?{name};", lines[use][1])
+        put = value if whole or re.fullmatch(r"[\w$.]+|\"[^\"]*\"", value) else f"({value})"
+        lines[use] = (depth, word.sub(lambda _: put, lines[use][1]))
+        del lines[at - 1]
+        lines = [(d, t) for d, t in lines if not re.fullmatch(rf"[\w.<>\[\]]+ {name};", t)]
+        gone, at = gone + 1, 0
+    return lines, gone
+
+
 # Java modifiers in printing order, with the kinds of members that have them.
 WORDS = ((0x1, "public", "cmf"), (0x2, "private", "cmf"), (0x4, "protected", "cmf"), (0x400, "abstract", "cm"), (0x8, "static", "cmf"), (0x10, "final", "cmf"), (0x20, "synchronized", "m"), (0x40, "volatile", "f"), (0x80, "transient", "f"), (0x100, "native", "m"))
 
@@ -616,6 +675,16 @@ def modifiers(flags: int, kind: str) -> str:
     return "".join(f"{word} " for bit, word, kinds in WORDS if flags & bit and kind in kinds)
 
 
+# Flags that Java has no word for, with the kinds of members that have them.
+HIDDEN = ((0x40, "bridge", "m"), (0x80, "varargs", "m"), (0x8000, "module", "c"), (0x1000, "synthetic", "cmf"))
+
+
+def flagged(flags: int, kind: str) -> str:
+    """modifiers(), behind a comment of the flags that Java has no word for."""
+    other = [word for bit, word, kinds in HIDDEN if flags & bit and kind in kinds]
+    return (f"/* {' '.join(other)} */ " if other else "") + modifiers(flags, kind)
+
+
 def plain(name: str) -> str:
     """A type's name without its package; generic types come without already."""
     return short(name) if "." in name and "<" not in name else name
@@ -651,23 +720,24 @@ def annotations(attrs: dict) -> list[str]:
     return [annotation_text(a) for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])]
 
 
-def method_source(cls: ClassFile, m: Member, style: Style = Style()) -> list[str]:
-    """Lines of one method; code that cannot be read leaves its reason."""
-    simple = short(cls.name)
+def method_source(cls: ClassFile, m: Member, style: Style = Style(), aliases: dict[str, str] | None = None) -> list[str]:
+    """Lines of one method; code that cannot be read leaves its reason. A declaration takes the alias of its node."""
+    aliases = aliases or {}
+    simple = aliases.get(f"c {cls.name}") or short(cls.name)
     back = type_name(m.descriptor[m.descriptor.index(")") + 1 :])
     lines: list[tuple[int, str]] = []
     try:
         if m.attrs.get("Code"):
             ev = Evaluator(cls, m, style)
             ev.run()
-            lines = [(0, f"{short(t)} tmp{k};") for k, t in enumerate(ev.temps, 1)] + fold(Structurer(ev).run())
+            lines = inline_temps([(0, f"{short(t)} tmp{k};") for k, t in enumerate(ev.temps, 1)] + fold(Structurer(ev).run()))[0]
             params = ev.params
         else:
             params = [(type_name(d), f"arg{n}") for n, d in enumerate(arguments(m.descriptor))]
     except (FormatError, RecursionError) as e:
         params = [(type_name(d), f"arg{n}") for n, d in enumerate(arguments(m.descriptor))]
         lines = [(0, f"// not decompiled: {e}")]
-    generic = signature.parse(m.attrs["Signature"], signature.simple) if m.attrs.get("Signature") else None
+    generic = signature.parse(m.attrs["Signature"], resolved) if m.attrs.get("Signature") else None
     if generic and len(generic.args) == len(params):
         params = [(t, n) for t, (_, n) in zip(generic.args, params)]
         back = generic.ret
@@ -676,9 +746,9 @@ def method_source(cls: ClassFile, m: Member, style: Style = Style()) -> list[str
     if m.name == "<clinit>":
         head = "static"
     elif m.name == "<init>":
-        head = f"{modifiers(m.access, 'm')}{typed}{simple}({listed})"
+        head = f"{flagged(m.access, 'm')}{typed}{simple}({listed})"
     else:
-        head = f"{modifiers(m.access, 'm')}{typed}{plain(back)} {m.name}({listed})"
+        head = f"{flagged(m.access, 'm')}{typed}{plain(back)} {aliases.get(f'm {cls.name}#{m.name}{m.descriptor}') or m.name}({listed})"
     if m.attrs.get("Exceptions"):
         head += " throws " + ", ".join(short(x) for x in m.attrs["Exceptions"])
     marks = annotations(m.attrs)
@@ -689,47 +759,102 @@ def method_source(cls: ClassFile, m: Member, style: Style = Style()) -> list[str
     return [*marks, head + " {", *("\t" * (d + 1) + t for d, t in lines), "}"]
 
 
-def imports(cls: ClassFile) -> list[str]:
-    """Classes that members and code name from other packages, but java.lang."""
-    package = cls.name.rpartition("/")[0]
+def named_classes(cls: ClassFile) -> set[str]:
+    """Classes, by internal name, that members, marks and code of a class name."""
     used = {cls.super_name, *cls.interfaces}
     used |= {x for m in [*cls.fields, *cls.methods] for x in re.findall(r"L([^;]+);", m.descriptor)}
+    used |= {x for m in cls.methods for x in m.attrs.get("Exceptions", ())}
     marked = [cls.attrs, *(m.attrs for m in [*cls.fields, *cls.methods])]
     used |= {a["type"][1:-1] for attrs in marked for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])}
     for m in cls.methods:
         if body := m.attrs.get("Code"):
+            used |= {h["catch_type"] for h in body["handlers"]}
             try:
                 used |= {i.ref[0] for i in decode(body["code"], cls.pool) if i.ref and i.ref[0] and i.op.layout != "atype" and not i.ref[0].startswith("[")}
             except FormatError:
                 pass
-    return sorted({x.replace("/", ".").replace("$", ".") for x in used if x and "/" in x and x.rpartition("/")[0] not in ("java/lang", package) and x != cls.name})
+    return {x for x in used if x} - {cls.name}
 
 
-def class_source(cls: ClassFile, style: Style = Style()) -> str:
-    package, _, name = cls.name.rpartition("/")
-    out = [f"package {package.replace('/', '.')};", ""] if package else []
-    if named := imports(cls):
-        out += [*(f"import {n};" for n in named), ""]
-    kind = "@interface" if cls.access & 0x2000 else "interface" if cls.access & 0x200 else "enum" if cls.access & 0x4000 else "class"
+def resolve_imports(classes: list[ClassFile]) -> tuple[list[str], set[str]]:
+    """(imports, names that print with their package) of the classes of one file.
+
+    Of classes with one simple name one can go without a package: the file's own first, then its package's, then
+    java.lang's, then the first in order.
+    """
+    package, own = classes[0].name.rpartition("/")[0], {c.name for c in classes}
+    holders: dict[str, list[tuple]] = {}
+    for name in set().union(own, *(named_classes(c) for c in classes)):
+        home, dotted = name.rpartition("/")[0], name.replace("/", ".").replace("$", ".")
+        rank = 0 if name in own else 1 if home == package else 2 if home == "java/lang" else 3
+        holders.setdefault(dotted.rpartition(".")[2], []).append((rank, dotted, "/" in name))
+    first = {simple: min(names) for simple, names in holders.items()}
+    taken = {dotted for rank, dotted, placed in first.values() if rank == 3 and placed}
+    other = {n[1] for simple, names in holders.items() for n in names if n != first[simple] and n[0] > 0}
+    return sorted(taken), other
+
+
+def every_name(classes: list[ClassFile]) -> set[str]:
+    """The whole names of all classes of other packages that the classes of one file name."""
+    return {x.replace("/", ".").replace("$", ".") for x in set().union(*(named_classes(c) for c in classes)) if "/" in x} - {c.name.replace("/", ".").replace("$", ".") for c in classes}
+
+
+def imports(cls: ClassFile) -> list[str]:
+    """Classes that members and code name from other packages, but java.lang."""
+    return resolve_imports([cls])[0]
+
+
+def class_lines(cls: ClassFile, style: Style, nested: dict, aliases: dict[str, str], notes: dict[str, list[str]]) -> list[str]:
+    """Lines of a class and of the classes nested in it, without package and imports."""
+    name = aliases.get(f"c {cls.name}") or (cls.name.rpartition("/")[2].replace("$", ".") if cls.name not in nested.get(None, ()) else cls.name.rpartition("$")[2])
+    kind = "@interface" if cls.access & 0x2000 else "interface" if cls.access & 0x200 else "enum" if cls.access & 0x4000 else "record" if cls.attrs.get("Record") else "class"
     flags = cls.access & ~0x400 if cls.access & 0x200 else cls.access
-    head = f"{modifiers(flags & ~0x20, 'c')}{kind} {name.replace('$', '.')}"
-    generic = signature.parse(cls.attrs["Signature"]) if cls.attrs.get("Signature") else None
-    above = None if cls.super_name in (None, "java/lang/Object") else short(cls.super_name)
+    head = f"{flagged(flags & ~0x20, 'c')}{kind} {name}"
+    generic = signature.parse(cls.attrs["Signature"], resolved) if cls.attrs.get("Signature") else None
+    above = None if cls.super_name in (None, "java/lang/Object", "java/lang/Record" if kind == "record" else None) else short(cls.super_name)
     faces = [short(i) for i in cls.interfaces]
     if generic:
         head += f"<{', '.join(generic.type_params)}>" if generic.type_params else ""
         above, faces = generic.extends, generic.implements
+    if kind == "record":
+        head += f"({', '.join(f'{plain(type_name(x['type']))} {x['name']}' for x in cls.attrs['Record'])})"
     if kind == "class" and above:
         head += f" extends {above}"
     if faces:
         head += (" extends " if kind == "interface" else " implements ") + ", ".join(faces)
-    out += [*annotations(cls.attrs), head + " {"]
+    out = [f"// {line}" for note in notes.get(cls.name, ()) for line in note.splitlines()] + [*annotations(cls.attrs), head + " {"]
+    empty = len(out)
     for f in cls.fields:
         out += ["\t" + a for a in annotations(f.attrs)]
         value = f.attrs.get("ConstantValue")
         t = type_name(f.descriptor)
-        t = (f.attrs.get("Signature") and signature.field_type(f.attrs["Signature"])) or t
-        out.append(f"\t{modifiers(f.access, 'f')}{plain(t)} {f.name}{' = ' + literal(*value, style).text if value else ''};")
-    for m in cls.methods:
-        out += ["", *("\t" + x for x in method_source(cls, m, style))] if out[-1] != head + " {" else ["\t" + x for x in method_source(cls, m, style)]
-    return "\n".join([*out, "}"]) + "\n"
+        t = (f.attrs.get("Signature") and signature.field_type(f.attrs["Signature"], resolved)) or t
+        alias = aliases.get(f"f {cls.name}#{f.name}:{f.descriptor}") or f.name
+        out.append(f"\t{flagged(f.access, 'f')}{plain(t)} {alias}{' = ' + literal(*value, style).text if value else ''};")
+    parts = [method_source(cls, m, style, aliases) for m in cls.methods] + [class_lines(c, style, nested, aliases, notes) for c in nested.get(cls.name, ())]
+    for lines in parts:
+        out += ([""] if len(out) > empty else []) + ["\t" + x for x in lines]
+    return [*out, "}"]
+
+
+def class_source(cls: ClassFile, style: Style = Style(), nested: list[ClassFile] = (), aliases: dict[str, str] | None = None, notes: dict[str, list[str]] | None = None) -> str:
+    """The source file of a class with the classes nested in it, each inside the class whose name stands before its last `$`.
+
+    Declarations take the aliases of their nodes (`c a/B`, `f a/B#x:I`, `m a/B#m()V`); notes stand above their class.
+    """
+    inside: dict = {}
+    for c in sorted(nested, key=lambda c: c.name):
+        inside.setdefault(c.name.rpartition("$")[0], []).append(c)
+    inside[None] = {c.name for c in nested}
+    package = cls.name.rpartition("/")[0]
+    out = [f"package {package.replace('/', '.')};", ""] if package else []
+    wanted, qualified = resolve_imports([cls, *nested]) if style.use_imports else ([], every_name([cls, *nested]))
+    _qualified.clear()
+    _qualified.update(qualified)
+    try:
+        if wanted:
+            out += [*(f"import {n};" for n in wanted), ""]
+        out += class_lines(cls, style, inside, aliases or {}, notes or {})
+    finally:
+        _qualified.clear()
+    return "\n".join(out) + "\n"

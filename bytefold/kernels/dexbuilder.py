@@ -16,10 +16,13 @@ def uleb(n: int) -> bytes:
             return bytes(out)
 
 
-def build(name: str, methods: dict[str, list[int]], fields: tuple[str, ...] = (), source: str | None = None) -> bytes:
-    """`methods` of ()V by name with their 16-bit code units; `fields` are static ints."""
-    names = sorted({name, "Ljava/lang/Object;", "V", "I", *methods, *fields, *([source] if source else [])})
-    types = sorted({name, "Ljava/lang/Object;", "V", "I"}, key=names.index)
+def build(name: str, methods: dict[str, list[int]], fields: tuple[str, ...] = (), source: str | None = None, tries: dict[str, list[tuple]] | None = None) -> bytes:
+    """`methods` of ()V by name with their 16-bit code units; `fields` are static ints; `tries` of a method are (start, count,
+    [(type, handler), ...], handler of all others or None)."""
+    tries = tries or {}
+    caught = {t for rows in tries.values() for row in rows for t, _ in row[2]}
+    names = sorted({name, "Ljava/lang/Object;", "V", "I", *caught, *methods, *fields, *([source] if source else [])})
+    types = sorted({name, "Ljava/lang/Object;", "V", "I", *caught}, key=names.index)
     at = 0x70
     places = {}
     for part, count, size in (("string", len(names), 4), ("type", len(types), 4), ("proto", 1, 12), ("field", len(fields), 8), ("method", len(methods), 8), ("class", 1, 32)):
@@ -34,7 +37,13 @@ def build(name: str, methods: dict[str, list[int]], fields: tuple[str, ...] = ()
 
     for m in sorted(methods):
         units = methods[m]
-        codes.append(place(struct.pack("<HHHHII", 8, 0, 0, 0, 0, len(units)) + b"".join(struct.pack("<H", u) for u in units), 4))
+        rows, handlers, items = tries.get(m, ()), bytearray(uleb(len(tries.get(m, ())))), b""
+        for start, count, typed, others in rows:
+            items += struct.pack("<IHH", start, count, len(handlers))
+            handlers += bytes([(len(typed) if others is None else -len(typed)) & 0x7F])  # signed, of one byte
+            handlers += b"".join(uleb(types.index(t)) + uleb(h) for t, h in typed) + (b"" if others is None else uleb(others))
+        code = struct.pack("<HHHHII", 8, 0, 0, len(rows), 0, len(units)) + b"".join(struct.pack("<H", u) for u in units)
+        codes.append(place(code + (b"\0\0" * (len(units) % 2) + items + bytes(handlers) if rows else b""), 4))
     body = uleb(len(fields)) + uleb(0) + uleb(len(methods)) + uleb(0)
     body += b"".join(uleb(0 if k == 0 else 1) + uleb(0x9) for k in range(len(fields)))
     body += b"".join(uleb(0 if k == 0 else 1) + uleb(0x9) + uleb(c) for k, c in enumerate(codes))

@@ -191,6 +191,33 @@ class DexFile:
             i += units
         return out
 
+    def tries(self, at: int) -> list[dict]:
+        """Rows start, end, handler, type (null for all) of a code item's try items, in code units; a range's typed handlers
+        first, in their order."""
+        c = Cursor(self.data, at, little=True)
+        c.take(6)
+        count = c.u2()
+        c.take(4)
+        size = c.u4()
+        c.take(2 * size + (2 if size % 2 and count else 0))
+        items = [(c.u4(), c.u2(), c.u2()) for _ in range(count)]
+        handlers, out = c.at, []
+        for start, length, off in items:
+            h = Cursor(self.data, handlers + off, little=True)
+            many = h.sleb128()
+            for _ in range(abs(many)):
+                kind = self._name(self.types, h.uleb128(), "type")
+                out.append({"start": start, "end": start + length, "handler": h.uleb128(), "type": kind})
+            if many <= 0:
+                out.append({"start": start, "end": start + length, "handler": h.uleb128(), "type": None})
+        return out
+
+    def id_rows(self) -> list[tuple]:
+        """(kind, index, owner, name, descriptor) of all ids; strings and types have a name alone, protos a descriptor."""
+        out = [("string", i, None, x, None) for i, x in enumerate(self.strings)] + [("type", i, None, x, None) for i, x in enumerate(self.types)]
+        out += [("proto", i, None, None, x) for i, x in enumerate(self.protos)]
+        return out + [(kind, i, *x) for kind, rows in (("field", self.fields), ("method", self.methods)) for i, x in enumerate(rows)]
+
     def _operands(self, form: str, index: str | None, u: list[int], at: int) -> str:
         a8, a4, b4 = u[0] >> 8, u[0] >> 8 & 0xF, u[0] >> 12
         signed = lambda x, bits: x - (1 << bits) if x >> (bits - 1) else x
@@ -252,20 +279,22 @@ def access(flags: int, kind: str) -> str:
     return "".join(f"{word} " for bit, word, kinds in ACCESS if flags & bit and kind in kinds)
 
 
+def method_listing(dex: DexFile, m: DexMember) -> list[str]:
+    out = [f".method {access(m.access, 'm')}{m.name}{m.descriptor}"]
+    if m.code_off:
+        try:
+            out += [f"    {r['off']:04x}: {r['name']} {r['text']}".rstrip() for r in dex.code(m.code_off)]
+            out += [f"    .catch {t['type'] or 'all'} {t['start']:04x}..{t['end']:04x} -> {t['handler']:04x}" for t in dex.tries(m.code_off)]
+        except FormatError as e:
+            out.append(f"    # {e}")
+    return [*out, ".end method"]
+
+
 def listing(dex: DexFile, c: DexClass) -> str:
     out = [f".class {access(c.access, 'c')}{c.name}"]
     out += [f".super {c.super_name}"] if c.super_name else []
     out += [f".source \"{c.source}\""] if c.source else []
     out += [f".implements {i}" for i in c.interfaces]
     for m in c.members:
-        if m.kind.endswith("field"):
-            out.append(f".field {access(m.access, 'f')}{m.name}:{m.descriptor}")
-        else:
-            out.append(f".method {access(m.access, 'm')}{m.name}{m.descriptor}")
-            if m.code_off:
-                try:
-                    out += [f"    {r['off']:04x}: {r['name']} {r['text']}".rstrip() for r in dex.code(m.code_off)]
-                except FormatError as e:
-                    out.append(f"    # {e}")
-            out.append(".end method")
+        out += [f".field {access(m.access, 'f')}{m.name}:{m.descriptor}"] if m.kind.endswith("field") else method_listing(dex, m)
     return "\n".join(out)

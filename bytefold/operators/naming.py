@@ -46,6 +46,42 @@ def attach_comments(nodes: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def uniquify(names: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """`unique`: the k-th of equal names of a group becomes name$k, the first keeps its name."""
+    """`unique`: the k-th of equal names of a group becomes name$k, the first keeps its name; a number whose name another
+    row has already is passed over. Names of a group that stand under one stem fit a row."""
     k = F.row_number().over(Window.partitionBy(group, "name").orderBy(*order)) - 1
-    return names.withColumn("unique", F.when(k > 0, F.concat("name", F.lit("$"), k.cast("string"))).otherwise(F.col("name")))
+    stem = F.regexp_extract("name", r"^(.*?)(\$\d+)*$", 1)  # names that can meet share it
+    counted = names.withColumn("__k", k).withColumn("__stem", stem)
+    taken = F.collect_set("name").over(Window.partitionBy(group, "__stem"))
+    # the k-th free number: of 1 to k + (names taken), those whose name is free, the k-th
+    free = F.filter(F.sequence(F.lit(1), F.col("__k") + F.size("__taken")), lambda n: ~F.array_contains("__taken", F.concat("name", F.lit("$"), n.cast("string"))))
+    made = F.concat("name", F.lit("$"), F.get(free, F.col("__k").cast("int") - 1).cast("string"))
+    return counted.withColumn("__taken", taken).withColumn("unique", F.when(F.col("__k") > 0, made).otherwise(F.col("name"))).drop("__k", "__stem", "__taken")
+
+
+def merge_renames(loaded: DataFrame, present: DataFrame) -> DataFrame:
+    """kind, node, alias, ord of two maps: loaded ones come first, and of a node the first stays."""
+    both = loaded.withColumn("__part", F.lit(0)).unionByName(present.withColumn("__part", F.lit(1)), allowMissingColumns=True)
+    line = Window.partitionBy("kind", "node").orderBy("__part", "ord", "alias")
+    return both.withColumn("__n", F.row_number().over(line)).filter("__n = 1").drop("__n", "__part")
+
+
+def outermost(classes: DataFrame) -> DataFrame:
+    """name, top of `classes` (name): the class in whose file each is printed, which is as far out as the names before its
+    `$` are classes without a gap."""
+    names = classes.select("name").distinct()
+    parts = F.size(F.split("name", r"\$"))
+    each = names.select("name", F.explode(F.sequence(F.lit(1), parts)).alias("n")).withColumn("prefix", F.expr("substring_index(name, '$', n)"))
+    there = each.join(names.select(F.col("name").alias("prefix")), "prefix", "left_semi").groupBy("name").agg(F.collect_set("n").alias("have"))
+    begin = F.array_max(F.filter("have", lambda n: ~F.array_contains("have", n - 1)))
+    return there.withColumn("n", begin).select("name", F.expr("substring_index(name, '$', n)").alias("top"))
+
+
+def subpackages(packages: DataFrame) -> DataFrame:
+    """parent, child: the distinct first segments below the first of `package`, by dots or slashes, in order."""
+    parts = F.split(F.translate("package", "/", "."), r"\.")
+    return packages.filter(F.size(parts) > 1).select(parts[0].alias("parent"), parts[1].alias("child")).distinct().orderBy("parent", "child")
+
+
+def kth(rows: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
+    """The row at place `k` (from 0) of each group, by `order`; a group with fewer has none."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).filter(F.col("__n") == k).drop("__n")

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names. A local session without one (tests) gets a
+    temporary one; a cluster without one is an error, since its executors share no temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "bytefold-checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "bytefold-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import archive, classfile, insn
 from ..kernels.binary import FormatError
+from ..kernels.decompile import Style, class_source, imports, method_source
 
 HANDLER = "struct<ord:int,start_pc:int,end_pc:int,handler_pc:int,catch_type:string>"
 INSN = "struct<off:int,opcode:int,mnemonic:string,sem:string,len:int,wide:boolean,local:int,value:string,ref_class:string,ref_name:string,ref_desc:string,targets:array<int>>"
@@ -22,7 +23,7 @@ CONST = "struct<idx:int,tag:int,text:string,ref1:int,ref2:int>"
 CLASS = f"unit_id long, name string, major int, minor int, access int, super string, interfaces array<string>, signature string, source_file string, fields array<{FIELD}>, methods array<{METHOD}>, const_pool array<{CONST}>, error string"
 
 
-def _schema(spark_ddl: str) -> pa.Schema:
+def arrow_schema(spark_ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -66,7 +67,7 @@ def class_row(unit_id: int, data: bytes) -> dict:
 def parse_classes(units: DataFrame) -> DataFrame:
     """A row per class unit, its members nested; `error` says why one did not parse."""
 
-    schema = _schema(CLASS)
+    schema = arrow_schema(CLASS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +132,7 @@ def explode_archives(units: DataFrame, limit: int = archive.LIMIT) -> DataFrame:
     stay. Of entries with one name all read as the first.
     """
     ddl = "unit_id long, origin string, name string, kind string, data binary, entry_ord int, error string"
-    schema = _schema(ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,35 +155,90 @@ def explode_archives(units: DataFrame, limit: int = archive.LIMIT) -> DataFrame:
     return units.filter("kind = 'archive'").select("unit_id", "origin", "data").mapInArrow(run, ddl)
 
 
-def sources(units: DataFrame, escape_unicode: bool = True, hexadecimal: bool = False) -> DataFrame:
-    """unit_id, class_name, package, file_name, text, error: the decompiled source of every class unit."""
-    ddl = "unit_id long, class_name string, package string, file_name string, text string, error string"
-    schema = _schema(ddl)
+def method_sources(units: DataFrame, style: Style = Style()) -> DataFrame:
+    """unit_id, method_idx, name, descriptor, text: the source of each method by itself."""
+    ddl = "unit_id long, method_idx int, name string, descriptor string, text string"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..kernels.decompile import Style, class_source
-
-        style = Style(escape_unicode, hexadecimal)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for unit, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    try:
-                        c = classfile.parse(data or b"")
-                        outer = c.name.partition("$")[0]
-                        rows.append({"unit_id": unit, "class_name": c.name, "package": c.name.rpartition("/")[0], "file_name": f"{outer}.java", "text": class_source(c, style)})
-                    except FormatError as e:
-                        rows.append({"unit_id": unit, "error": str(e)})
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    c = classfile.parse(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                rows = [{"unit_id": unit, "method_idx": k, "name": m.name, "descriptor": m.descriptor, "text": "\n".join(method_source(c, m, style))} for k, m in enumerate(c.methods)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
 
 
+def class_texts(units: DataFrame) -> DataFrame:
+    """unit_id, file_name, imports, listing (its methods' listings, one below the other) of every class that parses."""
+    ddl = "unit_id long, file_name string, imports array<string>, listing string"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    c = classfile.parse(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                parts = [f"{m.name}{m.descriptor}\n{insn.listing(m.attrs['Code'], c.pool)}" for m in c.methods if "Code" in m.attrs]
+                rows.append({"unit_id": unit, "file_name": f"{c.name.partition('$')[0]}.java", "imports": imports(c), "listing": "\n\n".join(parts)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
+
+
+FILE = "unit_id long, class_name string, package string, file_name string, text string, error string"
+
+
+def sources(units: DataFrame, style: Style = Style()) -> DataFrame:
+    """unit_id, class_name, package, file_name, text, error: the decompiled source of every class unit, each by itself."""
+    one = units.filter("kind = 'class'").select("unit_id", F.array(F.col("data")).alias("files"))
+    no = F.create_map().cast("map<string,string>")
+    return file_sources(one.select("unit_id", "files", no.alias("aliases"), F.create_map().cast("map<string,array<string>>").alias("notes")), style)
+
+
+def file_sources(files: DataFrame, style: Style = Style()) -> DataFrame:
+    """sources() of rows (unit_id, files: the class files of one source file, its outermost first; aliases: `kind node` ->
+    name; notes: class -> comments above it). A nested class that does not parse is left out."""
+    schema = arrow_schema(FILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for unit, files, aliases, notes in zip(*(batch.column(c) for c in range(4))):
+                try:
+                    files = files.as_py()
+                    parsed = [classfile.parse(files[0] or b"")]
+                    for data in files[1:]:
+                        try:
+                            parsed.append(classfile.parse(data or b""))
+                        except FormatError:
+                            continue
+                    c, given = parsed[0], dict(aliases.as_py() or ())
+                    package, _, name = c.name.rpartition("/")
+                    name = given.get(f"c {c.name}") or name.partition("$")[0]
+                    rows.append({"unit_id": unit.as_py(), "class_name": c.name, "package": package, "file_name": f"{package}/{name}.java".lstrip("/"), "text": class_source(c, style, parsed[1:], given, dict(notes.as_py() or ()))})
+                except FormatError as e:
+                    rows.append({"unit_id": unit.as_py(), "error": str(e)})
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("unit_id", "files", "aliases", "notes").mapInArrow(run, FILE)
+
+
 def parse_dex(units: DataFrame) -> DataFrame:
     """A row per class of every dex unit: unit_id, name, access, super, source, interfaces, members, listing, error."""
     member = "struct<kind:string,index:int,access:int,name:string,descriptor:string>"
     ddl = f"unit_id long, name string, access int, super string, source string, interfaces array<string>, members array<{member}>, listing string, error string"
-    schema = _schema(ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..kernels import dexfile
@@ -202,9 +258,97 @@ def parse_dex(units: DataFrame) -> DataFrame:
     return units.filter("kind = 'dex'").select("unit_id", "data").mapInArrow(run, ddl)
 
 
-def save_sources(found: DataFrame, path: str) -> None:
-    """Write sources as text under package folders; the writer spreads over tasks, one file per task and package."""
-    found.filter("error is null").select("package", "text").write.mode("overwrite").partitionBy("package").text(path)
+def _of_dex(units: DataFrame, ddl: str, rows_of) -> DataFrame:
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..kernels import dexfile
+
+        for batch in batches:
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    dex = dexfile.DexFile(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                rows = [{"unit_id": unit, **r} for r in rows_of(dex)]
+                for at in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 4096], schema)
+
+    return units.filter("kind = 'dex'").select("unit_id", "data").mapInArrow(run, ddl)
+
+
+def dex_ids(units: DataFrame) -> DataFrame:
+    """unit_id, kind (string, type, proto, field, method), idx, owner, name, descriptor of the id tables of dex units."""
+    names = ("kind", "idx", "owner", "name", "descriptor")
+    return _of_dex(units, "unit_id long, kind string, idx int, owner string, name string, descriptor string", lambda dex: [dict(zip(names, r)) for r in dex.id_rows()])
+
+
+def _dex_code(rows_of):
+    def each(dex) -> list[dict]:
+        out = []
+        for c in dex.classes:
+            for m in c.members:
+                if m.code_off:
+                    try:
+                        found = rows_of(dex, m.code_off)
+                    except FormatError:
+                        continue  # its listing says why
+                    out += [{"class_name": c.name, "method": f"{m.name}{m.descriptor}", **r} for r in found]
+        return out
+
+    return each
+
+
+def dex_insns(units: DataFrame) -> DataFrame:
+    """unit_id, class_name, method, off (16-bit units), opcode, name, text of every instruction of dex units."""
+    return _of_dex(units, "unit_id long, class_name string, method string, off int, opcode int, name string, text string", _dex_code(lambda dex, at: dex.code(at)))
+
+
+def dex_tries(units: DataFrame) -> DataFrame:
+    """unit_id, class_name, method, start, end, handler, type of the try items of dex units."""
+    return _of_dex(units, "unit_id long, class_name string, method string, start int, end int, handler int, type string", _dex_code(lambda dex, at: dex.tries(at)))
+
+
+def dex_methods(units: DataFrame) -> DataFrame:
+    """unit_id, class_name, ord, method, listing: each method of a dex class by itself, in declaration order."""
+
+    def each(dex) -> list[dict]:
+        from ..kernels.dexfile import method_listing
+
+        return [{"class_name": c.name, "ord": k, "method": f"{m.name}{m.descriptor}", "listing": "\n".join(method_listing(dex, m))} for c in dex.classes for k, m in enumerate([m for m in c.members if m.kind.endswith("method")])]
+
+    return _of_dex(units, "unit_id long, class_name string, ord int, method string, listing string", each)
+
+
+def save_sources(found: DataFrame, path: str) -> DataFrame:
+    """Write each source to `<path>/<its file name>`, over what is there; the paths written, by class.
+
+    Tasks write their own rows through the file system that `path` names, each file under a name of its own first, so that
+    a task that is run again does no harm. `path` must be one that all executors see.
+    """
+    ddl = "class_name string, path string"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+        for batch in batches:
+            rows = []
+            for name, file_name, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                goal = f"{root}/{file_name}"
+                store.create_dir(goal.rpartition("/")[0], recursive=True)
+                own = f"{goal}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(text.encode("utf-8", "replace"))
+                store.move(own, goal)
+                rows.append({"class_name": name, "path": goal})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return found.filter("error is null").select("class_name", "file_name", "text").mapInArrow(run, ddl)
 
 
 # Constant kinds by tag, and how their references are written.

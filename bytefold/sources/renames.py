@@ -9,8 +9,12 @@ from ..functions import names as N
 
 
 def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(renames: kind, node, slot, alias, ord; comments: kind, node, line, text, ord). Blank lines, # lines and lines that are neither are passed over."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("ord"))
+    """(renames: kind, node, slot, alias, ord; comments: kind, node, line, text, ord). Blank lines, # lines and lines that are neither are passed over.
+
+    A map is one text file, read whole, so `ord` is its line number (a folder's files each begin at 0).
+    """
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line")).select(F.trim("line").alias("line"), F.col("ord").cast("long"))
     lines = lines.filter("line <> '' and not startswith(line, '#')")
     comments = lines.filter("startswith(line, '@')").select(N.parse_comment(F.col("line")).alias("c"), "ord").filter("c is not null")
     renames = lines.filter("not startswith(line, '@')").select(N.parse_rename(F.col("line")).alias("r"), "ord").filter("r is not null")

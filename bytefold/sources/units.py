@@ -32,17 +32,48 @@ def kind_of(path: Column, data: Column) -> Column:
     return F.coalesce(kind_of_path(path), kind_of_bytes(data))
 
 
-def read_units(spark, paths: list[str], recursive: bool = True):
-    """unit_id, origin, name, kind, data of files: `.class` files of directories, and files named outright.
+def is_folder(spark, path: str) -> bool:
+    """Whether a path is a folder; one that is not there is an error. Asked of the file system that the path names."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(jvm)
+    if not found:
+        raise FileNotFoundError(path)
+    return all(x.isDirectory() for x in found)
+
+
+def _files(spark, paths: list[str]):
+    """The files that `paths` name: of folders those named *.class, at any depth; files as they are."""
+    folders, named = [], []
+    for path in paths:
+        (folders if is_folder(spark, path) else named).append(path)
+    parts = []
+    if folders:
+        parts.append(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.class").load(folders).withColumn("in_folder", F.lit(True)))
+    if named:
+        parts.append(spark.read.format("binaryFile").load(named).withColumn("in_folder", F.lit(False)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def list_files(spark, paths: list[str]):
+    """origin, size of the files that `paths` name, by path; nothing is read."""
+    return _files(spark, paths).select(F.col("path").alias("origin"), F.col("length").alias("size")).orderBy("origin")
+
+
+def read_units(spark, paths: list[str]):
+    """unit_id, origin, name, kind, data of files: `.class` files of folders, at any depth, and files named outright.
 
-    Rows come by path; an input without any unit is an error of the caller's, so it raises.
+    Files in folders are classes whatever they hold; of others the extension tells, then the first bytes. A path that is
+    not there, and folders without any class file, are errors. Rows come in no order: list_files() has them by path.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-    named = rows.select(F.col("path").alias("origin"), F.substring_index("path", "/", -1).alias("name"), kind_of(F.col("path"), F.col("content")).alias("kind"), F.col("content").alias("data"))
-    units = named.withColumn("unit_id", F.xxhash64("origin"))
-    if units.filter("kind <> 'resource'").isEmpty():
+    rows = _files(spark, paths)
+    if rows.select("path").isEmpty():
         raise ValueError("no input files")
-    return units.select("unit_id", "origin", "name", "kind", "data")
+    kind = F.when(F.col("in_folder"), F.lit("class")).otherwise(kind_of(F.col("path"), F.col("content")))
+    return rows.select(F.xxhash64("path").alias("unit_id"), F.col("path").alias("origin"), F.substring_index("path", "/", -1).alias("name"), kind.alias("kind"), F.col("content").alias("data"))
 
 
 def blob_units(spark, blobs: dict[str, bytes]):

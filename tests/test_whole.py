@@ -1,4 +1,4 @@
-"""Queries over whole tables and whole texts, against brute force on small fixtures that reach beyond the cuts of their namesakes."""
+"""Queries over whole tables and whole texts, against brute force on small fixtures."""
 
 import pytest
 
@@ -28,7 +28,7 @@ def test_graph_queries_take_every_supplier(spark, folder):
         while (root, node) not in reach:
             reach.add((root, node))
             node = edges.get(node, node)
-    assert sorted(found(spark, "reachability_whole", sf_dir)) == sorted(reach)
+    assert sorted(found(spark, "reachability", sf_dir)) == sorted(reach)
     body = set()
     for latch, header in edges.items():
         if header <= latch:
@@ -39,28 +39,28 @@ def test_graph_queries_take_every_supplier(spark, folder):
                 if (header, node) not in body:
                     body.add((header, node))
                     ahead += [s for s, d in edges.items() if d == node]
-    assert sorted(found(spark, "loop_body_whole", sf_dir)) == sorted(body)
+    assert sorted(found(spark, "loop_body", sf_dir)) == sorted(body)
     assert max(h for h, _ in reach) == 1003 and max(n for _, n in body) == 1003
 
 
-def test_literals_hold_whole_texts(spark, folder):
+def test_literals_hold_texts(spark, folder):
     text = "ab\"\\ é\n" * 300 + "\tend\u20ac"
     sf_dir = folder("conversations", [(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
     code = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t"}
     want = "".join(code.get(c, c if ord(c) < 127 else f"\\u{ord(c):04x}") for c in text + '\t"\\\né')
-    assert found(spark, "string_literal_escape_whole", sf_dir) == [(1, 0, f'"{want}"')]
+    assert found(spark, "string_literal_escape", sf_dir) == [(1, 0, f'"{want}"')]
 
 
-def test_comments_are_attached_whole(spark, folder):
+def test_comments_are_attached(spark, folder):
     rows = [(1, 0, "system", "rules"), (1, 1, "user", "x" * 50), (1, 2, "assistant", "a comment of more than twenty characters"), (2, 0, "system", "alone")]
     sf_dir = folder("conversations", rows, "conv_id long, turn long, role string, text string")
-    assert sorted(found(spark, "comment_attach_whole", sf_dir)) == [(1, f"{'x' * 50}|a comment of more than twenty characters", 2), (2, "", 0)]
+    assert sorted(found(spark, "comment_attach", sf_dir)) == [(1, f"{'x' * 50}|a comment of more than twenty characters", 2), (2, "", 0)]
 
 
 def test_listings_and_sources_hold_every_method(spark, folder):
     sf_dir = folder("part", [(1, "odd part", 9), (2, "even part", 10)], "p_partkey long, p_name string, p_size long")
-    listings = {(u, n): t for u, _, n, t in found(spark, "disasm_text_whole", sf_dir)}
-    assert set(listings) == {(u, n) for u in (1, 2) for n in ("grow", "abs")}
-    assert listings[1, "abs"].endswith("catch java/lang/Exception 0..4 -> 8") and "ifge 8" in listings[2, "abs"]
-    for unit, _, text in found(spark, "decompile_source_whole", sf_dir):
-        assert "int abs(int arg0)" in text and ("catch (Exception caught)" in text) == (unit == 1) and text.endswith("\n}\n")
+    listings = {(u, n): t for u, _, n, t in found(spark, "disasm_text", sf_dir)}
+    assert set(listings) == {(u, n) for u in (1, 2) for n in ("grow", "clip", "same")}
+    assert listings[1, "clip"].endswith("catch java/lang/Exception 0..9 -> 11") and "if_icmple" in listings[2, "clip"]
+    for unit, _, text in found(spark, "decompile_source", sf_dir):
+        assert "int clip(int arg0)" in text and ("catch (Exception caught)" in text) == (unit == 1) and text.endswith("\n}\n")
