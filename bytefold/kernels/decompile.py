@@ -183,14 +183,13 @@ class Evaluator:
         self.types: dict[int, str] = {}
         if not self.static:
             self.names[0], slot = "this", 1
-        self.params = []
         for n, d in enumerate(arguments(method.descriptor)):
-            name = self.names.setdefault(slot, f"arg{n}")
-            self.params.append((type_name(d), name))
+            self.names.setdefault(slot, f"arg{n}")
             self.declared.add(slot)
             self.types[slot] = type_name(d)
             slot += 2 if d in "JD" else 1
         self._distinct()
+        self.params = [(self.types[at], self.names[at]) for at in sorted(self.types)]
 
     def _distinct(self) -> None:
         """The k-th of equal names gets the k-th free number."""
@@ -649,7 +648,7 @@ def inline_temps(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], i
             continue
         name, value = m.groups()
         word = re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])")
-        uses = [k for k, (_, t) in enumerate(lines) for _ in word.findall(t) if not re.fullmatch(rf"[\w.<>\[\]]+ {name};", t)]
+        uses = [k for k, (_, t) in enumerate(lines) for _ in word.findall(t) if not re.fullmatch(rf"(?!return |throw )[\w.<>\[\]]+ {name};", t)]
         if len(uses) != 2 or uses[0] != at - 1 or uses[1] <= at - 1:
             continue
         use, between = uses[1], lines[at : uses[1]]
@@ -662,7 +661,7 @@ def inline_temps(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], i
         put = value if whole or re.fullmatch(r"[\w$.]+|\"[^\"]*\"", value) else f"({value})"
         lines[use] = (depth, word.sub(lambda _: put, lines[use][1]))
         del lines[at - 1]
-        lines = [(d, t) for d, t in lines if not re.fullmatch(rf"[\w.<>\[\]]+ {name};", t)]
+        lines = [(d, t) for d, t in lines if not re.fullmatch(rf"(?!return |throw )[\w.<>\[\]]+ {name};", t)]
         gone, at = gone + 1, 0
     return lines, gone
 

@@ -10,20 +10,22 @@ import pytest
 from test_kernels import demo, zipped
 
 from bytefold import cli
-from bytefold.engine import Engine, resolve_pool
+from bytefold.engine import Engine, percent, resolve_pool
+from bytefold.functions import descriptors as D
 from bytefold.kernels import classfile, decompile, dexbuilder, signature
 from bytefold.kernels.builder import ClassBuilder
 from bytefold.plans import tables
 from bytefold.sources.renames import map_lines, read_map, write_map
+from bytefold.sources.units import list_files
 
 
 def jar():
     raw = io.BytesIO()
-    inner = ClassBuilder("com/example/Demo$Inner")
-    inner.field("a", "I")
+    inner = ClassBuilder("shop/Basket$Lid")
+    inner.field("k", "I")
     with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("com/example/Demo.class", demo().build())
-        z.writestr("com/example/Demo$Inner.class", inner.build())
+        z.writestr("shop/Basket.class", demo().build())
+        z.writestr("shop/Basket$Lid.class", inner.build())
         z.writestr("broken.class", b"not a class")
         z.writestr("readme.txt", "x")
     return raw.getvalue()
@@ -32,46 +34,103 @@ def jar():
 @pytest.fixture()
 def engine(spark):
     dex = dexbuilder.build("Lp/A;", {"run": [0x000E]})
-    return Engine(spark, rename_shorter_than=4).add_bytes("app.jar", jar()).add_bytes("a.dex", dex).add_bytes("cut.zip", zipped(a=b"x")[:-30])
+    return Engine(spark, rename_shorter_than=6).add_bytes("app.jar", jar()).add_bytes("a.dex", dex).add_bytes("cut.zip", zipped(a=b"x")[:-30]).add_bytes("bad.dex", dex[:80])
 
 
 def test_tables_of_an_engine(engine):
-    assert [(r["name"], r["outer"], r["package"]) for r in engine.classes.collect()] == [("com/example/Demo", None, "com.example"), ("com/example/Demo$Inner", "com/example/Demo", "com.example"), ("p/A", None, "p")]
-    assert {r["package"]: r["n"] for r in engine.packages.collect()} == {"com.example": 2, "p": 1}
+    assert [(r["name"], r["outer"], r["package"], r["dex"]) for r in engine.classes.collect()] == [("p/A", None, "p", True), ("shop/Basket", None, "shop", False), ("shop/Basket$Lid", "shop/Basket", "shop", False)]
+    assert {r["package"]: r["n"] for r in engine.packages.collect()} == {"shop": 2, "p": 1}
     stages = sorted((r["stage"], r["message"].split(":")[0]) for r in engine.errors.collect())
-    assert stages == [("archive", "cut.zip"), ("parse", "app.jar!broken.class")]
-    assert "com/example/Demo#add(II)I" in {r["id"] for r in engine.methods.collect()} and "com/example/Demo#LIMIT:I" in {r["id"] for r in engine.fields.collect()}
-    assert any("return arg0 + arg1;" in (r["text"] or "") for r in engine.sources.collect())
+    assert stages == [("archive", "cut.zip"), ("parse", "app.jar!broken.class"), ("parse", "bad.dex")]
+    assert "shop/Basket#least(II)I" in {r["id"] for r in engine.methods.collect()} and "shop/Basket#RATE:I" in {r["id"] for r in engine.fields.collect()}
+    one = engine.counts.first().asDict()
+    assert one == {"inputs": 4, "units": 5, "classes": 3, "packages": 2, "methods": 6, "fields": 2, "errors": 3, "renames": 7, "comments": 0}
+
+
+def test_lookups(engine):
+    assert [engine.find_class(n).first()["name"] for n in ("shop.Basket", "shop/Basket")] == ["shop/Basket"] * 2 and engine.find_class("shop.None").isEmpty()
+    assert engine.class_at(1).first()["name"] == "shop/Basket" and engine.class_at(9).isEmpty() and engine.class_at(-1).isEmpty()
+    assert (engine.member_index("shop.Basket", "drain"), engine.member_index("shop/Basket", "RATE", "f"), engine.member_index("shop/Basket", "none")) == (2, 0, -1)
+    details = {r["name"]: r for r in engine.class_details.collect()}
+    assert details["shop/Basket"]["imports"] == ["depot.Item"] and "drain(I)I" in details["shop/Basket"]["listing"] and not details["shop/Basket"]["is_record"]
+    assert engine.method_sources.filter("name = 'twice'").first()["text"].splitlines()[1] == "\treturn arg0 * 2;"
 
 
 def test_pool_lines_and_nodes(engine):
     lines = {r["line"] for r in engine.pool.collect()}
-    assert {"#1: Utf8 \"com/example/Demo\"", "#2: Class #1"} <= lines and any(x.endswith("Integer 10") for x in lines) and any(": Methodref #" in x for x in lines)
-    assert {("c", "com/example/Demo"), ("f", "com/example/Demo#LIMIT:I"), ("m", "com/example/Demo#abs(I)I")} <= {tuple(r) for r in engine.nodes.collect()}
+    assert {"#1: Utf8 \"shop/Basket\"", "#2: Class #1"} <= lines and any(x.endswith("Integer 7") for x in lines) and any(": Methodref #" in x for x in lines)
+    assert {("c", "shop/Basket"), ("f", "shop/Basket#RATE:I"), ("m", "shop/Basket#twice(I)I")} <= {tuple(r) for r in engine.nodes.collect()}
 
 
 def test_json_and_renames(engine):
-    one = next(x for x in (json.loads(r["json"]) for r in engine.to_json().collect()) if x["name"] == "com.example.Demo")
-    assert list(one) == ["name", "package", "origin", "fileName", "fields", "methods", "source"] and one["fields"] == ["LIMIT: int"] and "add(II)I" in one["methods"]
+    one = next(x for x in (json.loads(r["json"]) for r in engine.to_json().collect()) if x["name"] == "shop.Basket")
+    assert list(one) == ["name", "package", "origin", "fileName", "fields", "methods", "source"] and one["fields"] == ["RATE: int"] and "twice(I)I" in one["methods"]
     found = {r["node"]: r["alias"] for r in engine.renames().collect()}
-    assert found == {"com/example/Demo$Inner#a:I": "f0a", "com/example/Demo#add(II)I": "m0add", "com/example/Demo#abs(I)I": "m1abs"}
+    assert found == {"shop/Basket$Lid": "C0000Lid", "shop/Basket#RATE:I": "f0RATE", "shop/Basket$Lid#k:I": "f1k", "shop/Basket#twice(I)I": "m0twice", "shop/Basket#least(II)I": "m1least", "shop/Basket#drain(I)I": "m2drain", "shop/Basket#order()V": "m3order"}
+
+
+def test_sources_take_renames_comments_and_nested_classes(engine, spark, tmp_path):
+    (tmp_path / "map").write_text("# a map\nc shop/Basket = Bag\nf shop/Basket#RATE:I = PRICE\n@ c shop/Basket 0 from the map\n")
+    engine.add_rename("field", "shop/Basket#RATE:I", "second").add_rename("m", "shop/Basket#drain(I)I", "emptied").add_comment("shop/Basket", "added").load_map(str(tmp_path / "map"))
+    sources = {r["class_name"]: r for r in engine.sources.collect()}
+    text = sources["shop/Basket"]["text"]
+    assert set(sources) == {"shop/Basket", None} and sources["shop/Basket"]["file_name"] == "shop/Bag.java" and sources[None]["error"]
+    assert "// from the map\n// added\npublic class Bag {" in text and "int PRICE = 7;" in text and "int emptied(" in text and "int m0twice(" in text and "\tpublic class C0000Lid {\n\t\tpublic int f1k;" in text
+    quiet = Engine(spark, comment_level="none").add_bytes("app.jar", jar()).add_comment("shop/Basket", "added")
+    assert "// added" not in quiet.sources.filter("error is null").first()["text"]
+    assert engine.save_map(str(tmp_path / "out")) and "c shop/Basket = Bag" in next((tmp_path / "out").glob("part-*")).read_text()
+    assert quiet.reset().rename_map.isEmpty() and quiet.comments.isEmpty()
+
+
+def test_save_writes_files_by_package(engine, tmp_path):
+    told, logged = [], []
+    paths = engine.on_progress(lambda *x: told.append(x)).on_log(logged.append).save(str(tmp_path / "out")).collect()
+    assert [(r["class_name"], r["path"]) for r in paths] == [("shop/Basket", str(tmp_path / "out/shop/Basket.java"))] and told == [(1, 1, "shop.Basket")] and logged == ["1 files written"]
+    assert "class C0000Lid" in (tmp_path / "out/shop/Basket.java").read_text() and [p.name for p in (tmp_path / "out").rglob("*.*")] == ["Basket.java"]
+    assert [percent(k, 3) for k in range(4)] == [0, 33, 66, 100] and percent(0, 0) == 100
 
 
 def test_filter_and_strict_options(spark):
-    e = Engine(spark, class_filter=["com.example.*"]).add_bytes("app.jar", jar())
-    assert e.classes.count() == 2
+    e = Engine(spark, class_filter=["shop.*"]).add_bytes("app.jar", jar())
+    assert e.classes.count() == 2 and e.sources.filter("error is null").count() == 1
+    other = Engine(spark, class_filter=["shop.Basket"]).add_bytes("app.jar", jar()).add_bytes("a.dex", dexbuilder.build("Lp/A;", {"run": [0x000E]}))
+    assert [r["name"] for r in other.classes.collect()] == ["shop/Basket"] and "Lid" not in other.sources.filter("error is null").first()["text"]
     assert Engine(spark, class_filter=["other"]).add_bytes("app.jar", jar()).classes.count() == 0
-    with pytest.raises(KeyError):
-        Engine(spark, threads=3)
+    for wrong, error in (({"threads": 3}, KeyError), ({"integer_format": "octal"}, ValueError), ({"comment_level": "loud"}, ValueError)):
+        with pytest.raises(error):
+            Engine(spark, **wrong)
+    empty = Engine(spark)
+    with pytest.raises(ValueError):
+        empty.inputs
+    assert empty.last_error == "no input files"
+    with pytest.raises(FileNotFoundError):
+        Engine(spark).add_path("/nowhere/at/all.class").inputs
+
+
+def test_folders_give_class_files_alone(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/deep/B.class").write_bytes(demo().build())
+    (tmp_path / "in/A.class").write_bytes(ClassBuilder("p/A").build())
+    (tmp_path / "in/app.jar").write_bytes(jar())
+    (tmp_path / "one.jar").write_bytes(jar())
+    assert [r["origin"].rpartition("/")[2] for r in list_files(spark, [str(tmp_path / "in")]).collect()] == ["A.class", "B.class"]
+    assert {r["name"] for r in Engine(spark).add_path(str(tmp_path / "in")).classes.collect()} == {"p/A", "shop/Basket"}
+    assert Engine(spark).add_path(str(tmp_path / "in")).add_path(str(tmp_path / "one.jar")).classes.count() == 4
+    (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
-        Engine(spark).inputs
+        Engine(spark).add_path(str(tmp_path / "none")).inputs
 
 
 def test_constant_pool_by_joins(spark):
     units = spark.createDataFrame([(1, "class", demo().build())], "unit_id long, kind string, data binary")
     rows = resolve_pool(tables.const_pool(tables.parse_classes(units))).collect()
-    assert ("pkg/Other", "<init>", "(I)V") in {(r["owner"], r["member"], r["descriptor"]) for r in rows}
-    assert "com/example/Demo" in {r["text"] for r in rows if r["tag"] == 7}
+    assert ("depot/Item", "<init>", "(Ljava/lang/String;)V") in {(r["owner"], r["member"], r["descriptor"]) for r in rows}
+    assert "shop/Basket" in {r["text"] for r in rows if r["tag"] == 7}
+
+
+def test_option_words():
+    assert [D.integer_format(x) for x in ("HEX", "Decimal", "auto", "octal")] == ["hexadecimal", "decimal", "auto", None]
+    assert D.decompilation_mode("Simple") == "simple" and D.decompilation_mode("x") is None and [D.is_special_mode(m) for m in D.MODES] == [False, False, True, True]
 
 
 def test_rename_maps(spark, tmp_path):
@@ -111,8 +170,12 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "app.jar").write_bytes(jar())
     assert cli.main([str(tmp_path / "app.jar")]) == 0
     printed = capsys.readouterr()
-    assert "public class Demo {" in printed.out and "broken.class" in printed.err
+    assert "public class Basket {" in printed.out and "class Lid {" in printed.out and "broken.class" in printed.err
     assert cli.main([str(tmp_path / "app.jar"), "--disasm"]) == 0 and "iadd" in capsys.readouterr().out
+    (tmp_path / "map").write_text("c shop/Basket = Bag\n")
+    assert cli.main([str(tmp_path / "app.jar"), "--filter", "shop.*", "--renames", str(tmp_path / "map"), "--no-imports", "--no-debug-info", "--print-lines", "-v", "-o", str(tmp_path / "out")]) == 0
+    told, text = capsys.readouterr().err, (tmp_path / "out/shop/Bag.java").read_text()
+    assert "100 % shop.Basket" in told and "// line 21" in text and "new depot.Item(" in text and "stock" not in text
     (tmp_path / "bad.class").write_bytes(b"none")
     assert cli.main([str(tmp_path / "bad.class")]) == 1
     with pytest.raises(SystemExit):

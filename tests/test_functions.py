@@ -84,7 +84,20 @@ def test_flow_of_a_loop(spark):
     links = cfg.edges(found)
     assert sorted(map(tuple, links.select("src", "dst", "ord").collect())) == [(0, 1, 1), (1, 2, 1), (1, 3, 0), (2, 1, 0)]
     for wide in (False, True):
-        assert {r["node"] for r in cfg.reachable(links, wide).collect()} == {0, 1, 2, 3}
+        assert {r["node"] for r in cfg.reachable(found, links, wide=wide).collect()} == {0, 1, 2, 3}
+
+
+def test_flow_with_handlers(spark):
+    rows = code(spark, [(1, 0, 4, "fall", None), (1, 1, 4, "jump", None), (1, 2, 4, "fall", None), (1, 3, 4, "jump", None), (2, 0, 1, "jump", None)])
+    table = spark.createDataFrame([(1, 0, 1, 2, "E", 0), (1, 0, 1, 2, None, 1), (1, 0, 2, 9, "F", 2)], "unit long, start int, end int, pc int, type string, ord int")
+    found = cfg.blocks(rows, table)
+    assert sorted(map(tuple, found.filter("unit = 1").select("block_id", "start_off", "end_off").collect())) == [(0, 0, 1), (1, 1, 2), (2, 2, 4)]
+    entries = cfg.handler_blocks(found, table)
+    assert [tuple(r) for r in entries.collect()] == [(1, 2, "finally", ["E", "any"])]
+    links = cfg.edges(found)
+    for wide in (False, True):
+        assert {tuple(r) for r in cfg.reachable(found, links, entries, wide).collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
+        assert {tuple(r) for r in cfg.reachable(found, links, None, wide).collect()} == {(1, 0), (1, 1), (2, 0)}
 
 
 def test_closure_of_a_cycle(spark):

@@ -16,16 +16,16 @@ from bytefold.kernels.insn import assemble
 
 
 def demo():
-    b = ClassBuilder("com/example/Demo")
-    b.field("LIMIT", "I", 0x19, b.number("int", 10))
-    b.method("add", "(II)I", assemble(("iload_0",), ("iload_1",), ("iadd",), ("ireturn",)))
-    b.method("abs", "(I)I", assemble(("iload_0",), ("ifge", 7), ("iload_0",), ("ineg",), ("istore_0",), ("nop",), ("iload_0",), ("ireturn",)))
-    b.method("countdown", "(I)I", assemble(("iload_0",), ("ifeq", 9), ("iinc", 0, -1), ("goto", -7), ("iload_0",), ("ireturn",)))
-    up = b.member("java/lang/String", "toUpperCase", "()Ljava/lang/String;")
-    b.method("upper", "(Ljava/lang/String;)Ljava/lang/String;", assemble(("aload_0",), ("invokevirtual", up), ("areturn",)))
-    b.method("pick", "(II)I", assemble(("iload_0",), ("ifne", 7), ("iload_1",), ("goto", 4), ("iconst_0",), ("istore_2",), ("iload_2",), ("ireturn",)))
-    made, init = b.class_ref("pkg/Other"), b.member("pkg/Other", "<init>", "(I)V")
-    b.method("make", "()V", assemble(("new", made), ("dup",), ("iconst_1",), ("invokespecial", init), ("astore_0",), ("return",)))
+    b = ClassBuilder("shop/Basket")
+    b.field("RATE", "I", 0x19, b.number("int", 7))
+    b.method("twice", "(I)I", assemble(("iload_0",), ("iconst_2",), ("imul",), ("ireturn",)))
+    b.method("least", "(II)I", assemble(("iload_0",), ("iload_1",), ("if_icmpge", 5), ("iload_0",), ("ireturn",), ("iload_1",), ("ireturn",)))
+    b.method("drain", "(I)I", assemble(("iconst_0",), ("istore_1",), ("iload_0",), ("ifle", 13), ("iload_1",), ("iload_0",), ("iadd",), ("istore_1",), ("iinc", 0, -3), ("goto", -11), ("iload_1",), ("ireturn",)), lines=((0, 20), (6, 21), (16, 23)), variables=((0, 18, "stock", "I", 0), (2, 16, "sold", "I", 1)))
+    trim = b.member("java/lang/String", "trim", "()Ljava/lang/String;")
+    b.method("trimmed", "(Ljava/lang/String;)Ljava/lang/String;", assemble(("aload_0",), ("invokevirtual", trim), ("areturn",)))
+    b.method("either", "(II)I", assemble(("iload_0",), ("ifeq", 7), ("iload_1",), ("goto", 5), ("bipush", 9), ("istore_2",), ("iload_2",), ("ireturn",)))
+    made, init, text = b.class_ref("depot/Item"), b.member("depot/Item", "<init>", "(Ljava/lang/String;)V"), b.string("tea")
+    b.method("order", "()V", assemble(("new", made), ("dup",), ("ldc", text), ("invokespecial", init), ("astore_0",), ("return",)))
     return b
 
 
@@ -54,9 +54,9 @@ def test_modified_utf8_round_trip(text):
 
 
 def test_modified_utf8_cases():
-    assert modified_utf8(bytes.fromhex("41c08042")) == "A\0B"
-    assert modified_utf8(bytes.fromhex("eda0bdedb49e")) == "\U0001F51E"
-    assert modified_utf8(b"\xff") == "?" and modified_utf8(bytes.fromhex("eda0bd")) == "�"
+    assert modified_utf8(bytes.fromhex("78c08079")) == "x\0y" == modified_utf8(to_modified_utf8("x\0y"))
+    assert modified_utf8(bytes.fromhex("eda0bdedba80")) == "\U0001F680"
+    assert modified_utf8(b"\xf8") == "?" and modified_utf8(bytes.fromhex("edb080")) == "\ufffd"
 
 
 @given(st.lists(st.tuples(st.from_regex(r"[a-z]{1,8}", fullmatch=True), st.sampled_from(["I", "J", "[B", "Lx/Y;"]), st.integers(0, 65535)), max_size=6))
@@ -102,24 +102,77 @@ def test_switches_and_wide():
 def test_listing():
     c = classfile.parse(demo().build())
     body = c.methods[2].attrs["Code"]
-    assert insn.listing(body, c.pool).splitlines()[:4] == ["    0: iload_0", "    1: ifeq 10", "    4: iinc 0 -1", "    7: goto 0"]
+    lines = insn.listing(body, c.pool).splitlines()
+    assert lines[2:7] == ["    2: iload_0", "    3: ifle 16", "    6: iload_1", "    7: iload_0", "    8: iadd"] and "   10: iinc 0 -3" in lines and "   13: goto 2" in lines
     assert insn.listing({"code": b"\xca\x01", "handlers": [], "attrs": {}}, c.pool).splitlines()[1] == "    0: ca 01"
 
 
-def source(name):
-    text = decompile.class_source(classfile.parse(demo().build()))
+def source(name, style=decompile.Style()):
+    text = decompile.class_source(classfile.parse(demo().build()), style)
     at = text.index(f" {name}(")
     return text[at : text.index("\n\t}\n", at)].replace("\t", "")
 
 
 def test_decompiled_methods():
-    assert source("add") == " add(int arg0, int arg1) {\nreturn arg0 + arg1;"
-    assert source("abs") == " abs(int arg0) {\nif (arg0 < 0) {\narg0 = -arg0;\n}\nreturn arg0;"
-    assert source("countdown") == " countdown(int arg0) {\nwhile (arg0 != 0) {\narg0--;\n}\nreturn arg0;"
-    assert "return arg0.toUpperCase();" in source("upper")
-    assert source("pick").count("tmp1 = ") == 2 and "Other v0 = new Other(1);" in source("make")
+    assert source("twice") == " twice(int arg0) {\nreturn arg0 * 2;"
+    assert source("least") == " least(int arg0, int arg1) {\nif (arg0 < arg1) {\nreturn arg0;\n}\nreturn arg1;"
+    assert "while (stock > 0) {\nsold = sold + stock;\nstock -= 3;\n}\nreturn sold;" in source("drain")
+    assert "return arg0.trim();" in source("trimmed")
+    assert source("either").count("tmp1 = ") == 2 and 'Item v0 = new Item("tea");' in source("order")
     text = decompile.class_source(classfile.parse(demo().build()))
-    assert "import pkg.Other;" in text and "java.lang" not in text and "public static final int LIMIT = 10;" in text
+    assert "import depot.Item;" in text and "java.lang" not in text and "public static final int RATE = 7;" in text
+
+
+def test_styles_of_sources():
+    plain = source("drain", decompile.Style(debug_names=False))
+    assert "stock" not in plain and "while (arg0 > 0) {" in plain
+    lined = source("drain", decompile.Style(line_numbers=True))
+    assert "// line 20" in lined and "// line 21\nsold = sold + stock;" in lined
+    whole = decompile.class_source(classfile.parse(demo().build()), decompile.Style(use_imports=False))
+    assert "import" not in whole and 'depot.Item v0 = new depot.Item("tea");' in whole
+
+
+def test_names_and_comments_of_declarations():
+    c = classfile.parse(demo().build())
+    lid = ClassBuilder("shop/Basket$Lid", access=0x1021)
+    lid.field("k", "I")
+    lid.method("shut", "(I[J)V", assemble(("return",)), access=0x1041)
+    pin = ClassBuilder("shop/Basket$Lid$Pin")
+    inner = [classfile.parse(b.build()) for b in (pin, lid)]
+    aliases = {"c shop/Basket": "Bag", "f shop/Basket#RATE:I": "PRICE", "m shop/Basket#twice(I)I": "doubled", "c shop/Basket$Lid": "Top", "f shop/Basket$Lid#k:I": "key"}
+    text = decompile.class_source(c, nested=inner, aliases=aliases, notes={"shop/Basket": ["first", "second\nthird"], "shop/Basket$Lid": ["inside"]})
+    assert "// first\n// second\n// third\npublic class Bag {" in text and "int PRICE = 7;" in text and "int doubled(int arg0)" in text
+    assert "\t// inside\n\t/* synthetic */ public class Top {\n\t\tpublic int key;" in text and "\t\t/* bridge synthetic */ public void shut(int arg0, long[] arg1) {" in text
+    assert "\t\tpublic class Pin {\n\t\t}" in text and text.count("package shop;") == 1
+
+
+def test_simple_names_that_clash():
+    b = ClassBuilder("p/A")
+    for k, name in enumerate(("q/Date", "r/Date", "p/Own", "s/Own", "s/String", "s/A")):
+        b.field(f"f{k}", f"L{name};")
+    text = decompile.class_source(classfile.parse(b.build()))
+    assert text.count("import ") == 2 and "import q.Date;" in text and "import s.String;" in text
+    for line in ("public Date f0;", "public r.Date f1;", "public Own f2;", "public s.Own f3;", "public s.A f5;"):
+        assert line in text, text
+
+
+def test_locals_never_share_a_name():
+    b = ClassBuilder("p/A")
+    rows = tuple((0, 9, name, "I", slot) for slot, name in enumerate(("x", "x", "x$1", "x")))
+    b.method("m", "(IIII)V", assemble(("return",)), variables=rows)
+    text = decompile.class_source(classfile.parse(b.build()))
+    assert "m(int x, int x$2, int x$1, int x$3)" in text
+
+
+def test_inlined_temporaries():
+    def run(*texts):
+        lines, n = decompile.inline_temps([(0, t) for t in texts])
+        return [t for _, t in lines], n
+
+    assert run("int tmp1;", "tmp1 = a + b;", "return tmp1;") == (["return a + b;"], 1)
+    assert run("int tmp1;", "tmp1 = a + b;", "x = tmp1 * 2;") == (["x = (a + b) * 2;"], 1)
+    for kept in (("tmp1 = f(a);", "x = tmp1;"), ("tmp1 = a;", "a = 3;", "x = tmp1;"), ("tmp1 = a;", "x = tmp1;", "y = tmp1;"), ("tmp1 = a;", "tmp1 = b;", "x = tmp1;"), ("tmp1 = a.b;", "c = 1;", "x = tmp1;"), ("x = tmp1;", "tmp1 = a;")):
+        assert run("int tmp1;", *kept) == (["int tmp1;", *kept], 0)
 
 
 def test_literals_follow_the_style():
@@ -132,7 +185,7 @@ def test_undecodable_code_keeps_the_class():
     b = demo()
     b.method("bad", "()V", b"\xca")
     text = decompile.class_source(classfile.parse(b.build()))
-    assert "// not decompiled" in text and "return arg0 + arg1;" in text
+    assert "// not decompiled" in text and "return arg0 * 2;" in text
 
 
 def zipped(method=zipfile.ZIP_DEFLATED, **entries):
@@ -156,6 +209,11 @@ def test_archives():
     entry.crc ^= 1
     with pytest.raises(FormatError):
         archive.read(raw, entry)
+    packed = zipped(a=bytes(range(256)) * 40)
+    entry = archive.entries(packed)[0]
+    entry.packed, entry.crc = entry.packed // 2, 0
+    with pytest.raises(FormatError):  # half a stream, and no checksum to tell
+        archive.read(packed, entry)
     for bad in (b"", b"PK", raw[:-30]):
         with pytest.raises(FormatError):
             archive.entries(bad)
@@ -172,3 +230,13 @@ def test_dex():
     for n in range(0, 0x70, 8):
         with pytest.raises(FormatError):
             dexfile.DexFile(raw[:n])
+
+
+def test_dex_tries():
+    raw = dexbuilder.build("Lp/B;", {"run": [0x0000, 0x0000, 0x000E]}, tries={"run": [(0, 1, [("Lx/E;", 2), ("Lx/F;", 1)], None), (1, 1, [("Lx/E;", 2)], 0), (2, 1, [], 1)]})
+    dex = dexfile.DexFile(raw)
+    (m,) = dex.classes[0].members
+    got = [(t["start"], t["end"], t["handler"], t["type"]) for t in dex.tries(m.code_off)]
+    assert got == [(0, 1, 2, "Lx/E;"), (0, 1, 1, "Lx/F;"), (1, 2, 2, "Lx/E;"), (1, 2, 0, None), (2, 3, 1, None)]
+    assert "    .catch all 0001..0002 -> 0000" in dexfile.listing(dex, dex.classes[0])
+    assert ("type", dex.types.index("Lx/E;"), None, "Lx/E;", None) in dex.id_rows() and ("method", 0, "Lp/B;", "run", "()V") in dex.id_rows()
