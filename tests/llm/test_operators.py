@@ -351,6 +351,37 @@ def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == []
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
     assert secrets.trigram_query("(?i)ab?cde") == [[["abc", "bcd", "cde"], ["acd", "cde"]]]
+    assert secrets.trigram_query(r"(?:abc|xyz)[^q]\.\x41BC{2}") == [[["abc"], ["xyz"]], [[".ab", "abc", "bcc"]]]
+    for open_ended in ("a*", "ab|c.*", r"\d{3}", "[^x]+", "(abc)?x", "é€abc"):
+        for clause in secrets.trigram_query(open_ended):
+            assert clause == [["abc"]] and "é" in open_ended
+    for wrong in ("(abc", "(?=abc)", "[abc"):
+        with pytest.raises(ValueError):
+            secrets.trigram_query(wrong)
+
+
+def test_queries_never_exclude_a_match():
+    rng = random.Random(12)
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        for text in [*filter(None, SECRETS), *("".join(rng.choices(["key", "api_", "token", "=", ": ", "AKIA", "sk_live_", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "A1b2C3d4E5f6", "eyJabcdefgh.", " "], k=12)) for _ in range(60))]:
+            if re.search(rule.pattern, text, re.A):
+                low = text.lower()
+                assert all(any(all(g in low for g in one) for one in clause) for clause in query), (rule.kind, text)
+
+
+def test_trigram_expression_finds_all_places():
+    grams = ["aba", "bab", "a-b", "---", "x.z", "xoz"]
+    text = "ababa-ba----x.z xyz xoz"
+    assert [text[i : i + 3] for i in range(len(text)) if text[i : i + 3] in grams] == re.findall(secrets.trigram_expression(grams), text)
+
+
+def test_secrets_in_great_numbers(spark):
+    text = " ".join(f"é token={'xy12' * 4}{k} plain" for k in range(3000))
+    (row,) = secrets.scan(docs(spark, [(1, text, "x")], "doc_id long, text string, kinds string")).collect()
+    assert len(row["secrets"]) == 3000 and all(text[s["start"] : s["end"]].startswith("token=xy12") for s in row["secrets"]) and row["kinds"] == "x"
+    got = (*(sum(s["rank"] == k for s in row["secrets"]) for k in range(3)), brute.sha(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in row["secrets"] if s["rank"] < 3)))
+    assert got == brute.secrets(text)
 
 
 LICENSES = ["", None, "CC BY 4.0; cc-by", "All rights\nreserved. all RIGHTS reserved", "GNU General Public License v3 general public", "é cc\x00by", "ccby cc bye", "cc by " * 3000, licenses.TEMPLATES["mit"], "intro words " + licenses.TEMPLATES["apache-2.0"].replace("compliance", "full compliance") + " outro", licenses.TEMPLATES["mit"][:60]]
