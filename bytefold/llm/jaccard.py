@@ -12,7 +12,7 @@ pair can still reach, so entries of far positions are skipped. And answers are d
 those of a similar set: each block is first compared with one of its sets, its hub; two sets that link with it need no
 comparison for the classes, and by the triangle inequality of the Jaccard distance a pair can only link when its
 distances to the hub differ by no more than the limit. What remains unanswered is compared pair by pair. No cap is set
-anywhere, and no list is ever held by one task: a slice of texts sends each token once, however many of its sets have it.
+anywhere, and no list is ever held by one task: a slice of texts in which many sets share a token sends it once.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import components, cut
+from .common import components, cut, release
 
 U64 = np.uint64
 PRUNINGS = 2
+HOT = 16  # sets of a slice that share a token; one that more share counts as more frequent than all others
+MARK = 1 << 30
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,8 +77,8 @@ def _nodes(k: int):
 
 
 def _index(percent: int, k: int):
-    """Rows key, token, sig, pos of the indexed tokens. Of a slice, each token goes once to its own key, with a null token;
-    sets that share one with another set of the slice need no answer and stand under their own sig."""
+    """Rows key, other, pos of the indexed tokens: token, sig and place. Of a token that more than HOT sets of a slice share
+    one row goes there, with MARK added to its place; its sets need no answer, and stand as sig, token and -1 - place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.parts(batches, 0):
@@ -92,17 +94,16 @@ def _index(percent: int, k: int):
             token, sig = np.concatenate(tokens).view(np.int64), np.repeat(np.array(sigs, np.int64), sizes)
             pos = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])
             order = np.argsort(token, kind="stable")
-            first = np.ones(len(token), bool)
-            first[1:] = token[order][1:] != token[order][:-1]
-            group = np.cumsum(first) - 1
-            several = np.zeros(len(token), bool)
-            several[order] = np.bincount(group, minlength=1)[group] > 1 if len(group) else first
-            plain = np.zeros(len(token), bool)
-            plain[order] = first
-            at = np.concatenate([np.flatnonzero(plain), np.flatnonzero(several)])
-            mask = np.arange(len(at)) < plain.sum()
-            at, mask = (x[np.argsort(at, kind="stable")] for x in (at, mask))  # a set's rows together pack better
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(mask, token[at], sig[at])), pa.array(token[at], mask=mask), pa.array(sig[at]), pa.array(pos[at])], ["key", "token", "sig", "pos"])
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = token[order][1:] != token[order][:-1]
+            group = np.cumsum(fresh) - 1
+            hot, first = np.zeros(len(token), bool), np.zeros(len(token), bool)
+            hot[order] = np.bincount(group, minlength=1)[group] > HOT
+            first[order] = fresh
+            key, other, place = np.where(hot, sig, token), np.where(hot, token, sig), np.where(hot, -1 - pos, pos)
+            marks = np.flatnonzero(hot & first)
+            columns = (np.concatenate([key, token[marks]]), np.concatenate([other, sig[marks]]), np.concatenate([place, pos[marks] + MARK]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "other", "pos"])
 
     return run
 
@@ -144,16 +145,20 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     share its component; a row without doc_id links with nothing and has a null component. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    release(docs.sparkSession)
     rows = cut(docs.mapInArrow(_nodes(k), "doc_id long, n_shingles long, sig long"))
     docs = docs.filter("doc_id is not null")
     # cut, so that joins with it are of plain exchanges, where Spark can split the rows of a set that has many copies
     nodes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    sent = docs.select("text").mapInArrow(_index(percent, k), "key long, token long, sig long, pos int").withColumn("known", F.col("token").isNotNull())
+    sent = docs.select("text").mapInArrow(_index(percent, k), "key long, other long, pos int").withColumn("known", F.col("pos") < 0)
     line = Window.partitionBy("key", "known")
-    listed = sent.select("*", F.min("sig").over(line).alias("lo"), F.max("sig").over(line).alias("hi")).filter("known or lo <> hi")
-    shared = cut(listed.groupBy("sig", F.coalesce("token", "key").alias("token")).agg(F.max("pos").alias("pos")))
-    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    held = shared.join(often, "token").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("df", "token", "pos"))).alias("held"))
+    seen = sent.select("*", F.min("other").over(line).alias("lo"), F.max("other").over(line).alias("hi"), F.count(F.lit(1)).over(line).alias("df"), (F.max("pos").over(line) >= MARK).alias("hot"))
+    listed = seen.filter("known or (lo <> hi or hot) and pos < " + str(MARK))
+    of = [F.when(F.col("known"), F.col(a)).otherwise(F.col(b)) for a, b in (("key", "other"), ("other", "key"))]
+    rank = F.when(F.col("known") | F.col("hot"), MARK).otherwise(F.col("df"))
+    shared = listed.select(of[0].alias("sig"), of[1].alias("token"), rank.alias("df"), F.when(F.col("known"), -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+    shared = shared.groupBy("sig", "token").agg(F.max("df").alias("df"), F.max("pos").alias("pos"))
+    held = shared.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("df", "token", "pos"))).alias("held"))
     # of a set's indexed tokens, those that no other set has are the rarest; a pair must share one of the `need` rarest
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     size = F.least(F.col("n"), spare + 1 + F.floor(F.col("n") / 10))
@@ -161,10 +166,12 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     need = size - low + 1 - (size - F.size("held"))
     chosen = held.join(nodes, "sig").withColumn("need", need.cast("int")).filter("need > 0")
     chosen = cut(chosen.select("sig", "doc_id", "n", F.slice("held", 1, F.least(F.col("need"), F.size("held"))).alias("held")))
+    release(docs.sparkSession)
 
     texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "sig long, tokens binary").dropDuplicates(["sig"])
     sets = cut(sets.join(chosen.select("sig"), "sig", "left_semi"))
+    release(docs.sparkSession)
     # the same test on whole sets: a set with more tokens of its own than a link can spare links with none
     for _ in range(PRUNINGS):
         alone = sets.mapInArrow(_tokens, "token long, sig long").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig")).filter("n = 1")
@@ -172,6 +179,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         left = chosen.drop("own").join(own, "sig", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         chosen = cut(left.filter(F.col("own") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
         sets = cut(sets.join(chosen.select("sig"), "sig", "left_semi"))
+        release(docs.sparkSession)
     lists = chosen.select("sig", "doc_id", "n", "own", F.explode("held").alias("t")).select("sig", "doc_id", "n", "own", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))
     # sizes of linking sets differ by a factor of 100 / percent at most, so by one block at most
     block = F.floor(F.log("n") / (log(100 / percent) * (1 + 1e-9)))
@@ -187,7 +195,9 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
         """a, b, shared of distinct pairs of sigs. They are cut from what made them distinct, so that Spark may split a hub's."""
         one = cut(pairs).join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
         both = one.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(_verify, "a long, b long, shared long"))
+        found = cut(both.mapInArrow(_verify, "a long, b long, shared long"))
+        release(docs.sparkSession)
+        return found
 
     sizes = chosen.select("sig", "doc_id", "n")
 
