@@ -404,3 +404,34 @@ def facade_counts(spark, sf_dir):
 def facade_details(spark, sf_dir):
     rows = _engine(spark, sf_dir, _class_of_part).class_details
     return rows.select("name", "full_name", "file_name", "is_interface", "is_record", "n_methods", "n_fields", "n_errors", F.array_join("imports", ",").alias("imports"))
+
+
+def _passes(key: int, name: str, size: int) -> bytes:
+    """A step of a part's size, a return that says nothing, and in every second class a copy that waits on the stack."""
+    from .kernels.builder import ClassBuilder
+    from .kernels.insn import assemble
+
+    b = ClassBuilder(f"pkg/S{key}")
+    b.method("step", "(I)V", assemble(("iload_0",), ("bipush", size), ("iadd",), ("istore_0",), ("return",)))
+    if key % 2:
+        b.method("both", "(II)I", assemble(("iload_0",), ("ifeq", 7), ("iload_1",), ("goto", 5), ("bipush", size), ("ireturn",)))
+    return b.build()
+
+
+@query("SELECT p_partkey AS unit_id, (1 + p_partkey % 2)::BIGINT AS methods, 1::BIGINT AS returns_stripped, 1::BIGINT AS increments_folded, 0::BIGINT AS temps_inlined, 0::BIGINT AS labels FROM part")
+def pass_counters(spark, sf_dir):
+    """What the passes changed, per class; a value that meets on two ways is written twice and stays."""
+    from .plans import tables
+
+    rows = tables.pass_reports(_units(spark, sf_dir, _passes))
+    return rows.groupBy("unit_id").agg(F.count(F.lit(1)).alias("methods"), *[F.sum(c).alias(c) for c in ("returns_stripped", "increments_folded", "temps_inlined", "labels")])
+
+
+@query("""SELECT p_partkey AS unit_id, m::INTEGER AS method_idx, name, replace(replace('public static int ' || name || '(int arg0) {|' || CASE m WHEN 0 THEN '~return arg0 + ' || p_size || ';|' WHEN 2 THEN '~return arg0;|'
+ ELSE '~try {|~~if (arg0 > ' || p_size || ') {|~~~arg0 = ' || p_size || ';|~~}|~~return arg0;|~} catch (' || kind || ' caught) {|~~' || kind || ' v1 = caught;|~~return -1;|~}|' END || '}', '|', chr(10)), '~', chr(9)) AS text
+FROM (SELECT *, CASE WHEN p_size % 2 = 1 THEN 'Exception' ELSE 'Throwable' END AS kind FROM part), (VALUES (0, 'grow'), (1, 'clip'), (2, 'same')) v(m, name)""")
+def method_texts(spark, sf_dir):
+    """The sources of methods by themselves."""
+    from .plans import tables
+
+    return tables.method_sources(_units(spark, sf_dir)).select("unit_id", "method_idx", "name", "text")

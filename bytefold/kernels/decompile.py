@@ -493,9 +493,8 @@ class Structurer:
             if k in labels:
                 lines.append((depth, f"L{labels[k]}:"))
             lines.append((depth, text))
-        if lines and lines[-1] == (0, "return;"):
-            lines.pop()
-        return lines
+        self.stripped = bool(lines) and lines[-1] == (0, "return;")
+        return lines[:-1] if self.stripped else lines
 
     def emit(self, at: int | None, follow: int | None, loop: tuple | None, depth: int) -> None:
         """Statements from block `at` up to `follow`. loop: (header, exit)."""
@@ -635,6 +634,13 @@ _TEMP = re.compile(r"(tmp\d+) = (.*);")
 _CALL = re.compile(r"[\w$>]\s*\(|\bnew\b|\+\+|--|[^=!<>]=[^=]")
 
 
+def names_read(expression: str) -> list[str]:
+    """The distinct names that an expression reads, in order: no members behind a dot, calls, types or words of the language."""
+    bare = re.sub(r'"(?:[^"\\]|\\.)*"', '""', expression)
+    found = set(re.findall(r"(?<![\w$.])[A-Za-z_$][\w$]*(?![\w$]|\s*\(|\[\])", bare))
+    return sorted(x for x in found if x not in ("new", "null", "true", "false", "this", "instanceof", "return", "throw") and not re.search(rf"\(\s*{re.escape(x)}\s*\)\s*[\w(]", bare))
+
+
 def inline_temps(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], int]:
     """Lines without the temporaries that are written once and read once, behind the write and in its list of statements,
     and how many went. A value that calls, makes or writes something stays, as does one whose names are written before the
@@ -652,7 +658,7 @@ def inline_temps(lines: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], i
         if len(uses) != 2 or uses[0] != at - 1 or uses[1] <= at - 1:
             continue
         use, between = uses[1], lines[at : uses[1]]
-        read = set(re.findall(r"[A-Za-z_$][\w$]*", value))
+        read = names_read(value)
         if lines[use][0] != depth or any(d < depth for d, _ in between) or any(re.search(rf"(?<![\w$.]){re.escape(r)}(?![\w$])\s*(=[^=]|\+\+|--|[-+]=)", t) for r in read for _, t in between) or lines[use][1].startswith(("while", "}", "L", "case")):
             continue
         if between and ("." in value or "[" in value):  # fields and elements may be written by what lies between
@@ -719,6 +725,28 @@ def annotations(attrs: dict) -> list[str]:
     return [annotation_text(a) for k in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations") for a in attrs.get(k, [])]
 
 
+@dataclass
+class PassReport:
+    """What the passes behind the structure changed in a method, and the labels that are left."""
+
+    returns_stripped: int = 0
+    increments_folded: int = 0
+    temps_inlined: int = 0
+    labels: int = 0
+
+
+def body_lines(cls: ClassFile, m: Member, style: Style) -> tuple[list[tuple[int, str]], list[tuple[str, str]], PassReport]:
+    """(lines of a method's body, its parameters as type and name, what the passes changed)."""
+    ev = Evaluator(cls, m, style)
+    ev.run()
+    structure = Structurer(ev)
+    plain_lines = structure.run()
+    folded = fold(plain_lines)
+    lines, gone = inline_temps([(0, f"{short(t)} tmp{k};") for k, t in enumerate(ev.temps, 1)] + folded)
+    report = PassReport(int(getattr(structure, "stripped", False)), sum(a != b for a, b in zip(plain_lines, folded)), gone, sum(bool(re.fullmatch(r"L\d+:", t)) for _, t in lines))
+    return lines, ev.params, report
+
+
 def method_source(cls: ClassFile, m: Member, style: Style = Style(), aliases: dict[str, str] | None = None) -> list[str]:
     """Lines of one method; code that cannot be read leaves its reason. A declaration takes the alias of its node."""
     aliases = aliases or {}
@@ -727,10 +755,7 @@ def method_source(cls: ClassFile, m: Member, style: Style = Style(), aliases: di
     lines: list[tuple[int, str]] = []
     try:
         if m.attrs.get("Code"):
-            ev = Evaluator(cls, m, style)
-            ev.run()
-            lines = inline_temps([(0, f"{short(t)} tmp{k};") for k, t in enumerate(ev.temps, 1)] + fold(Structurer(ev).run()))[0]
-            params = ev.params
+            lines, params, _ = body_lines(cls, m, style)
         else:
             params = [(type_name(d), f"arg{n}") for n, d in enumerate(arguments(m.descriptor))]
     except (FormatError, RecursionError) as e:

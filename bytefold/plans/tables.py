@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import archive, classfile, insn
 from ..kernels.binary import FormatError
-from ..kernels.decompile import Style, class_source, imports, method_source
+from ..kernels.decompile import Style, body_lines, class_source, imports, method_source
 
 HANDLER = "struct<ord:int,start_pc:int,end_pc:int,handler_pc:int,catch_type:string>"
 INSN = "struct<off:int,opcode:int,mnemonic:string,sem:string,len:int,wide:boolean,local:int,value:string,ref_class:string,ref_name:string,ref_desc:string,targets:array<int>>"
@@ -173,6 +173,30 @@ def method_sources(units: DataFrame, style: Style = Style()) -> DataFrame:
     return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
 
 
+def pass_reports(units: DataFrame) -> DataFrame:
+    """unit_id, method_idx, returns_stripped, increments_folded, temps_inlined, labels of every method with code that can be
+    read."""
+    ddl = "unit_id long, method_idx int, returns_stripped int, increments_folded int, temps_inlined int, labels int"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    c = classfile.parse(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                for k, m in enumerate(c.methods):
+                    try:
+                        rows += [{"unit_id": unit, "method_idx": k, **vars(body_lines(c, m, Style())[2])}] if "Code" in m.attrs else []
+                    except (FormatError, RecursionError):
+                        continue
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
+
+
 def class_texts(units: DataFrame) -> DataFrame:
     """unit_id, file_name, imports, listing (its methods' listings, one below the other) of every class that parses."""
     ddl = "unit_id long, file_name string, imports array<string>, listing string"

@@ -121,6 +121,21 @@ def test_folders_give_class_files_alone(spark, tmp_path):
         Engine(spark).add_path(str(tmp_path / "none")).inputs
 
 
+def test_units_as_a_data_source(spark, tmp_path):
+    from bytefold.sources import datasource
+
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/deep/B.class").write_bytes(demo().build())
+    (tmp_path / "in/dex_without_name").write_bytes(dexbuilder.build("Lp/A;", {"run": [0x000E]}))
+    (tmp_path / "in/app.jar").write_bytes(jar())
+    (tmp_path / "in/notes.txt").write_text("x")
+    datasource.register(spark)
+    units = spark.read.format("codeunits").load(str(tmp_path / "in"))
+    assert [(r["name"], r["kind"]) for r in units.select("name", "kind").collect()] == [("app.jar", "archive"), ("B.class", "class"), ("dex_without_name", "dex"), ("notes.txt", "resource")]
+    assert units.filter("unit_id <> xxhash64(origin)").isEmpty()
+    assert {r["name"] for r in Engine(spark).add_table(units).classes.collect()} == {"p/A", "shop/Basket", "shop/Basket$Lid"}
+
+
 def test_constant_pool_by_joins(spark):
     units = spark.createDataFrame([(1, "class", demo().build())], "unit_id long, kind string, data binary")
     rows = resolve_pool(tables.const_pool(tables.parse_classes(units))).collect()

@@ -164,6 +164,11 @@ def test_locals_never_share_a_name():
     assert "m(int x, int x$2, int x$1, int x$3)" in text
 
 
+def test_names_that_are_read():
+    for text, want in (("a + b.c * f(d)", ["a", "b", "d"]), ('x == null ? "y z" : x$1', ["x", "x$1"]), ("(String) o", ["o"]), ("new int[n]", ["n"]), ("3", [])):
+        assert [n for n in decompile.names_read(text) if n != "int"] == want, text
+
+
 def test_inlined_temporaries():
     def run(*texts):
         lines, n = decompile.inline_temps([(0, t) for t in texts])
