@@ -130,8 +130,11 @@ def label_model(votes: np.ndarray, silent: np.ndarray, labels: np.ndarray, round
         was, chance = chance, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds, -30, 30)))
         if np.abs(chance - was).max() < 1e-3:
             break
-    if 0 < chance.sum() < len(chance) and chance @ labels / chance.sum() < (1 - chance) @ labels / (1 - chance).sum():
-        chance = 1 - chance
+    ones, zeros = chance.sum(), (1 - chance).sum()
+    if min(ones, zeros) > 1:
+        share, apart = labels.mean(), chance @ labels / ones - (1 - chance) @ labels / zeros
+        if apart < -3 * np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)):  # clearly the other class
+            chance = 1 - chance
     return chance
 
 
@@ -196,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
 
     A document labelled more than once counts as toxic if one label says so; null labels say nothing. Beyond
     `most_rows` labelled documents those with the smallest hash of their id are taken; of rows that repeat an id, the
-    least text. Without a toxic or without a clean example every score is the share of toxic labels, or 0.
+    least text. Without a toxic or a clean example, or an entry that passes the test, every score is the share of toxic
+    labels, or 0.
     """
     given = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     taken = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -229,6 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     least = max(LEAST_GAIN, 2 * float(np.log(max(seen.count(), 1))))
     best = seen.filter(F.col("toxic") >= LEAST_ODDS * F.col("clean")).filter(_gain(toxic, clean) >= least).select("entry")
     lexicon = np.sort(np.array([r["entry"] for r in best.collect()], np.int64).view(U64))
+    if not len(lexicon):
+        return nothing
     model = Model(lexicon, np.full(4, np.inf), np.zeros(0), 0.0)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

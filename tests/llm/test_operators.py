@@ -306,6 +306,13 @@ def test_label_model_learns_from_votes_alone():
     assert abs(np.corrcoef(blind, at_random)[0, 1]) < 0.1  # labels that nothing speaks for do not come back
 
 
+def test_toxicity_without_entries_keeps_texts(spark):
+    """Too few examples for any entry: every score is the share of toxic labels, and no clean text goes."""
+    rows = [(d, f"plain words {d} and more of them") for d in range(60)]
+    model = toxicity.fit(docs(spark, rows), docs(spark, [(d, int(d % 10 == 0)) for d in range(60)], "doc_id long, toxic int"))
+    assert len(model.lexicon) == 0 and all(0 < r["score"] < 0.3 for r in toxicity.score(docs(spark, rows), model).collect())
+
+
 def test_toxicity_takes_long_texts(spark):
     rows, labels = toxic_rows(300)
     table = docs(spark, [*rows, (5000, "plain words " * 200_000), (5001, "plain words " * 100_000 + "vildo grunk snarb")])
