@@ -592,7 +592,9 @@ def _units(spark, sf_dir, make=_class_of_part) -> DataFrame:
             data = [make(*x) for x in zip(key, name, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"P{k}.class" for k in key]), pa.array(["class"] * len(key)), pa.array(data, pa.binary())], ["unit_id", "origin", "kind", "data"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").mapInArrow(run, "unit_id long, origin string, kind string, data binary")
+    # a small file of parts is one split, and each of its rows becomes a file to assemble and read
+    spread = max(32, 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").repartition(spread, "p_partkey").mapInArrow(run, "unit_id long, origin string, kind string, data binary")
 
 
 @query("""SELECT p_partkey AS unit_id, 'pkg/P' || p_partkey AS name, 52::INTEGER AS major, 'java/lang/Object' AS super, 'size:I=' || p_size || ',name:Ljava/lang/String;=' || p_name AS fields, 'grow(I)I,clip(I)I,same(I)I' AS methods FROM part""")
@@ -696,10 +698,9 @@ def dex_listing(spark, sf_dir):
 
 @query("""SELECT p_partkey AS unit_id, 7::INTEGER AS tag, 'pkg/P' || p_partkey AS text FROM part UNION ALL SELECT p_partkey, 7, 'java/lang/Object' FROM part UNION ALL SELECT p_partkey, 7, 'java/lang/Exception' FROM part WHERE p_size % 2 = 1 UNION ALL SELECT p_partkey, 8, p_name FROM part""")
 def const_pool_resolve(spark, sf_dir):
-    from .engine import resolve_pool
     from .plans import tables
 
-    return resolve_pool(tables.const_pool(tables.parse_classes(_units(spark, sf_dir)))).select("unit_id", "tag", "text")
+    return tables.resolved_pool(_units(spark, sf_dir)).select("unit_id", "tag", "text")
 
 
 @query("""SELECT p_partkey AS unit_id, CASE WHEN p_partkey % 3 = 0 THEN 'no class file' WHEN p_partkey % 3 = 1 THEN 'short' END AS reason FROM part WHERE p_partkey % 3 < 2""")

@@ -13,6 +13,7 @@ from .functions import names as N
 from .kernels.decompile import Style
 from .operators import naming
 from .plans import attributes, dimensions, tables
+from .plans.tables import resolve_pool  # noqa: F401 (part of the facade)
 from .sources import renames as R
 from .sources import units as U
 
@@ -394,22 +395,3 @@ def _dotted(name: str) -> str:
 def percent(done: int, total: int) -> int:
     """How much of the work is done, from 0 to 100; of no work all."""
     return 100 * done // total if total else 100
-
-
-def resolve_pool(pool: DataFrame) -> DataFrame:
-    """const_pool rows joined with what they refer to: unit_id, idx, tag, owner, member, descriptor, text.
-
-    Classes and strings find their text; fields, methods and call sites their owner, name and descriptor. Every step is
-    an equi-join on the unit and the slot.
-    """
-    utf8 = pool.filter("tag = 1").select("unit_id", F.col("idx").alias("k"), F.col("text").alias("t"))
-
-    def text_of(rows: DataFrame, ref: str, name: str) -> DataFrame:
-        return rows.join(utf8.select("unit_id", F.col("k").alias(ref), F.col("t").alias(name)), ["unit_id", ref])
-
-    one = text_of(pool.filter("tag in (7, 8, 16, 19, 20)").drop("text"), "ref1", "text").select("unit_id", "idx", "tag", "text")
-    kinds = text_of(text_of(pool.filter("tag = 12").drop("text"), "ref1", "member"), "ref2", "descriptor").select("unit_id", F.col("idx").alias("ref2"), "member", "descriptor")
-    owners = one.filter("tag = 7").select("unit_id", F.col("idx").alias("ref1"), F.col("text").alias("owner"))
-    members = pool.filter("tag in (9, 10, 11, 17, 18)").drop("text").join(kinds, ["unit_id", "ref2"])
-    named = members.filter("tag < 17").join(owners, ["unit_id", "ref1"])
-    return one.unionByName(named.unionByName(members.filter("tag >= 17"), allowMissingColumns=True).drop("ref1", "ref2"), allowMissingColumns=True)

@@ -101,6 +101,53 @@ def const_pool(parsed: DataFrame) -> DataFrame:
     return parsed.select("unit_id", F.inline("const_pool"))
 
 
+RESOLVED = "unit_id long, idx int, tag int, owner string, member string, descriptor string, text string"
+
+
+def _resolved_rows(pools: Iterator[tuple[int, dict[int, classfile.Constant]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for unit, pool in pools:
+        rows += [(unit, *x) for x in classfile.resolve(pool)]
+        if len(rows) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def resolved_pool(units: DataFrame) -> DataFrame:
+    """resolve_pool() of class units in one pass: a pool is whole in its file, so nothing is joined or moved."""
+    schema = arrow_schema(RESOLVED)
+
+    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+        for batch in batches:
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    c = classfile.parse(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                yield unit, {i: x for i, x in enumerate(c.pool.at) if x}
+
+    return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(lambda batches: _resolved_rows(pools(batches), schema), RESOLVED)
+
+
+def resolve_pool(pool: DataFrame) -> DataFrame:
+    """const_pool rows with what they refer to: unit_id, idx, tag, owner, member, descriptor, text.
+
+    Classes and strings find their text; fields, methods and call sites their owner, name and descriptor. A unit's rows
+    come together in one, of at most 65,535 constants; units share nothing.
+    """
+    schema = arrow_schema(RESOLVED)
+
+    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+        for batch in batches:
+            for unit, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield unit, {x["idx"]: classfile.Constant(x["tag"], x["text"], x["ref1"], x["ref2"]) for x in rows.as_py()}
+
+    whole = pool.groupBy("unit_id").agg(F.collect_list(F.struct("idx", "tag", "text", "ref1", "ref2")).alias("pool"))
+    return whole.mapInArrow(lambda batches: _resolved_rows(pools(batches), schema), RESOLVED)
+
+
 def _of_methods(parsed: DataFrame, what: str) -> DataFrame:
     return parsed.select("unit_id", F.explode("methods").alias("m")).select("unit_id", F.col("m.idx").alias("method_idx"), F.inline(f"m.{what}"))
 
