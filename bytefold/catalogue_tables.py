@@ -216,15 +216,11 @@ def inner_classes(spark, sf_dir):
 @query("SELECT p_partkey AS unit_id, 0::INTEGER AS ord, 2::INTEGER AS args, 'invokestatic' AS kind, p_name AS first FROM part")
 def bootstrap_methods(spark, sf_dir):
     """Bootstrap methods with the kind of their handle and their first argument, a string, found in the pool."""
-    from .plans import tables
+    from .plans import attributes
 
-    pool = tables.const_pool(tables.parse_classes(_units(spark, sf_dir, _attributed)))
-    rows = _attributes(spark, sf_dir, "bootstrap").withColumn("one", F.col("args")[0])
-    handles = pool.filter("tag = 15").select("unit_id", F.col("idx").alias("method"), D.handle_kind(F.col("ref1")).alias("kind"))
-    strings = pool.filter("tag = 8").select("unit_id", F.col("idx").alias("one"), F.col("ref1").alias("k"))
-    texts = pool.filter("tag = 1").select("unit_id", F.col("idx").alias("k"), F.col("text").alias("first"))
-    found = rows.join(handles, ["unit_id", "method"]).join(strings, ["unit_id", "one"]).join(texts, ["unit_id", "k"])
-    return found.select("unit_id", "ord", F.size("args").alias("args"), "kind", "first")
+    first = F.get("args", F.lit(0))
+    found = attributes.bootstraps(_units(spark, sf_dir, _attributed)).filter(F.col("kind").isNotNull() & (first["tag"] == 8) & first["text"].isNotNull())
+    return found.select("unit_id", "ord", F.size("args").alias("args"), D.handle_kind(F.col("kind")).alias("kind"), first["text"].alias("first"))
 
 
 @query("SELECT p_partkey AS unit_id, 'pkg/Out' AS \"class\", CASE WHEN p_partkey % 2 = 1 THEN 'run' END AS method, CASE WHEN p_partkey % 2 = 1 THEN '()V' END AS descriptor FROM part")

@@ -94,6 +94,36 @@ def parse_attributes(units: DataFrame) -> DataFrame:
     return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
 
 
+def bootstraps(units: DataFrame) -> DataFrame:
+    """unit_id, ord, kind (the number of the method handle's kind, null if its slot holds no handle), args (idx, tag, text of
+    each constant, as text if it has one) of the bootstrap methods, in one pass: their pool is in the same file."""
+    ddl = "unit_id long, ord int, kind int, args array<struct<idx:int,tag:int,text:string>>"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    c = classfile.parse(data.as_py() or b"")
+                except FormatError:
+                    continue  # the table of errors has it
+                found = c.attrs.get("BootstrapMethods", ())
+                pool = {i: x for i, x in enumerate(c.pool.at) if x} if found else {}
+                texts = {i: text for i, _, _, _, _, text in classfile.resolve(pool)}
+                for n, x in enumerate(found):
+                    handle = pool.get(x["method"])
+                    args = [(i, pool[i]) if i in pool else (i, None) for i in x["args"]]
+                    values = [{"idx": i, "tag": a and a.tag, "text": texts.get(i) if a is None or a.value is None else str(a.value)} for i, a in args]
+                    rows.append({"unit_id": unit, "ord": n, "kind": handle.ref1 if handle and handle.tag == classfile.HANDLE else None, "args": values})
+                if len(rows) >= 1024:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
+
+
 def table(parsed: DataFrame, what: str) -> DataFrame:
     """The rows of one of SHAPE: unit_id, then its fields (`name` and its place `ord` for lists of names)."""
     if SHAPE[what] == "array<string>":

@@ -3,8 +3,9 @@
 from bytefold.catalogue import QUERIES as FIRST
 from bytefold.catalogue import _class_of_part
 from bytefold.catalogue_tables import QUERIES as SECOND
+from bytefold.catalogue_tables import _attributed
 from bytefold.engine import resolve_pool
-from bytefold.plans import tables
+from bytefold.plans import attributes, tables
 
 
 def plan_of(df) -> str:
@@ -25,3 +26,15 @@ def test_a_unit_that_comes_twice_has_each_constant_twice(spark):
     assert rows == sorted([(u, *x) for u in (1, 1, 3) for x in one])
     flat = tables.const_pool(tables.parse_classes(units.filter("unit_id = 1")))
     assert sorted((r["tag"], r["text"]) for r in resolve_pool(flat).distinct().collect()) == one
+
+
+def test_bootstrap_methods_are_read_once(spark, sf):
+    plan = plan_of(SECOND["bootstrap_methods"](spark, sf))
+    assert "Join" not in plan and plan.count("MapInArrow") == 2  # the files are assembled, and read
+
+
+def test_bootstrap_arguments(spark):
+    data = _attributed(4, "a name", 300)
+    units = spark.createDataFrame([(1, "class", data), (1, "class", data), (2, "class", data[:90])], "unit_id long, kind string, data binary")
+    rows = [(r["unit_id"], r["ord"], r["kind"], [(a["tag"], a["text"]) for a in r["args"]]) for r in attributes.bootstraps(units).collect()]
+    assert rows == [(1, 0, 6, [(8, "a name"), (3, "300")])] * 2
