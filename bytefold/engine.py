@@ -66,6 +66,7 @@ class Engine:
         self._blobs: dict[str, bytes] = {}
         self._tables: list[DataFrame] = []
         self._parsed: DataFrame | None = None
+        self._heads: DataFrame | None = None
         self._loaded: list[tuple[DataFrame, DataFrame]] = []
         self._renames: list[tuple] = []
         self._comments: list[tuple] = []
@@ -77,23 +78,23 @@ class Engine:
 
     def add_path(self, path: str) -> Engine:
         self._paths.append(path)
-        self._parsed = None
+        self._parsed = self._heads = None
         return self
 
     def add_bytes(self, name: str, data: bytes) -> Engine:
         self._blobs[name] = data
-        self._parsed = None
+        self._parsed = self._heads = None
         return self
 
     def add_table(self, units: DataFrame) -> Engine:
         """Units from anywhere else: unit_id, origin, name, kind (class, dex or archive), data."""
         self._tables.append(units.select("unit_id", "origin", "name", "kind", "data"))
-        self._parsed = None
+        self._parsed = self._heads = None
         return self
 
     def reset(self) -> Engine:
         """Forget inputs, renames and comments; options and callbacks stay."""
-        self._paths, self._blobs, self._tables, self._parsed = [], {}, [], None
+        self._paths, self._blobs, self._tables, self._parsed, self._heads = [], {}, [], None, None
         self._loaded, self._renames, self._comments, self.last_error = [], [], [], None
         return self
 
@@ -140,6 +141,14 @@ class Engine:
             self._parsed = rows.filter(F.col("error").isNotNull() | self._accepted(F.col("name"))).cache()
         return self._parsed
 
+    @property
+    def heads(self) -> DataFrame:
+        """tables.heads() of the classes that the filter takes; rows of errors stay."""
+        if self._heads is None:
+            rows = tables.heads(self.units)
+            self._heads = rows.filter(F.col("error").isNotNull() | self._accepted(F.col("name"))).cache()
+        return self._heads
+
     def _accepted(self, name) -> F.Column:
         return N.matches_any(F.translate(name, "/", "."), self.options.class_filter)
 
@@ -261,31 +270,33 @@ class Engine:
 
         Of classes of one name the one with the smallest unit id holds the nested ones; each of them has a file.
         """
-        found = tables.classes(self.parsed).select("unit_id", "name")
+        # Spark takes a table of files for as small as what it was made of, and would send it to the driver: merge joins only
+        there = self.heads.filter("error is null")
+        found = there.select("unit_id", "name")
         once = found.groupBy("name").agg(F.min("unit_id").alias("unit_id"))
         tops = naming.outermost(once)
-        placed = once.join(tops, "name").join(once.select(F.col("name").alias("top"), F.col("unit_id").alias("file")), "top")
+        placed = once.join(tops.hint("merge"), "name").join(once.select(F.col("name").alias("top"), F.col("unit_id").alias("file")).hint("merge"), "top")
         # an outermost class that is there more than once prints each time
-        more = found.join(tops.filter("name = top"), "name").select("name", "unit_id", F.col("unit_id").alias("file"))
+        more = found.join(tops.filter("name = top").hint("merge"), "name").select("name", "unit_id", F.col("unit_id").alias("file"))
         placed = placed.select("name", "unit_id", "file").unionByName(more).distinct()
-        data = placed.join(self.units.select("unit_id", "data"), "unit_id")
+        data = there.select("unit_id", "name", "data").join(placed.hint("merge"), ["unit_id", "name"])
         item = F.struct((F.col("unit_id") != F.col("file")).alias("inner"), "name", "data")
         files = data.groupBy(F.col("file").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["data"]).alias("files"))
         owner = F.substring_index("node", "#", 1)
         entry = F.struct(F.concat_ws(" ", "kind", "node").alias("key"), F.col("alias").alias("value"))
-        given = self.rename_map.filter("kind in ('c', 'f', 'm')").withColumn("name", owner).join(placed, "name")
+        given = self.rename_map.filter("kind in ('c', 'f', 'm')").withColumn("name", owner).join(placed.hint("merge"), "name")
         aliases = given.groupBy(F.col("file").alias("unit_id")).agg(F.map_from_entries(F.collect_set(entry)).alias("aliases"))
         told = self.comments.filter(F.lit(D.COMMENT_LEVELS.index(self.options.comment_level.lower()) >= 1)).filter("kind = 'c'")
-        told = told.groupBy(F.col("node").alias("name")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("t")).join(placed, "name")
+        told = told.groupBy(F.col("node").alias("name")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("t")).join(placed.hint("merge"), "name")
         notes = told.groupBy(F.col("file").alias("unit_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.col("name").alias("key"), F.col("t.text").alias("value")))).alias("notes"))
-        return files.join(aliases, "unit_id", "left").join(notes, "unit_id", "left")
+        return files.join(aliases.hint("merge"), "unit_id", "left").join(notes.hint("merge"), "unit_id", "left")
 
     @property
     def sources(self) -> DataFrame:
         """unit_id, class_name, package, file_name, text, error: a source file for each class that is nested in none, with
         its nested classes inside, aliases and comments applied; and the units that do not parse."""
         printed = tables.file_sources(self.files, self.options.style)
-        bad = tables.errors(self.parsed).filter("stage = 'parse'").select("unit_id", F.col("message").alias("error"))
+        bad = self.heads.filter("error is not null").select("unit_id", "error")
         return printed.unionByName(bad, allowMissingColumns=True)
 
     @property

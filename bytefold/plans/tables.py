@@ -264,6 +264,27 @@ def class_texts(units: DataFrame) -> DataFrame:
     return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
 
 
+def heads(units: DataFrame) -> DataFrame:
+    """unit_id, name, data, error of every class unit: its file, with the name of its class or why it does not parse."""
+    ddl = "unit_id long, name string, data binary, error string"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, names, errors = batch.slice(at, 256), [], []
+                for data in part.column(1):
+                    try:
+                        name, error = classfile.parse(data.as_py() or b"").name, None
+                    except FormatError as e:
+                        name, error = None, str(e)
+                    names.append(name)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), part.column(1).cast(pa.binary()), pa.array(errors, pa.string())], schema=schema)
+
+    return units.filter("kind = 'class'").select("unit_id", "data").mapInArrow(run, ddl)
+
+
 FILE = "unit_id long, class_name string, package string, file_name string, text string, error string"
 
 

@@ -4,7 +4,7 @@ from bytefold.catalogue import QUERIES as FIRST
 from bytefold.catalogue import _class_of_part
 from bytefold.catalogue_tables import QUERIES as SECOND
 from bytefold.catalogue_tables import _attributed
-from bytefold.engine import resolve_pool
+from bytefold.engine import Engine, resolve_pool
 from bytefold.plans import attributes, tables
 
 
@@ -38,3 +38,13 @@ def test_bootstrap_arguments(spark):
     units = spark.createDataFrame([(1, "class", data), (1, "class", data), (2, "class", data[:90])], "unit_id long, kind string, data binary")
     rows = [(r["unit_id"], r["ord"], r["kind"], [(a["tag"], a["text"]) for a in r["args"]]) for r in attributes.bootstraps(units).collect()]
     assert rows == [(1, 0, 6, [(8, "a name"), (3, "300")])] * 2
+
+
+def test_sources_read_heads_only(spark):
+    data = [(1, _class_of_part(1, "a", 3)), (2, _class_of_part(2, "b", 4)), (3, _class_of_part(2, "c", 5)), (4, b"no class"), (5, None)]
+    units = spark.createDataFrame([(k, str(k), str(k), "class", d) for k, d in data], "unit_id long, origin string, name string, kind string, data binary")
+    engine = Engine(spark, class_filter=["pkg.P2"]).add_table(units)
+    rows = {r["unit_id"]: (r["class_name"], r["error"] is not None) for r in engine.sources.collect()}
+    assert rows == {2: ("pkg/P2", False), 3: ("pkg/P2", False), 4: (None, True), 5: (None, True)}
+    assert engine._parsed is None  # members, code and listings are not made for a list of files
+    assert engine.add_table(units.filter("unit_id = 1")).sources.count() == 4 and engine._heads is not None
