@@ -71,7 +71,7 @@ def outermost(classes: DataFrame) -> DataFrame:
     names = classes.select("name").distinct()
     parts = F.size(F.split("name", r"\$"))
     each = names.select("name", F.explode(F.sequence(F.lit(1), parts)).alias("n")).withColumn("prefix", F.expr("substring_index(name, '$', n)"))
-    there = each.join(names.select(F.col("name").alias("prefix")), "prefix", "left_semi").groupBy("name").agg(F.collect_set("n").alias("have"))
+    there = each.join(names.select(F.col("name").alias("prefix")).hint("merge"), "prefix", "left_semi").groupBy("name").agg(F.collect_set("n").alias("have"))
     begin = F.array_max(F.filter("have", lambda n: ~F.array_contains("have", n - 1)))
     return there.withColumn("n", begin).select("name", F.expr("substring_index(name, '$', n)").alias("top"))
 

@@ -40,6 +40,12 @@ def test_bootstrap_arguments(spark):
     assert rows == [(1, 0, 6, [(8, "a name"), (3, "300")])] * 2
 
 
+def test_files_do_not_meet_on_the_driver(spark, sf):
+    for name in ("facade_filter", "facade_sources"):
+        plan = plan_of(SECOND[name](spark, sf))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
 def test_sources_read_heads_only(spark):
     data = [(1, _class_of_part(1, "a", 3)), (2, _class_of_part(2, "b", 4)), (3, _class_of_part(2, "c", 5)), (4, b"no class"), (5, None)]
     units = spark.createDataFrame([(k, str(k), str(k), "class", d) for k, d in data], "unit_id long, origin string, name string, kind string, data binary")
