@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """cut(), whose shuffle files go as soon as its rows are in the shared folder. Spark keeps those of its last execution
+    reachable, so that release() does not find them."""
+    spark = df.sparkSession
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return cut(df.select("*"))  # a frame holds the setting that it was made under
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files that nothing refers to any more. It finds them when the heaps of the driver's Python
     and JVM are collected, which a driver that only plans does too rarely for the disks of its executors."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textcore as tc
-from .common import cut, fresh, release
+from .common import cut, fresh, settle
 
 U64 = np.uint64
 AGAIN = U64(0x2545F4914F6CDD1D)  # makes second hashes of words
@@ -341,8 +341,7 @@ def dedup(docs: DataFrame, window: int = 13, high: tuple[int, ...] = HIGH, low:
     firsts = cut(own_text.groupBy(text_id).agg(F.min(doc).alias(first)))
     repeated = rows.join(firsts, text_id).select(*names, doc, first).mapInArrow(_send_symbols(window, high, at, own), "key long, more long, doc long, at long")
     long = _later(repeated).groupBy(F.col("doc").alias(first)).agg(F.collect_list("at").alias(settled))
-    firsts = cut(firsts.join(long, first, "left").withColumn(settled, F.coalesce(settled, F.array().cast("array<bigint>"))))
-    release(docs.sparkSession)
+    firsts = settle(firsts.join(long, first, "left").withColumn(settled, F.coalesce(settled, F.array().cast("array<bigint>"))))
     sent = rows.join(firsts, text_id).select(*names, doc, first, settled).mapInArrow(_send_anchors(window, low, at, own), "key long, symbol long, doc long")
     line = Window.partitionBy("key", "known")
     seen = sent.withColumn("known", F.col("symbol").isNotNull()).select("*", F.min("doc").over(line).alias("lo"), F.max("doc").over(line).alias("hi"))

@@ -1,10 +1,13 @@
 """What queries over large tables must not do: tables that one driver or one task has to hold, passes that repeat."""
 
+from pathlib import Path
+
 from bytefold.catalogue import QUERIES as FIRST
 from bytefold.catalogue import _class_of_part
 from bytefold.catalogue_tables import QUERIES as SECOND
 from bytefold.catalogue_tables import _attributed
 from bytefold.engine import Engine, resolve_pool
+from bytefold.llm import common, repeats
 from bytefold.plans import attributes, tables
 
 
@@ -54,3 +57,22 @@ def test_sources_read_heads_only(spark):
     assert rows == {2: ("pkg/P2", False), 3: ("pkg/P2", False), 4: (None, True), 5: (None, True)}
     assert engine._parsed is None  # members, code and listings are not made for a list of files
     assert engine.add_table(units.filter("unit_id = 1")).sources.count() == 4 and engine._heads is not None
+
+
+def shuffled_bytes(spark) -> int:
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*"))
+
+
+def test_repeats_drop_the_shuffles_of_their_first_round(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "release", lambda spark: None, raising=False)  # whatever a collection of garbage finds
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), i -> sha2(concat(id, '-', i), 256))) AS text")
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.dedup(docs)
+        assert shuffled_bytes(spark) - before < 2_000_000  # the texts are 8 MB; later rounds run when rows are asked for
+        assert found.filter("n_words <> 300 or n_removed <> 0").isEmpty() and found.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get(common.CLEANUP) == "false"
