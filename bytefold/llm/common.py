@@ -5,10 +5,15 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+FEW = 1 << 17  # edges that one task joins: some tens of MB of its Python
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,11 +73,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows u, v of all edges -> node and the smallest node it reaches, by union-find."""
+    parts = list(batches)
+    if not sum(map(len, parts)):
+        return
+    u, v = (np.concatenate([part.column(k).to_numpy(zero_copy_only=False) for part in parts]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    least = nodes[[root(i) for i in range(len(nodes))]]
+    kind = parts[0].schema.types[0]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(least, kind)], ["node", "component"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component) for every node of `edges` (src, dst): component is the smallest node it reaches.
 
-    Alternating large-star and small-star rounds, each an aggregate and a join, so that neither the driver nor one
-    task holds a component. Self-loops and repeated edges do no harm; nulls must be filtered before.
+    Up to `few` distinct edges are joined by one task. More go through alternating large-star and small-star rounds, each
+    an aggregate and a join, so that neither the driver nor one task holds a component; a round runs every shuffle partition
+    several times, and each of these tasks costs the driver memory, however few its rows. Self-loops and repeated edges do
+    no harm; nulls must be filtered before.
     """
     edges = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
 
@@ -82,6 +111,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = state(edges)
     if not now[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if now[0] <= few:
+        kind = edges.schema["u"].dataType
+        return edges.coalesce(1).mapInArrow(_joined, StructType([StructField("node", kind), StructField("component", kind)]))
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

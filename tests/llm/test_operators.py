@@ -73,6 +73,39 @@ def test_components(spark):
     assert components(docs(spark, [], "src long, dst long")).count() == 0
 
 
+def tasks_of(spark, run):
+    """Tasks of all stages of the jobs that run() starts."""
+    context, group = spark.sparkContext, f"counted {random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {i for job in context.statusTracker().getJobIdsForGroup(group) for i in context.statusTracker().getJobInfo(job).stageIds}
+    return sum(info.numTasks for i in stages if (info := context.statusTracker().getStageInfo(i)))
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5), (7, 3), (3, 7)]
+    real = [x for x in links if x[0] != x[1]]
+    want = brute.classes({n for x in real for n in x}, real)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {}
+        assert tasks_of(spark, lambda: found.update(components(docs(spark, links, "src long, dst long")).collect())) <= 6 * 32
+        assert found == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    edges = docs(spark, links, "src long, dst long")
+    rows = components(edges, few=len({frozenset(x) for x in real}) - 1).collect()  # one edge too many for one task
+    assert dict(rows) == want and len(rows) == len(want)
+
+
 # ---- 1 and 4: vectors
 
 def vectors(seed=1, n=120, dim=16):
